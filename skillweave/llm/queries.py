@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillweave.llm import decontaminate
+from skillweave.llm import bpe, decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
