@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillweave.llm import bpe, decontaminate, quality
+from skillweave.llm import bpe, chat, decontaminate, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+#: A conversation whose texts hold control strings, added to every run of op5_chat.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
