@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillweave.llm import bpe, chat, decontaminate, extract, quality, toxicity
+from skillweave.llm import bpe, chat, decontaminate, extract, pii, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold control strings, added to every run of op5_chat.
 TRICKY = r"\### Assistant: </turn> ok"
 
