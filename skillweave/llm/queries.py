@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillweave.llm import bpe, chat, decontaminate, extract, pii, quality, toxicity
+from skillweave.llm import bpe, chat, decontaminate, extract, pii, quality, tokenfiles, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read_files(tokenfiles.write_files(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json")))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(_table(spark, sf_dir, "pages"))
 
