@@ -79,10 +79,14 @@ def ngram_match(sentences: DataFrame, index: DataFrame) -> DataFrame:
     Every n-gram of at most 6 tokens is looked up by an equi-join, which Spark broadcasts if the index is small enough;
     only what matches is gathered by sentence for the choice from the left.
     """
-    toks = sentences.select("id", fx.tokens(F.col("text")).alias("toks"))
-    starts = toks.select("id", "toks", F.posexplode("toks").alias("start_token", "_"))
-    grams = starts.select("id", "start_token", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_TERM), F.size("toks") - F.col("start_token")))).alias("n_tokens"), "toks")
-    keyed = grams.select("id", "start_token", "n_tokens", fx.token_key(F.slice("toks", F.col("start_token") + 1, F.col("n_tokens"))).alias("key"))
+    low = sentences.select("id", F.transform(fx.tokens(F.col("text")), lambda t: F.lower(t)).alias("toks"))
+
+    def grams_at(i: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_TERM), F.size("toks") - i))
+        return F.transform(lengths, lambda n: F.struct(i.alias("start_token"), n.alias("n_tokens"), F.array_join(F.slice("toks", i + 1, n), "\x01").alias("key")))
+
+    grams = F.flatten(F.transform("toks", lambda t, i: grams_at(i)))
+    keyed = low.select("id", F.explode(grams).alias("g")).select("id", "g.start_token", "g.n_tokens", "g.key")
     hits = keyed.join(index.select("key", "entry"), "key")
     longest = hits.groupBy("id", "start_token").agg(F.max(F.struct("n_tokens", "entry")).alias("x"))
     rows = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_token", "x.n_tokens", "x.entry"))).alias("rows"))
@@ -103,9 +107,14 @@ def gazetteer_features(sentences: DataFrame, entries: DataFrame) -> DataFrame:
     terms = terms.select(F.array_join("toks", "\x01").alias("key"), F.size("toks").alias("n"), "entity_type").distinct()
     lengths = [r.n for r in terms.select("n").distinct().orderBy("n").limit(64).collect()]
     toks = sentences.select("id", F.transform(F.col("tokens"), lambda t: F.lower(t)).alias("toks"))
-    rows = toks.select("id", "toks", F.posexplode("toks").alias("start", "_"))
-    grams = rows.select("id", "start", "toks", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("n")).filter(F.col("start") + F.col("n") <= F.size("toks"))
-    keyed = grams.select("id", "start", "n", F.array_join(F.slice("toks", F.col("start") + 1, F.col("n")), "\x01").alias("key"))
+    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+
+    def grams_at(i: Column) -> Column:
+        fitting = F.filter(sizes, lambda n: i + n <= F.size("toks"))
+        return F.transform(fitting, lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("toks", i + 1, n), "\x01").alias("key")))
+
+    grams = F.flatten(F.transform("toks", lambda t, i: grams_at(i)))
+    keyed = toks.select("id", F.explode(grams).alias("g")).select("id", "g.start", "g.n", "g.key")
     hits = keyed.join(terms, ["key", "n"])
     covered = hits.select("id", "entity_type", "n", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
     return covered.groupBy("id", "pos").agg(

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skillweave.plans import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Roles ranked by the weight of the skills they share with a profile."""
+    return catalog.role_recommend_service(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
