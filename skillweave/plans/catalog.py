@@ -14,7 +14,7 @@ from skillweave.sources import readers
 
 SKILLS = ["small ring", "Brand#2", "economy", "red widget", "SMALL", "unknown thing"]
 #: Similarity above which the driver's suppliers count as neighbours on paths.
-NEAR = 0.55
+NEAR = 0.5
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,32 +193,32 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {a.RECORDS_SQL}, {_SIM},
     reach AS (SELECT 's:1' AS id, 0 AS hops UNION SELECT sim.target, hops + 1 FROM reach JOIN sim ON sim.source = reach.id WHERE hops < 6)
-    SELECT CAST(min(hops) AS DOUBLE) AS distance FROM reach WHERE id = 's:50' HAVING min(hops) IS NOT NULL"""
+    SELECT CAST(min(hops) AS DOUBLE) AS distance FROM reach WHERE id = 's:4' HAVING min(hops) IS NOT NULL"""
 )
 def growth_path_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shortest_paths(graph.undirected_steps(_near(spark, sf)), "s:1", "s:50", 6).select("distance")
+    return graph.shortest_paths(graph.undirected_steps(_near(spark, sf)), "s:1", "s:4", 6).select("distance")
 
 
 @query(
     f"""WITH RECURSIVE {a.RECORDS_SQL}, {_SIM}, lnk AS (SELECT source, target, 1.0::DOUBLE / greatest(ev, 1) AS w FROM sim),
     reach AS (SELECT 's:1' AS id, 0.0::DOUBLE AS d, 0 AS hops UNION ALL SELECT id, min(d), hops FROM (SELECT lnk.target AS id, d + w AS d, hops + 1 AS hops FROM reach JOIN lnk ON lnk.source = reach.id WHERE hops < 8) GROUP BY id, hops)
-    SELECT round(min(d), 6) AS distance FROM reach WHERE id = 's:50' HAVING min(d) IS NOT NULL"""
+    SELECT round(min(d), 6) AS distance FROM reach WHERE id = 's:4' HAVING min(d) IS NOT NULL"""
 )
 def growth_path_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.shortest_paths(graph.similarity_weights(_near(spark, sf)), "s:1", "s:50").select(F.round("distance", 6).alias("distance"))
+    return graph.shortest_paths(graph.similarity_weights(_near(spark, sf)), "s:1", "s:4").select(F.round("distance", 6).alias("distance"))
 
 
 @query()
 def growth_path_names(spark: SparkSession, sf: str) -> DataFrame:
     nodes = a.nodes(spark, sf)
-    found = q.growth_path(nodes, _near(spark, sf), OCCUPATION, "Supplier#000000050 engineer")
+    found = q.growth_path(nodes, _near(spark, sf), OCCUPATION, "Supplier#000000004 engineer")
     return found.select(F.array_join("path", " > ").alias("path"), "reason")
 
 
 @query()
 def growth_steps(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = a.nodes(spark, sf), a.edges(spark, sf)
-    path = graph.shortest_paths(graph.similarity_weights(_near(spark, sf)), "s:1", "s:50")
+    path = graph.shortest_paths(graph.similarity_weights(_near(spark, sf)), "s:1", "s:4")
     every = edges.select("source", "target", "relation").unionByName(graph.prerequisite_chain(nodes, edges))
     return graph.growth_steps(path, every, nodes).withColumn("new_skills", F.array_join("new_skills", ","))
 
