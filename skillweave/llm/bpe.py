@@ -172,7 +172,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and its decoded text in UTF-8."""
         keys = [self.store.keys(t or "") for t in texts]
-        known = self.store.learn({k for ks in keys for k in ks})
+        known = self.store.learn(set().union(*keys))
         out = []
         for ks in keys:
             found = [known[k] for k in ks]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.shared import WordHasher, slices, text_buffers, words_of, write_table
+from skillweave.llm.shared import WordHasher, rows_not_in, slices, text_buffers, words_of, write_table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -289,6 +289,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any test window; columns unchanged.  Rows that share a doc_id stay or go together."""
-    dirty = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    dirty = write_table(contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct(), "dirty")
+    return rows_not_in(docs, dirty)
 

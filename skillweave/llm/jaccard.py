@@ -7,8 +7,9 @@ inverted lists: a set is posted in the lists of its first elements in one global
 share one of.  That order is by hash, but elements of long lists come last; which lists are long is counted over all sets.
 
 Lists are never expanded into all pairs.  First each list links its members with one of them, after an exact check; then
-only members that are still in different components are paired, where the number of shared list entries still allows the
-similarity, and checked exactly on the whole sets.  Two members of one component need no pair: the answer can't change.
+only members that are still in different components are paired, if their sizes and the entry's places in both orders still
+allow the similarity, and checked exactly on the whole sets.  Two members of one component need no pair: the answer can't
+change.
 
 Words are runs of bytes other than ASCII white space, A-Z as a-z; elements are 64-bit hashes of ``SHINGLE`` words.  A text
 of fewer words has one element, all its words.  A null text, or one without words, has no elements and links with
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.llm.components import connected_components
-from skillweave.llm.shared import WordHasher, mix, slices, text_buffers, words_of, write_table
+from skillweave.llm.shared import WordHasher, mix, rows_in, rows_not_in, slices, text_buffers, words_of, write_table
 
 SHINGLE = 5
 #: Similarity as a fraction: 4/5.
@@ -89,7 +90,7 @@ def sets_of(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def _sketch_size(n: int) -> int:
     """How many of a set's lowest hashes are kept: the prefix, and a reserve for elements that move to the end."""
     p = prefix_length(n)
-    return n if n <= LARGEST_LIGHT + 8 else min(n, p + p // 2 + 8)
+    return n if n <= LARGEST_LIGHT + 8 else min(n, p + p // 4 + 8)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +157,11 @@ def _is_long(elements: np.ndarray, long: np.ndarray) -> np.ndarray:
     return long[at] == elements
 
 
+_FIRST = np.zeros(1, np.int32)
+
+
 def _posts(long_lists, boundary: int, whole: bool):
-    """Rows (rep, n, hashes or text) -> postings (key, rep, n, kind).
+    """Rows (rep, n, hashes or text) -> postings (key, rep, n, kind, place in the order).
 
     kind 0: a scanned list; over 0: a light subset, and the smaller of the sizes it stands for; -1: the hashes at hand
     don't reach, because too many of them are in long lists.
@@ -179,7 +183,7 @@ def _posts(long_lists, boundary: int, whole: bool):
                     flat = lists.flatten().to_numpy().view(np.uint64)
                     ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
                     held = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                keys, of, kinds = [], [], []
+                keys, of, kinds, places = [], [], [], []
                 for k, (own, n) in enumerate(zip(held, sizes.tolist(), strict=True)):
                     if n == 0:
                         continue
@@ -188,6 +192,7 @@ def _posts(long_lists, boundary: int, whole: bool):
                             keys.append(np.array([key], np.int64))
                             of.append((k, 1))
                             kinds.append((kind, 1))
+                            places.append(_FIRST)
                     if n > boundary or partners(n)[-1] > boundary:
                         p, last = prefix_length(n), _is_long(own, long)
                         front = own[~last]
@@ -195,23 +200,25 @@ def _posts(long_lists, boundary: int, whole: bool):
                             keys.append(np.zeros(1, np.int64))
                             of.append((k, 1))
                             kinds.append((-1, 1))
+                            places.append(_FIRST)
                             continue
                         chosen = front[:p] if len(front) >= p else np.concatenate([front, own[last]])[:p]
                         keys.append(chosen.view(np.int64))
                         of.append((k, p))
                         kinds.append((0, p))
+                        places.append(np.arange(p, dtype=np.int32))
                 if not keys:
                     continue
                 row = np.repeat([k for k, _ in of], [c for _, c in of])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(reps[row]), pa.array(sizes[row].astype(np.int32)), pa.array(np.repeat([x for x, _ in kinds], [c for _, c in kinds]).astype(np.int32))],
-                    names=["key", "rep", "n", "kind"],
+                    [pa.array(np.concatenate(keys)), pa.array(reps[row]), pa.array(sizes[row].astype(np.int32)), pa.array(np.repeat([x for x, _ in kinds], [c for _, c in kinds]).astype(np.int32)), pa.array(np.concatenate(places))],
+                    names=["key", "rep", "n", "kind", "place"],
                 )
 
     return run
 
 
-POSTINGS = "key bigint, rep bigint, n int, kind int"
+POSTINGS = "key bigint, rep bigint, n int, kind int, place int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +240,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = write_table(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = write_table(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    pairs = write_table(pairs.select("a", "b").distinct(), "pairs")
+    wanted = write_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    own = write_table(rows_in(texts, wanted), "texts")
     first = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return write_table(both.mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
@@ -249,10 +256,9 @@ def _prefix(n: Column) -> Column:
     return n - F.ceil(n * NUM / DEN) + 1
 
 
-def long_lists(classes: DataFrame, boundary: int, longest: int = LONG_LIST, most: int = MOST_LONG) -> np.ndarray:
-    """Sorted hashes whose lists would be long.  If there are too many to broadcast, only the longest: order changes speed, not links."""
-    counts = classes.filter(F.col("n") > boundary * NUM / DEN).select(F.explode("sk").alias("key")).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > longest)
-    table = write_table(counts, "long")
+def _longest(counts: DataFrame, longest: int, most: int) -> np.ndarray:
+    """Sorted keys with a count above ``longest``.  If there are too many to broadcast, only those of the longest lists."""
+    table = write_table(counts.filter(F.col("m") > longest), "long")
     by_length = {r.power: r.n for r in table.groupBy(F.floor(F.log2("m")).alias("power")).agg(F.count("*").alias("n")).collect()}
     total, least = 0, max(by_length, default=0) + 1
     for power in sorted(by_length, reverse=True):
@@ -263,38 +269,66 @@ def long_lists(classes: DataFrame, boundary: int, longest: int = LONG_LIST, most
     return np.sort(found.view(np.uint64))
 
 
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offsets = text_buffers(batch.column(0))
+        for i, j in slices(offsets):
+            sets = sets_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
+
+
+def long_lists(classes: DataFrame, texts: DataFrame, boundary: int, longest: int | None = None, most: int = MOST_LONG) -> np.ndarray:
+    """Sorted hashes whose lists would be long; which ones are known changes the speed of the join, not its links.
+
+    Lowest hashes are counted for all sets.  Sets that consist of long lists so far as their lowest hashes go are counted
+    whole, too, so that what is rare in them comes first.
+    """
+    longest = LONG_LIST if longest is None else longest
+    heavy = classes.filter(F.col("n") > boundary * NUM / DEN)
+    first = _longest(heavy.select(F.explode("sk").alias("key")).groupBy("key").agg(F.count("*").alias("m")), longest, most)
+    short = _too_long(heavy, first, boundary)
+    whole = rows_in(texts, short).select("text").mapInArrow(_whole_sets, "key bigint")
+    return np.union1d(first, _longest(whole.groupBy("key").agg(F.count("*").alias("m")), longest, most))
+
+
+def _too_long(classes: DataFrame, long: np.ndarray, boundary: int) -> DataFrame:
+    """doc_id of the classes whose kept hashes don't reach beside the long lists."""
+    shared = classes.sparkSession.sparkContext.broadcast(long)
+    posts = classes.select("rep", "n", "sk").mapInArrow(_posts(shared, boundary, False), POSTINGS)
+    return write_table(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """vertex, component of all classes (rep, n, sk) that link with another one."""
     spark = docs.sparkSession
     sizes = {int(r.n): r["count"] for r in classes.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes)
-    long = spark.sparkContext.broadcast(long_lists(classes, boundary))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = spark.sparkContext.broadcast(long_lists(classes, texts, boundary))
     posts = write_table(classes.select("rep", "n", "sk").mapInArrow(_posts(long, boundary, False), POSTINGS), "posts")
-    short = posts.filter("kind = -1").select(F.col("rep").alias("doc_id"))
-    more = texts.join(short, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_posts(long, boundary, True), POSTINGS)
+    short = write_table(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
+    more = rows_in(texts, short).select("doc_id", "text").mapInArrow(_posts(long, boundary, True), POSTINGS)
     more = write_table(more, "posts").filter("kind = 0")  # their subsets, if light, are there already
     posts = posts.filter("kind >= 0").unionByName(more)
-    pivot = F.min(F.when((F.col("kind") == 0) | (F.col("n") == F.col("kind")), F.struct("rep", "n"))).alias("pivot")
+    pivot = F.min(F.when((F.col("kind") == 0) | (F.col("n") == F.col("kind")), F.col("rep"))).alias("pivot")
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1 and pivot is not null")
-    members = write_table(posts.join(lists.select("key", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "key"), "members")
-    stars = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.max("kind").alias("kind"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n"))
-    stars = write_table(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "kind", "c", "n", "pivot_n"), "stars")
-    likely = stars.filter((F.col("kind") == 0) & _sizes_fit(F.col("n"), F.col("pivot_n")) & (3 * F.col("c") >= _prefix(F.least("n", "pivot_n"))))
+    members = write_table(posts.join(lists.select("key", "pivot"), "key"), "members")
+    stars = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.max("kind").alias("kind"), F.count("*").alias("c"), F.max("n").alias("n"))
+    stars = write_table(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "kind", "c", "n"), "stars")
+    likely = stars.filter((F.col("kind") == 0) & (3 * F.col("c") >= _prefix(F.col("n"))))
     star_links = _linked(likely, texts).unionByName(stars.filter("kind > 0").select("a", "b"))
     found = write_table(connected_components(star_links), "found")
 
-    scanned = members.filter("kind = 0").select("key", "rep", "n").join(found, F.col("rep") == F.col("vertex"), "left")
-    scanned = scanned.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    scanned = members.filter("kind = 0").select("key", "rep", "n", "place").join(found, F.col("rep") == F.col("vertex"), "left")
+    scanned = scanned.select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
     mixed = scanned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     open_lists = write_table(scanned.join(mixed, "key", "left_semi"), "open")
     p, q = open_lists.alias("p"), open_lists.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _sizes_fit(F.col("p.n"), F.col("q.n")))
-    pairs = across.groupBy(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).agg(F.count("*").alias("c"), F.first("p.n").alias("na"), F.first("q.n").alias("nb"))
-    room = F.greatest(F.col("na") - _prefix(F.col("na")), F.col("nb") - _prefix(F.col("nb")))
-    able = pairs.filter((NUM + DEN) * (F.col("c") + room) >= NUM * (F.col("na") + F.col("nb")))
-    rest = able.join(likely.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    later = _linked(rest, texts)
+    # Of two linked sets each has its first common element among its first n - overlap + 1.
+    overlap = F.ceil((F.col("p.n") + F.col("q.n")) * NUM / (NUM + DEN))
+    early = (F.col("p.place") <= F.col("p.n") - overlap) & (F.col("q.place") <= F.col("q.n") - overlap)
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _sizes_fit(F.col("p.n"), F.col("q.n")) & early)
+    later = _linked(across.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")), texts)
     if later.isEmpty():
         return found
     return connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(later))
@@ -303,7 +337,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = write_table(sketches(docs), "sketches")
+    rows = sketches(docs)
     classes = write_table(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")
     found = write_table(links(docs, classes), "components")
     named = classes.select("n", "s1", "s2", "rep").join(found, F.col("rep") == F.col("vertex"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
@@ -312,7 +346,14 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id; rows without a doc_id stay."""
-    gone = components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """``docs`` with one document of each component, the one with the least doc_id.
+
+    Of rows that share a doc_id one stays; rows without a doc_id stay.
+    """
+    found = write_table(components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")), "verdicts")
+    gone = write_table(found.filter("doc_id <> component_id").select("doc_id"), "gone")
+    kept = rows_not_in(docs, gone)
+    repeated = write_table(found.filter("n > 1 and doc_id = component_id").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return rows_not_in(kept, repeated).unionByName(rows_in(kept, repeated).dropDuplicates(["doc_id"]))

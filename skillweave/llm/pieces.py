@@ -9,7 +9,7 @@ and splitter, because Python and the tokenizers library know different versions
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import regex
 
@@ -18,7 +18,11 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 REAL_SPACE = regex.compile(r"[^\s\x1c-\x1f]+(?:[\x1c-\x1f]+[^\s\x1c-\x1f]*)*|[\x1c-\x1f]+(?:[^\s\x1c-\x1f]+[\x1c-\x1f]*)*")
 LATIN = regex.compile("[^\x00-ɏ]")
-#: Distinct chunks kept by a worker; beyond it the store starts anew, which costs time and changes no result.
+#: Marks the key of a special token; no chunk has white space in it.
+SPECIAL = "\x00special "
+#: Signs that end words; an apostrophe isn't one, as it may begin a piece.
+SIGNS = ".,;:!?%*#$&"
+#: Distinct chunks of one generation of a worker's store.
 KEEP = 250_000
 
 
@@ -37,17 +41,24 @@ class ChunkStore:
         self.encode, self.of_special, self.join = encode, special, join
         self.chunks: dict[str, object] = {}
         self.pieces: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+        self.older_pieces: dict[str, object] = {}
 
     def pieces_of(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, as text before it becomes bytes."""
-        if LATIN.search(chunk):
-            return [p for p, _ in self.split(self.normalise(chunk))]
-        if not (chunk.isascii() and chunk.isprintable()):
-            chunk = unicodedata.normalize("NFC", chunk)
+        """The pieces of a chunk, in the alphabet of bytes."""
+        plain = chunk.isascii() and chunk.isprintable()
+        if not plain:
+            if not LATIN.search(chunk):
+                chunk = unicodedata.normalize("NFC", chunk)
             if LATIN.search(chunk):
                 return [p for p, _ in self.split(self.normalise(chunk))]
-            return [_as_bytes(p) for p in PIECE.findall(chunk.lower())]
-        return PIECE.findall(chunk.lower())
+        low = chunk.lower()
+        body = low.rstrip(SIGNS)
+        if body.isalpha():  # one run of letters, and perhaps one of signs
+            found = [body] if len(body) == len(low) else [body, low[len(body) :]]
+        else:
+            found = PIECE.findall(low)
+        return found if plain else [p.encode().decode("latin-1").translate(_TABLE) for p in found]
 
     def keys(self, text: str) -> list[str]:
         """The chunks of a whole text, in order; a special token of the vocabulary is a chunk of its own."""
@@ -55,28 +66,34 @@ class ChunkStore:
             return chunks_of(text)
         out = []
         for k, part in enumerate(self.cut.split(text)):
-            out += ["\x00special " + part] if k % 2 else chunks_of(part)
+            out += [SPECIAL + part] if k % 2 else chunks_of(part)
         return out
 
-    def learn(self, keys: Iterable[str]) -> dict[str, object]:
-        """Values for all ``keys``."""
+    def learn(self, keys: set[str]) -> dict[str, object]:
+        """Values for all ``keys``.  Two generations are kept, so that what is frequent is never computed anew."""
         if len(self.chunks) > KEEP:
-            self.chunks = {}
+            self.older, self.chunks = self.chunks, {}
         if len(self.pieces) > KEEP:
-            self.pieces = {}
-        new = set(keys).difference(self.chunks)
-        parts = {}
-        for key in new:
-            if key.startswith("\x00special "):
-                self.chunks[key] = self.of_special(self.special[key[9:]])
-            else:
-                parts[key] = self.pieces_of(key)
-        unknown = list({p for ps in parts.values() for p in ps}.difference(self.pieces))
-        if unknown:
-            self.pieces.update(zip(unknown, self.encode(unknown), strict=True))
-        for key, ps in parts.items():
-            self.chunks[key] = self.join([self.pieces[p] for p in ps])
-        return self.chunks
+            self.older_pieces, self.pieces = self.pieces, {}
+        chunks, pieces = self.chunks, self.pieces
+        new = keys.difference(chunks)
+        for key in new.intersection(self.older):
+            chunks[key] = self.older[key]
+        new.difference_update(self.older)
+        parts = [(key, self.pieces_of(key)) for key in new if not key.startswith(SPECIAL)]
+        unknown = set().union(*[ps for _, ps in parts]).difference(pieces)
+        for piece in unknown.intersection(self.older_pieces):
+            pieces[piece] = self.older_pieces[piece]
+        asked = list(unknown.difference(self.older_pieces))
+        if asked:
+            pieces.update(zip(asked, self.encode(asked), strict=True))
+        for key, ps in parts:
+            chunks[key] = pieces[ps[0]] if len(ps) == 1 else self.join([pieces[p] for p in ps])
+        if len(parts) < len(new):
+            for key in new:
+                if key.startswith(SPECIAL):
+                    chunks[key] = self.of_special(self.special[key[len(SPECIAL) :]])
+        return chunks
 
 
 def byte_alphabet() -> list[str]:
@@ -87,7 +104,4 @@ def byte_alphabet() -> list[str]:
 
 
 _ALPHABET = byte_alphabet()
-
-
-def _as_bytes(piece: str) -> str:
-    return "".join([_ALPHABET[b] for b in piece.encode()])
+_TABLE = dict(enumerate(_ALPHABET))

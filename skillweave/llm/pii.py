@@ -276,7 +276,7 @@ def train(docs: DataFrame) -> Field:
     """A field fitted to the base spans of a bounded sample: the ``MOST_DOCS`` documents with digits of lowest doc_id hash."""
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     ids = picked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)
-    around = picked.join(ids, "doc_id").select("doc_id", "text").mapInArrow(_sample_regions, "doc_id string, piece string")
+    around = picked.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_sample_regions, "doc_id string, piece string")
     pieces = sorted({r.piece for r in around.orderBy(F.xxhash64("piece"), "piece").limit(MOST_REGIONS).collect()}, key=lambda p: zlib.crc32(p.encode()))
     field = Field()
     examples = []

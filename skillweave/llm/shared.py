@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space as the word rules of these operators see it.
 SPACES = (0x20, *range(0x09, 0x0E))
@@ -155,3 +156,21 @@ def words_of(hasher: WordHasher, raw: np.ndarray, offsets: np.ndarray):
     """Hash of every word, in order, and for each text its first word's index (n+1 entries)."""
     starts, ends = hasher.spans(raw, offsets)
     return hasher.hashes(raw, starts, ends), np.searchsorted(starts, offsets, "left")
+
+
+#: Ids that are broadcast at most (32 MB); more are met in a shuffled join.
+MOST_IDS = 4_000_000
+
+
+def _met(ids: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def rows_in(df: DataFrame, ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """Rows of ``df`` whose doc_id is in ``ids`` (doc_id, a stored table).  Few enough ids are broadcast, so that texts stay where they are."""
+    return df.join(_met(ids, most), "doc_id", "left_semi").select(df.columns)
+
+
+def rows_not_in(df: DataFrame, ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """Rows of ``df`` whose doc_id isn't in ``ids``; rows without doc_id stay."""
+    return df.join(_met(ids, most), "doc_id", "left_anti").select(df.columns)

@@ -32,7 +32,7 @@ from skillweave.llm.shared import write_table
 MAGIC = b"SWRP1"
 END_ID = 2
 SHARD_IDS = 1 << 20
-RULES_A_ROUND, ROUNDS, LEAST_COUNT = 2_048, 4, 8
+RULES_A_ROUND, ROUNDS, LEAST_COUNT = 4_096, 3, 8
 NO_ID = -(1 << 63)
 
 
@@ -58,8 +58,9 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         keys = [self.store.keys(t or "") for t in texts]
-        known = self.store.learn({k for ks in keys for k in ks})
-        return [b"".join([known[k] for k in ks]) for ks in keys]
+        known = self.store.learn(set().union(*keys))
+        value = known.__getitem__
+        return [b"".join(map(value, ks)) for ks in keys]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}

@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     for label in (1, 0):
         own = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
         picked = own if picked is None else picked.unionByName(own)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("toxic", "text")  # at most most_rows a label
     rows = texts.mapInArrow(_hash_rows, "toxic int, terms binary").toArrow().to_pydict()
     order = sorted(range(len(rows["toxic"])), key=lambda i: (rows["toxic"][i], rows["terms"][i]))
     return fit([np.frombuffer(rows["terms"][i], "<i4") for i in order], np.array([rows["toxic"][i] for i in order], np.int64))
