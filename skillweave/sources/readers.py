@@ -105,7 +105,8 @@ def read_onet_zip(spark: SparkSession, path: str) -> DataFrame:
                             continue
                         with archive.open(member) as f:
                             for n, part in enumerate(pd.read_csv(f, sep="\t", dtype=str, chunksize=50_000, keep_default_na=False)):
-                                part = part.reindex(columns=list(names))
+                                part = part.reindex(columns=list(names)).astype(object)
+                                part = part.where(part.notna(), None)
                                 part.insert(0, "entity_type", kind)
                                 part.insert(0, "ord", [k * 10_000_000 + n * 50_000 + i for i in range(len(part))])
                                 yield part
