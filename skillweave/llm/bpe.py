@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.llm.pieces import ChunkStore, byte_alphabet
+from skillweave.llm.shared import small_batches
 
 LONG = 512
 NONE = np.int64(1) << 40
@@ -233,10 +234,12 @@ def _map(path: str, with_ids: bool):
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_map(path, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, without moving either."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_map(path, False), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.llm.components import connected_components
-from skillweave.llm.shared import WordHasher, mix, rows_in, rows_not_in, slices, text_buffers, words_of, write_table
+from skillweave.llm.shared import WordHasher, mix, rows_in, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
 
 SHINGLE = 5
 #: Similarity as a fraction: 4/5.
@@ -336,6 +336,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = sketches(docs)
     classes = write_table(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")

@@ -22,8 +22,8 @@ LATIN = regex.compile("[^\x00-ɏ]")
 SPECIAL = "\x00special "
 #: Signs that end words; an apostrophe isn't one, as it may begin a piece.
 SIGNS = ".,;:!?%*#$&"
-#: Distinct chunks of one generation of a worker's store.
-KEEP = 250_000
+#: Distinct chunks of one generation of a worker's store; workers live on between stages, and so does the store.
+KEEP = 120_000
 
 
 def chunks_of(text: str) -> list[str]:

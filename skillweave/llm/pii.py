@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.llm.shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -274,6 +276,7 @@ def _lse2(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(docs: DataFrame) -> Field:
     """A field fitted to the base spans of a bounded sample: the ``MOST_DOCS`` documents with digits of lowest doc_id hash."""
+    small_batches(docs.sparkSession)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     ids = picked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)
     around = picked.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(_sample_regions, "doc_id string, piece string")

@@ -30,6 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows of an Arrow batch at most, where rows hold whole texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most ``BATCH_ROWS`` rows at once, so that a batch of whole texts stays small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once, cut the lineage: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.llm.bpe import text_groups
+from skillweave.llm.shared import small_batches
 
 MOST_ROWS = 8_000
 MOST_TERMS = 4_096
@@ -33,7 +34,7 @@ STEMS = (4, 5, 6)
 LEAST_EVIDENCE = 16.0
 FACTORS, STEPS, RATE, DECAY = 8, 250, 0.05, 2e-4
 TRIM = ".,;:!?\"'()[]{}#*$%&|<>«»„“”-_"
-KEEP = 400_000
+KEEP = 200_000
 
 
 def terms_of(token: str) -> list[int]:
@@ -165,6 +166,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
     """Fit on at most ``most_rows`` labelled rows of each label that are not held out."""
+    small_batches(docs.sparkSession)
     marked = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = None
     for label in (1, 0):
@@ -208,7 +210,10 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = shared.value
         store = TermStore(own.index())
         for batch in batches:
-            keep = own.scores([store.terms(t.as_py()) for t in batch.column(at)]) < 0.5 if batch.num_rows else np.zeros(0, bool)
-            yield batch.filter(pa.array(keep))
+            begin = 0
+            for texts in text_groups(batch.column(at), 4_000_000):
+                keep = own.scores([store.terms(t) for t in texts]) < 0.5
+                yield batch.slice(begin, len(texts)).filter(pa.array(keep))
+                begin += len(texts)
 
     return docs.mapInArrow(run, docs.schema)
