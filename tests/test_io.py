@@ -42,7 +42,7 @@ def test_graph_csv_round_trip(spark, tmp_path):
 
 
 def test_weak_label_and_full_input(spark, tmp_path):
-    rows = [{"id": "p1", "lang": "en", "title": "3. Developer", "description": "Knows Python. Likes tea.\nDocker and Python needed."}]
+    rows = [{"id": "p1", "lang": "en", "title": "3. Developer", "description": "Knows Python well. Likes tea.\nDocker and Python needed."}]
     (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
     (tmp_path / "e.csv").write_text(ESCO)
     jobs = readers.read_postings(spark, str(tmp_path / "p.jsonl"))
