@@ -466,3 +466,19 @@ def capped_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def relation_proxy_by_group(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events").withColumn("proficiency_level", F.when(F.col("value") >= 50, F.lit("expert")))
     return e.groupBy("event_type").agg(F.count("*").alias("num_relations"), F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4).alias("proficiency_coverage"))
+
+
+def _on_all_lines(f):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with a.all_lines():
+            return f(spark, sf)
+
+    return run
+
+
+#: Graph queries without SQL; ``edge_endpoint_check`` keeps half of the nodes and has no counterpart of this kind.
+_GRAPH = {n for n, sql in SQL.items() if a.RECORDS_SQL in sql} - {"edge_endpoint_check"} | {"growth_path_names", "growth_steps"}
+for _name in sorted(_GRAPH):
+    QUERIES[f"whole_{_name}"] = _on_all_lines(QUERIES[_name])
+    if _name in SQL:
+        SQL[f"whole_{_name}"] = SQL[_name].replace(a.RECORDS_SQL, a.ALL_RECORDS_SQL)
