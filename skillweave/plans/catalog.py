@@ -282,6 +282,16 @@ def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", F.posexplode("s").alias("sentence", "text"))
 
 
+@query(
+    """SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(
+    regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), '\\r?\\n+', chr(30), 'g'), chr(30)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0"""
+)
+def line_sentence_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All sentences of every text, of which ``first_sentences`` shows three."""
+    s = a.table(spark, sf, "documents").select("doc_id", fx.line_sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences_md5"))
+
+
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(lower(p_brand), '[^a-z0-9一-鿿+.#]+', '', 'g') AS align_key, regexp_replace(lower(p_name), '\\s+', '', 'g') AS name_key, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS lookup_key FROM part")
 def normal_keys(spark: SparkSession, sf: str) -> DataFrame:
     return a.table(spark, sf, "part").select("p_partkey", fx.slug(F.col("p_name")).alias("slug"), fx.align_key(F.col("p_brand")).alias("align_key"), fx.name_key(F.col("p_name")).alias("name_key"), fx.lookup_key(F.col("p_name")).alias("lookup_key"))

@@ -1,6 +1,7 @@
 """Queries over whole tables hold every row of them."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,3 +17,11 @@ def test_whole_graph_has_every_line(spark):
     edges = registry.queries()["whole_build_edges"](spark, SF)
     assert edges.agg(F.sum("evidence_count")).first()[0] == 3 * lines
     assert registry.queries()["build_edges"](spark, SF).agg(F.sum("evidence_count")).first()[0] < lines
+
+
+def test_line_sentences_are_all_there(spark):
+    got = registry.queries()["line_sentence_split"](spark, SF).agg(F.sum("n_sentences")).first()[0]
+    assert got > registry.queries()["first_sentences"](spark, SF).count() * 3
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: len([x for x in re.split(r"(?<=[.!?])\s+|\r?\n+", r.text, flags=re.ASCII) if x.strip(" \t\n\r\x0b\x0c")]) for r in docs if r.text}
+    assert {r.doc_id: r.n_sentences for r in registry.queries()["line_sentence_split"](spark, SF).collect()} == {k: n for k, n in want.items() if n}
