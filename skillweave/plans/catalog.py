@@ -322,6 +322,18 @@ def attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "text", fx.proficiency(F.col("text")).alias("proficiency_level"), fx.essential(F.col("text")).alias("essential"), fx.experience_years(F.col("text")).alias("experience_years"))
 
 
+_ALL_RULES = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, (['Expert in', 'experienced with', 'familiar:', 'basic', 'Advanced', '精通', 'knows'])[l_partkey % 7 + 1] || ' w' || l_partkey ||
+  (['', ' preferred', ' nice to have', ' surplus', ' 优先'])[l_orderkey % 5 + 1] ||
+  CASE l_suppkey % 3 WHEN 0 THEN regexp_replace(' ' || (l_tax * 100 + 1) || ' years', '[.]0 ', ' ') WHEN 1 THEN ' ' || l_linenumber || '年' ELSE '' END AS text FROM lineitem)"""
+
+
+@query(SQL["attribute_rules"].replace(_RULES, _ALL_RULES))
+def whole_attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """``attribute_rules`` over every line, those with English years too."""
+    text = F.col("text")
+    return a.rule_texts(spark, sf).select("id", "text", fx.proficiency(text).alias("proficiency_level"), fx.essential(text).alias("essential"), fx.experience_years(text).alias("experience_years"))
+
+
 @query(f"WITH {a.TAGGED_SQL} SELECT id, entity_type, CAST(start_token AS INTEGER) AS start_token, CAST(end_token AS INTEGER) AS end_token, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, txt AS text FROM spn")
 def bio_spans(spark: SparkSession, sf: str) -> DataFrame:
     return bio.extract_spans(a.tagged(spark, sf)).select("id", F.explode("spans").alias("s")).select("id", "s.entity_type", "s.start_token", "s.end_token", "s.start_char", "s.end_char", "s.text")
@@ -486,9 +498,21 @@ def _on_all_lines(f):
     return run
 
 
-#: Graph queries without SQL; ``edge_endpoint_check`` keeps half of the nodes and has no counterpart of this kind.
+#: Graph queries; ``edge_endpoint_check`` keeps half of the nodes, its counterpart is written out below.
 _GRAPH = {n for n, sql in SQL.items() if a.RECORDS_SQL in sql} - {"edge_endpoint_check"} | {"growth_path_names", "growth_steps"}
 for _name in sorted(_GRAPH):
     QUERIES[f"whole_{_name}"] = _on_all_lines(QUERIES[_name])
     if _name in SQL:
         SQL[f"whole_{_name}"] = SQL[_name].replace(a.RECORDS_SQL, a.ALL_RECORDS_SQL)
+
+
+#: Nodes that are renamed, so that their edges miss an endpoint.
+_RENAMED = ("b:Brand#2", "s:3")
+
+
+@query(f"WITH {a.ALL_RECORDS_SQL}, known AS (SELECT CASE WHEN id IN {_RENAMED} THEN id || '?' ELSE id END AS id FROM nod) SELECT source, target, relation FROM edg WHERE target IN (SELECT id FROM known) AND source IN (SELECT id FROM known)")
+def whole_edge_endpoint_check(spark: SparkSession, sf: str) -> DataFrame:
+    with a.all_lines():
+        nodes, edges = a.nodes(spark, sf), a.edges(spark, sf)
+    renamed = F.when(F.col("id").isin(*_RENAMED), F.concat("id", F.lit("?"))).otherwise(F.col("id"))
+    return graph.check_endpoints(edges, nodes.withColumn("id", renamed)).select("source", "target", "relation")

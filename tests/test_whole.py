@@ -25,3 +25,18 @@ def test_line_sentences_are_all_there(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: len([x for x in re.split(r"(?<=[.!?])\s+|\r?\n+", r.text, flags=re.ASCII) if x.strip(" \t\n\r\x0b\x0c")]) for r in docs if r.text}
     assert {r.doc_id: r.n_sentences for r in registry.queries()["line_sentence_split"](spark, SF).collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_attribute_rules_take_every_line(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    got = registry.queries()["whole_attribute_rules"](spark, SF)
+    assert got.count() == lines.count()
+    english = got.filter("text like '% years'")
+    assert english.count() == lines.filter("l_suppkey % 3 = 0").count() > 0
+    assert english.filter("experience_years is null or experience_years < 1").count() == 0
+
+
+def test_endpoint_check_misses_only_renamed_nodes(spark):
+    edges = {(r.source, r.target, r.relation) for r in registry.queries()["whole_build_edges"](spark, SF).collect()}
+    got = {(r.source, r.target, r.relation) for r in registry.queries()["whole_edge_endpoint_check"](spark, SF).collect()}
+    assert got == {e for e in edges if e[0] != "s:3" and e[1] != "b:Brand#2"} and got < edges
