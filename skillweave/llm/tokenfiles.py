@@ -1,13 +1,14 @@
 """Token-id files with Re-Pair grammar compression.
 
 Documents are dealt into shards by ascending doc_id.  In each shard frequent id pairs are replaced by new symbols, again
-and again; a file holds the rules, the length that every rule expands to, and each document's place among the symbols, so
+and again, until no pair of symbols occurs ``LEAST_COUNT`` times without overlap; a file holds the rules, the length that every rule expands to, and each document's place among the symbols, so
 that one document, or any range of ids, is decoded without the rest.  No pair crosses the end of a document.  Shard files
 are rows of a table of binary payloads in the shared folder, so that any executor reads and writes them where Spark does.
 
-Layout (little-endian): magic ``SWRP1``, then as unsigned 32-bit integers the base of rule symbols, and the numbers of
-rules, documents and symbols; the rules (two symbols each), their expansion lengths, the documents' first symbols (one more
-than documents), their first ids (the same), the doc_ids as signed 64-bit integers, and the symbols (16 bits if all fit).
+Layout (little-endian): magic ``SWRP2``, then as unsigned 32-bit integers the numbers of distinct ids, rules, documents and
+symbols; the distinct ids in rising order (symbols below their number are places among them, the others are rules), the
+rules' expansion lengths, the documents' first symbols (one more than documents), their first ids (the same), the doc_ids as
+signed 64-bit integers, the rules (two symbols each) and the symbols (16 bits if all numbers fit).
 
 A null text is an empty one: its document is the end id alone.  Repeated rows are kept, ordered by (doc_id, text).  A
 null doc_id sorts first.  An empty table makes no file and an empty result.
@@ -29,10 +30,10 @@ from skillweave.llm.bpe import text_groups
 from skillweave.llm.pieces import ChunkStore
 from skillweave.llm.shared import write_table
 
-MAGIC = b"SWRP1"
+MAGIC = b"SWRP2"
 END_ID = 2
 SHARD_IDS = 1 << 20
-RULES_A_ROUND, ROUNDS, LEAST_COUNT = 4_096, 3, 8
+RULES_A_ROUND, LEAST_COUNT = 4_096, 8
 NO_ID = -(1 << 63)
 
 
@@ -82,16 +83,16 @@ def _frequent_pairs(key: np.ndarray, most: int) -> np.ndarray:
     return pairs[np.lexsort((pairs, -counts))[:most]]
 
 
-def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND):
+def compress(ids: np.ndarray, first: np.ndarray, rounds: int | None = None, rules_a_round: int = RULES_A_ROUND):
     """Rules, expansion lengths, symbols and each document's first symbol for ``ids`` (documents start at ``first``)."""
     symbols = ids.astype(np.int64)
     base = int(symbols.max()) + 1 if len(symbols) else 0
     last = np.zeros(len(symbols), bool)
     last[first[1:] - 1] = True
     rules, lengths = [], []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    done = 0
+    while len(symbols) > 1 and (rounds is None or done < rounds):
+        done += 1
         key = (symbols[:-1] << 32) | symbols[1:]
         open_at = np.flatnonzero(~last[:-1])
         pairs = _frequent_pairs(key[open_at], rules_a_round)
@@ -128,14 +129,19 @@ def compress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, rules_a_r
     return base, np.array(rules, np.int64).reshape(-1, 2), np.array(lengths, np.int64), symbols, first
 
 
+def _symbol_type(base: int, rules: int) -> str:
+    return "<u2" if base + rules <= 1 << 16 else "<u4"
+
+
 def pack(doc_ids: list, ids: list[bytes]) -> bytes:
     """One shard file of documents given as unsigned 32-bit ids."""
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)
-    base, rules, lengths, symbols, first = compress(np.frombuffer(b"".join(ids), "<u4"), starts)
-    narrow = not len(symbols) or symbols.max() < 1 << 16
+    alphabet, places = np.unique(np.frombuffer(b"".join(ids), "<u4"), return_inverse=True)
+    base, rules, lengths, symbols, first = compress(places, starts)
+    kind = _symbol_type(base, len(rules))
     head = MAGIC + struct.pack("<4I", base, len(rules), len(doc_ids), len(symbols))
     names = np.array([NO_ID if d is None else d for d in doc_ids], "<i8")
-    parts = [rules.astype("<u4"), lengths.astype("<u4"), first.astype("<u4"), starts.astype("<u4"), names, symbols.astype("<u2" if narrow else "<u4")]
+    parts = [alphabet, lengths.astype("<u4"), first.astype("<u4"), starts.astype("<u4"), names, rules.astype(kind), symbols.astype(kind)]
     return head + b"".join([p.tobytes() for p in parts])
 
 
@@ -154,11 +160,13 @@ class File:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
+        kind = _symbol_type(self.base, n_rules)
+        self.alphabet = take("<u4", self.base)
         self.lengths = take("<u4", n_rules).astype(np.int64)
         self.first, self.starts = take("<u4", n_docs + 1).astype(np.int64), take("<u4", n_docs + 1).astype(np.int64)
         self.doc_ids = take("<i8", n_docs)
-        self.symbols = take("<u2" if len(payload) - at == 2 * n_symbols else "<u4", n_symbols)
+        self.rules = take(kind, 2 * n_rules).reshape(-1, 2).astype(np.int64)
+        self.symbols = take(kind, n_symbols)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
@@ -171,7 +179,7 @@ class File:
             pair = self.rules[symbols[at] - self.base]
             out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
             symbols = out
-        return symbols.astype("<u4")
+        return self.alphabet[symbols]
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[k] : self.first[k + 1]])

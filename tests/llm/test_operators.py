@@ -124,6 +124,20 @@ def test_re_pair_round_trip():
         assert (file.ids(start, n) == whole[start : start + n]).all(), trial
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 30_000, 500).astype("<u4")
+    docs = [np.concatenate([rng.integers(0, 30_000, 20).astype("<u4"), passage]) for _ in range(40)]
+    file = tokenfiles.File(tokenfiles.pack(list(range(len(docs))), [d.tobytes() for d in docs]))
+    assert all((file.document(k) == d).all() for k, d in enumerate(docs))
+    inside = np.ones(len(file.symbols), bool)
+    inside[file.first[1:] - 1] = False
+    at = np.flatnonzero(inside)
+    pairs = np.stack([file.symbols[at], file.symbols[at + 1]], 1)
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < tokenfiles.LEAST_COUNT
+    assert file.lengths.max() >= 256 and len(file.symbols) < 40 * 40
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
