@@ -105,7 +105,7 @@ def gazetteer_features(sentences: DataFrame, entries: DataFrame) -> DataFrame:
     """All matches merged per token: id, pos, types (sorted), type (least), span_len (longest), begin."""
     terms = variants(entries).select(fx.feature_tokens(F.col("variant")).alias("toks"), "entity_type").filter(F.size("toks") > 0)
     terms = terms.select(F.array_join("toks", "\x01").alias("key"), F.size("toks").alias("n"), "entity_type").distinct()
-    lengths = [r.n for r in terms.select("n").distinct().orderBy("n").limit(64).collect()]
+    lengths = [r.n for r in terms.select("n").distinct().orderBy("n").collect()]
     toks = sentences.select("id", F.transform(F.col("tokens"), lambda t: F.lower(t)).alias("toks"))
     sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillweave import registry
+from skillweave.operators import gazetteer
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -40,3 +41,12 @@ def test_endpoint_check_misses_only_renamed_nodes(spark):
     edges = {(r.source, r.target, r.relation) for r in registry.queries()["whole_build_edges"](spark, SF).collect()}
     got = {(r.source, r.target, r.relation) for r in registry.queries()["whole_edge_endpoint_check"](spark, SF).collect()}
     assert got == {e for e in edges if e[0] != "s:3" and e[1] != "b:Brand#2"} and got < edges
+
+
+def test_gazetteer_features_know_every_length(spark):
+    words = [f"w{k}" for k in range(80)]
+    rows = [(n, f"c{n}", "SKL" if n < 80 else "TOL", " ".join(words[:n]), "ESCO", "", []) for n in range(1, 81)]
+    entries = spark.createDataFrame(rows, "ord bigint, canonical_id string, entity_type string, term string, source string, description string, aliases array<string>")
+    docs = spark.createDataFrame([("1", words)], "id string, tokens array<string>")
+    got = {r.pos: (r.span_len, r.types) for r in gazetteer.gazetteer_features(docs, entries).collect()}
+    assert got == {k: (80, ["SKL", "TOL"] if k < 79 else ["TOL"]) for k in range(80)}
