@@ -3,7 +3,8 @@
 Every row starts in the shard of its hash.  In each round a row counts its neighbours' shards and asks to move where most
 of them are.  Requests between two shards are granted up to the number that wants the opposite way, plus an even part of
 what the target may still take; which ones, by gain and then by hash, is decided on a small table of counted cells, never
-on the rows of a whole shard.  Then the few rows above a shard's due are moved, unlinked ones first, so that counts are at
+on the rows of a whole shard.  Rounds go on until no link is cut, or ``STILL`` of them in a row have cut no fewer than the best before;
+the best is taken.  Then the few rows above a shard's due are moved, unlinked ones first, so that counts are at
 most one apart (law ``rows``), and rows get slots, gapless from 0 in each shard, by counts of hash buckets.
 
 A null text has size 1 and links with nothing.  Rows of equal texts are linked to the first of them, never pair by pair.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from skillweave.llm.shared import write_table
 
 SHARDS = 8
-ROUNDS = 5
+#: Each round lets a random half of the rows move, so one without gain isn't the end.
+STILL = 4
 SLACK = 0.02
 #: Rows in a hash bucket at most, about; buckets are what ranks are counted by.
 BUCKET_ROWS = 4_096
@@ -50,14 +52,21 @@ def _bucket(rid: Column, n: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(rid, F.lit(seed)), F.lit(n)).cast("int")
 
 
-def propagate(labels: DataFrame, edges: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """rid, shard after ``rounds`` rounds over ``edges`` (a, b) between rows of ``labels`` (rid, shard)."""
+def propagate(labels: DataFrame, edges: DataFrame, shards: int, rounds: int | None = None, slack: float = SLACK) -> DataFrame:
+    """rid, shard when cut links fall no more (or after ``rounds`` rounds) over ``edges`` (a, b) between rows of ``labels`` (rid, shard)."""
     both = write_table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    for k in range(rounds):
+    best, still, k = None, 0, -1
+    kept = labels
+    while rounds is None or k + 1 < rounds:
+        k += 1
         sizes = {r.shard: r["count"] for r in labels.groupBy("shard").count().collect()}
         cap = ceil(sum(sizes.values()) / shards * (1 + slack))
         seen = both.join(labels.select(F.col("rid").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("n"))
-        own = seen.join(labels.select(F.col("rid").alias("a"), F.col("shard").alias("at")), "a")
+        own = write_table(seen.join(labels.select(F.col("rid").alias("a"), F.col("shard").alias("at")), "a"), "own")
+        cut = own.filter(F.col("to") != F.col("at")).agg(F.sum("n")).first()[0] or 0
+        best, still, kept = (cut, 0, labels) if best is None or cut < best else (best, still + 1, kept)
+        if not cut or still >= STILL:
+            return kept
         wish = own.groupBy("a", "at").agg(F.max(F.struct(F.col("n"), (-F.col("to")).alias("low"))).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("at"), F.col("n"))), F.lit(0)).alias("here"))
         wish = wish.select(F.col("a").alias("rid"), "at", (-F.col("best.low")).alias("to"), (F.col("best.n") - F.col("here")).alias("gain"))
         level = F.least(F.floor(F.log2(F.col("gain") + 1)), F.lit(GAINS - 1)).cast("int")
@@ -108,7 +117,7 @@ def even_out(labels: DataFrame, edges: DataFrame, shards: int, buckets: int) ->
     return ranked.select("rid", F.when(F.col("rank") < surplus, target).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
-def shard_rows(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """rid, shard, slot for ``rows`` (rid) with links ``edges`` (a, b)."""
     total = rows.count()
     buckets = max(16, ceil(total / shards / BUCKET_ROWS))

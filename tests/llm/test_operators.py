@@ -245,6 +245,18 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_sharding_joins_pairs(spark):
+    rows = spark.range(2_000).select(F.col("id").alias("rid"), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("shard"))
+    links = spark.range(1_000).select((F.col("id") * 2 + 1).alias("a"), (F.col("id") * 2).alias("b"))
+
+    def cut(labels):
+        at = {r.rid: r.shard for r in labels.collect()}
+        return sum(at[2 * k] != at[2 * k + 1] for k in range(1_000))
+
+    after = [cut(sharding.propagate(rows, links, 8, rounds)) for rounds in (5, None)]
+    assert after[1] < after[0] and after[1] <= 10, after
+
+
 def test_decontamination_brute_force(spark):
     rng = random.Random(2)
     vocab = [f"t{i}" for i in range(30)] + ["É", "Zz"]
