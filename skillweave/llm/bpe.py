@@ -5,7 +5,11 @@ the sorted pair keys, takes the lowest rank of each word, merges that pair where
 left, without overlap) and drops finished words.  A piece of more than ``LONG`` symbols, for which rounds would be
 quadratic, is merged with a heap instead: same rule, one merge at a time.
 
+Decoding looks every id up in one flat table of token texts.
+
 A null text is an empty one: no ids, empty decoded text.  Rows are independent, so repeated rows give repeated results.
+Very long texts and very long words take time and memory in proportion to their length.  Other columns are ignored, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.pieces import ChunkStore, byte_alphabet
-from skillweave.llm.shared import small_batches
+from skillweave.llm.pieces import PieceStore, byte_alphabet
+from skillweave.llm.shared import slices, small_batches, text_buffers
 
 LONG = 512
+#: Bytes of text that are encoded at once, about, and chunks that a worker keeps: small, so that a worker stays small.
+SLICE_BYTES, MOST_CHUNKS = 1_000_000, 100_000
 NONE = np.int64(1) << 40
 
 
@@ -142,6 +147,21 @@ class Merges:
         return [s for s, live in zip(symbols, alive, strict=True) if live]
 
 
+class TokenTexts:
+    """The text of every id, in one table; ids that the vocabulary doesn't have are skipped, as its library does."""
+
+    def __init__(self, text: dict[int, str]):
+        self.table = pa.array([text[i].encode() + b" " if i in text else b"" for i in range(max(text) + 1)] + [b""], pa.large_binary())
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of all ids' texts, a space after each, and where each id's begin (n+1 entries)."""
+        known = np.where(ids < len(self.table) - 1, ids, len(self.table) - 1)
+        taken = self.table.take(pa.array(known.astype(np.int64)))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
 class Codec:
     """Whole texts to ids and back, as the vocabulary's library gives them."""
 
@@ -150,39 +170,15 @@ class Codec:
 
         self.merges = Merges(path)
         tokenizer = Tokenizer.from_file(path)
-        self.text = dict(self.merges.text)
-        special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.store = ChunkStore(tokenizer, self._pieces, self._special, self._chunk)
-        self.text |= special
-
-    def _packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return array("I", ids).tobytes(), " ".join([self.text[i] for i in ids]).encode()
-
-    def _pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        return [self._packed(ids) for ids in self.merges.encode(pieces)]
-
-    def _special(self, token_id: int) -> tuple[bytes, bytes]:
-        return self._packed([token_id])
-
-    @staticmethod
-    def _chunk(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-        if len(parts) == 1:
-            return parts[0]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and its decoded text in UTF-8."""
-        keys = [self.store.keys(t or "") for t in texts]
-        known = self.store.learn(set().union(*keys))
-        out = []
-        for ks in keys:
-            found = [known[k] for k in ks]
-            out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])))
-        return out
+        self.store = PieceStore(tokenizer, self.merges.encode, MOST_CHUNKS)
+        self.texts = TokenTexts(self.merges.text | {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()})
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.store.ids(*text_buffers(pa.array([text], pa.string())))[0].astype("<u4")
 
-    def decode(self, ids: bytes | np.ndarray) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Tokens joined by one space: the vocabulary has no decoder."""
-        return " ".join([self.text[i] for i in (np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids).tolist()])
+        return self.texts.decode(np.asarray(ids, np.int64))[0].tobytes().decode()[:-1]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -195,51 +191,53 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def text_groups(column: pa.Array, limit: int = 2_000_000):
-    """Lists of texts of about ``limit`` characters together."""
-    group, room = [], limit
-    for text in column:
-        text = text.as_py()
-        group.append(text)
-        room -= len(text or "") + 16
-        if room <= 0:
-            yield group
-            group, room = [], limit
-    if group:
-        yield group
+#: What can be asked for of each document, and its type.
+OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
-def _map(path: str, with_ids: bool):
+def _columns(own: Codec, ids: np.ndarray, begin: np.ndarray, wanted: tuple[str, ...]) -> dict[str, pa.Array]:
+    """The ``wanted`` outputs of documents whose ids begin at ``begin``; decoded texts come from the ids alone."""
+    cuts = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+    out: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(begin), pa.int64())}
+    if "ids" in wanted:
+        out["ids"] = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
+    if "ids_sha256" in wanted:
+        raw = memoryview(ids.astype("<u4").view(np.uint8))
+        out["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in cuts], pa.string())
+    if "decoded" in wanted or "decoded_sha256" in wanted:
+        data, at = own.texts.decode(ids)
+        said = memoryview(data)
+        ends = at[begin].tolist()
+        bounds = [(a, max(a, b - 1)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        if "decoded_sha256" in wanted:
+            out["decoded_sha256"] = pa.array([hashlib.sha256(said[a:b]).hexdigest() for a, b in bounds], pa.string())
+        if "decoded" in wanted:
+            out["decoded"] = pa.array([bytes(said[a:b]).decode() for a, b in bounds], pa.string())
+    return {name: out[name] for name in wanted}
+
+
+def encode(docs: DataFrame, path: str, outputs: tuple[str, ...]) -> DataFrame:
+    """doc_id and the asked ``OUTPUTS`` for every row of ``docs`` (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            at = 0
-            for texts in text_groups(batch.column(batch.num_columns - 1)):
-                found = own.encode(texts)
-                columns = [c.slice(at, len(texts)) for c in batch.columns[:-1]]
-                at += len(texts)
-                if with_ids:
-                    columns += [pa.array([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in found], pa.list_(pa.int32())), pa.array([text.decode() for _, text in found])]
-                else:
-                    columns += [
-                        pa.array([len(ids) // 4 for ids, _ in found], pa.int64()),
-                        pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in found]),
-                        pa.array([hashlib.sha256(text).hexdigest() for _, text in found]),
-                    ]
-                names = batch.schema.names[:-1] + (["ids", "decoded"] if with_ids else ["n_tokens", "ids_sha256", "decoded_sha256"])
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+            raw, offsets = text_buffers(batch.column(1))
+            for i, j in slices(offsets, SLICE_BYTES):
+                ids, begin = own.store.ids(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                made = _columns(own, ids, begin, outputs)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *made.values()], names=["doc_id", *made])
+
+    small_batches(docs.sparkSession)
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *[f"{name} {OUTPUTS[name]}" for name in outputs]])
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string for every row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_map(path, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return encode(docs, path, ("ids", "decoded"))
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, without moving either."""
-    small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_map(path, False), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, ("n_tokens", "ids_sha256", "decoded_sha256"))

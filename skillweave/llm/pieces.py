@@ -1,58 +1,60 @@
 """Cutting texts into the pieces that a word-level BPE vocabulary merges inside.
 
 The normaliser (NFC, lower case, white space) and the splitter of the vocabulary file never look across white space, so
-a text is handled chunk by chunk (maximal runs without white space) and the result of each distinct chunk is kept.  Chunks
-of characters below U+0250 are normalised and split here; any other chunk goes through the vocabulary's own normaliser
-and splitter, because Python and the tokenizers library know different versions of Unicode.
+a text is handled chunk by chunk (``chunks``) and the ids of each distinct chunk are kept.  Chunks of characters below
+U+0250 are normalised and split here; any other chunk goes through the vocabulary's own normaliser and splitter, because
+Python and the tokenizers library know different versions of Unicode.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import chain
 
+import numpy as np
 import regex
 
+from skillweave.llm.chunks import MOST_KEYS, ArrayStore, chunk_codes
+
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Python counts these as white space, the vocabulary's rules don't.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 REAL_SPACE = regex.compile(r"[^\s\x1c-\x1f]+(?:[\x1c-\x1f]+[^\s\x1c-\x1f]*)*|[\x1c-\x1f]+(?:[^\s\x1c-\x1f]+[\x1c-\x1f]*)*")
-LATIN = regex.compile("[^\x00-ɏ]")
-#: Marks the key of a special token; no chunk has white space in it.
-SPECIAL = "\x00special "
+LATIN = "ɏ"
+#: Letters that normalisation leaves as they are and that are one piece.
+ACCENTED = regex.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Signs that end words; an apostrophe isn't one, as it may begin a piece.
 SIGNS = ".,;:!?%*#$&"
-#: Distinct chunks of one generation of a worker's store; workers live on between stages, and so does the store.
-KEEP = 120_000
+#: Pieces of chunks that aren't letters alone; so many are kept, beside those at hand.
+MOST_PIECES = 100_000
 
 
-def chunks_of(text: str) -> list[str]:
+def parts_of(text: str) -> list[str]:
+    """What stands between white space, ASCII or not."""
     return REAL_SPACE.findall(text) if SEPARATORS.search(text) else text.split()
 
 
-class ChunkStore:
-    """chunk -> its value, computed once per distinct chunk and worker."""
+class PieceStore:
+    """Ids of whole texts; ``encode`` is asked once for each distinct piece that isn't held."""
 
-    def __init__(self, tokenizer, encode: Callable[[list[str]], list], special: Callable[[int], object], join: Callable[[list], object]):
-        """``encode``: pieces -> their values; ``special``: a special token's id -> value; ``join``: values of a chunk's pieces -> its own."""
+    def __init__(self, tokenizer, encode: Callable[[list[str]], Iterable[list[int]]], most: int = MOST_KEYS):
         self.normalise, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.encode, self.of_special, self.join = encode, special, join
-        self.chunks: dict[str, object] = {}
-        self.pieces: dict[str, object] = {}
-        self.older: dict[str, object] = {}
-        self.older_pieces: dict[str, object] = {}
-
-    def pieces_of(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, in the alphabet of bytes."""
-        plain = chunk.isascii() and chunk.isprintable()
+        self.encode = encode
+        self.pieces: dict[str, list[int]] = {}
+        self.store = ArrayStore(self._learn, most)
+
+    def pieces_of(self, part: str) -> list[str]:
+        """The pieces of a part without white space, in the alphabet of bytes."""
+        plain = part.isascii() and part.isprintable()
         if not plain:
-            if not LATIN.search(chunk):
-                chunk = unicodedata.normalize("NFC", chunk)
-            if LATIN.search(chunk):
-                return [p for p, _ in self.split(self.normalise(chunk))]
-        low = chunk.lower()
+            if max(part) <= LATIN:
+                part = unicodedata.normalize("NFC", part)
+            if max(part) > LATIN:
+                return [p for p, _ in self.split(self.normalise(part))]
+        low = part.lower()
         body = low.rstrip(SIGNS)
         if body.isalpha():  # one run of letters, and perhaps one of signs
             found = [body] if len(body) == len(low) else [body, low[len(body) :]]
@@ -60,40 +62,44 @@ class ChunkStore:
             found = PIECE.findall(low)
         return found if plain else [p.encode().decode("latin-1").translate(_TABLE) for p in found]
 
-    def keys(self, text: str) -> list[str]:
-        """The chunks of a whole text, in order; a special token of the vocabulary is a chunk of its own."""
-        if self.cut is None or "<|" not in text:
-            return chunks_of(text)
-        out = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [SPECIAL + part] if k % 2 else chunks_of(part)
+    def _pieces(self, chunk: str) -> list[str | int]:
+        """Pieces of a chunk, in order; a special token of the vocabulary stands as its id."""
+        if self.cut is None or "<|" not in chunk:
+            return list(chain.from_iterable(map(self.pieces_of, parts_of(chunk))))
+        out: list[str | int] = []
+        for k, part in enumerate(self.cut.split(chunk)):
+            out += [self.special[part]] if k % 2 else chain.from_iterable(map(self.pieces_of, parts_of(part)))
         return out
 
-    def learn(self, keys: set[str]) -> dict[str, object]:
-        """Values for all ``keys``.  Two generations are kept, so that what is frequent is never computed anew."""
-        if len(self.chunks) > KEEP:
-            self.older, self.chunks = self.chunks, {}
-        if len(self.pieces) > KEEP:
-            self.older_pieces, self.pieces = self.pieces, {}
-        chunks, pieces = self.chunks, self.pieces
-        new = keys.difference(chunks)
-        for key in new.intersection(self.older):
-            chunks[key] = self.older[key]
-        new.difference_update(self.older)
-        parts = [(key, self.pieces_of(key)) for key in new if not key.startswith(SPECIAL)]
-        unknown = set().union(*[ps for _, ps in parts]).difference(pieces)
-        for piece in unknown.intersection(self.older_pieces):
-            pieces[piece] = self.older_pieces[piece]
-        asked = list(unknown.difference(self.older_pieces))
-        if asked:
-            pieces.update(zip(asked, self.encode(asked), strict=True))
-        for key, ps in parts:
-            chunks[key] = pieces[ps[0]] if len(ps) == 1 else self.join([pieces[p] for p in ps])
-        if len(parts) < len(new):
-            for key in new:
-                if key.startswith(SPECIAL):
-                    chunks[key] = self.of_special(self.special[key[len(SPECIAL) :]])
-        return chunks
+    def _learn(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out: list = [None] * len(keys)
+        alone, pieces, rest = [], [], []
+        for i, key in enumerate(keys):
+            chunk = key.decode("utf-8", "replace")
+            if key.isalpha():  # ASCII letters, or others below U+0100, only: one piece, met once
+                alone.append(i)
+                pieces.append(chunk.lower())
+            elif ACCENTED(chunk):
+                alone.append(i)
+                pieces.append(chunk.lower().encode().decode("latin-1").translate(_TABLE))
+            else:
+                rest.append((i, self._pieces(chunk)))
+        for i, ids in zip(alone, self.encode(pieces), strict=True):
+            out[i] = ids
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces = {}
+        asked = list({p for _, ps in rest for p in ps if type(p) is str}.difference(self.pieces))
+        self.pieces.update(zip(asked, self.encode(asked), strict=True))
+        for i, ps in rest:
+            out[i] = list(chain.from_iterable([p] if type(p) is int else self.pieces[p] for p in ps))
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(sizes.sum())), sizes
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (n+1 entries)."""
+        keys, codes, first = chunk_codes(raw, offsets, cut=True)
+        flat, begin = self.store.gather(keys, codes)
+        return flat, begin[first]
 
 
 def byte_alphabet() -> list[str]:

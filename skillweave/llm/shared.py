@@ -17,27 +17,37 @@ SPACES = (0x20, *range(0x09, 0x0E))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a single machine) one is made and set.
+    Only where a local session has none (tests, a single machine) one is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm_dir.get() if jvm_dir.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="skillweave-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-#: Rows of an Arrow batch at most, where rows hold whole texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most, where rows hold whole texts (a longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session hands Python at most ``BATCH_ROWS`` rows at once, so that a batch of whole texts stays small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what the session hands Python at once.
+
+    Spark reads these two settings when a plan runs, so they can't be given to one operator: every operator of this
+    subpackage that runs Python asks for the same bounds, and smaller ones of the session stay.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        number = int(now.rstrip("b"))
+        if number <= 0 or number > most:
+            spark.conf.set(key, str(most))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -54,6 +64,30 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, by name; each is dropped as soon as nothing reads it any more.
+
+    A table is written before the next step is planned, so dropping it never breaks the recovery of a later one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write and read back; an older table of that name goes after the new one is there."""
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of an Arrow column, end to end, and their n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
