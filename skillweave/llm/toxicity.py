@@ -10,7 +10,9 @@ those with the lowest hashes of their doc_id.  The fit on that bounded sample ru
 documents with a broadcast of at most ``MOST_TERMS`` terms.
 
 A null or empty text has no terms and gets the score of the machine's bias.  Without any label, or with one label only,
-no term is kept and the score is the smoothed share of toxic rows.  Repeated rows get equal scores.
+no term is kept and the score is the smoothed share of toxic rows.  Repeated rows get equal scores; of several labels of
+one doc_id the highest counts.  Very long texts are scored whole, in time and memory in proportion to their length.  Other
+columns are ignored (``clean`` keeps them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.bpe import text_groups
-from skillweave.llm.shared import small_batches
+from skillweave.llm.chunks import ArrayStore, chunk_codes
+from skillweave.llm.shared import slices, small_batches, text_buffers
 
 MOST_ROWS = 8_000
 MOST_TERMS = 4_096
@@ -34,7 +37,7 @@ STEMS = (4, 5, 6)
 LEAST_EVIDENCE = 16.0
 FACTORS, STEPS, RATE, DECAY = 8, 250, 0.05, 2e-4
 TRIM = ".,;:!?\"'()[]{}#*$%&|<>«»„“”-_"
-KEEP = 200_000
+SLICE_BYTES = 4_000_000
 
 
 def terms_of(token: str) -> list[int]:
@@ -50,28 +53,29 @@ def terms_of(token: str) -> list[int]:
 
 
 class TermStore:
-    """Terms of whole texts; what a token gives is kept while there is room."""
+    """The distinct terms of whole texts; what a chunk of text gives is kept while there is room."""
 
     def __init__(self, index: np.ndarray | None = None):
         """``index``: hashed term -> its number in a model, or -1; without it terms are hashes."""
-        self.index, self.known = index, {}
-
-    def _token(self, token: str) -> bytes:
-        ids = np.array(terms_of(token), np.int32)
-        if self.index is not None:
-            ids = self.index[ids]
-            ids = ids[ids >= 0]
-        return ids.astype(np.int32).tobytes()
-
-    def terms(self, text: str | None) -> np.ndarray:
-        tokens = set((text or "").lower().split())
-        known = self.known
-        if len(known) > KEEP:
-            known.clear()
-        for token in tokens.difference(known):
-            known[token] = self._token(token)
-        found = b"".join([known[t] for t in tokens])
-        return np.unique(np.frombuffer(found, np.int32)) if found else np.zeros(0, np.int32)
+        self.index = index
+        self.store = ArrayStore(self._learn)
+
+    def _learn(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[x for token in k.decode("utf-8", "replace").lower().split() for x in terms_of(token)] for k in keys]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        terms = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        if self.index is None:
+            return terms, sizes
+        terms, row = self.index[terms], np.repeat(np.arange(len(keys)), sizes)
+        return terms[terms >= 0], np.bincount(row[terms >= 0], minlength=len(keys))
+
+    def rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rising distinct terms of all texts end to end, and each one's text."""
+        keys, codes, first = chunk_codes(raw, offsets)
+        flat, begin = self.store.gather(keys, codes)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(begin[first]))
+        both = np.unique((row << BITS) | flat)
+        return (both & ((1 << BITS) - 1)).astype(np.int32), both >> BITS
 
 
 @dataclass
@@ -88,10 +92,9 @@ class Machine:
         out[self.terms] = np.arange(len(self.terms))
         return out
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return 1 / (1 + np.exp(-np.clip(self._raw(flat, row, len(rows))[0], -500, 500)))
+    def scores(self, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` texts whose terms' numbers are ``flat``, in rows ``row``."""
+        return 1 / (1 + np.exp(-np.clip(self._raw(flat, row, n)[0], -500, 500)))
 
     def _raw(self, flat: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         out = np.full(n, self.bias) + np.bincount(row, self.weights[flat], n)
@@ -160,8 +163,12 @@ def held_out(doc_id):
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store = TermStore()
     for batch in batches:
-        found = [store.terms(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["toxic", "terms"])
+        raw, offsets = text_buffers(batch.column(1))
+        for i, j in slices(offsets, SLICE_BYTES):
+            flat, row = store.rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            cuts = np.searchsorted(row, np.arange(j - i + 1)).tolist()
+            found = [flat[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary())], names=["toxic", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
@@ -178,23 +185,31 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
     return fit([np.frombuffer(rows["terms"][i], "<i4") for i in order], np.array([rows["toxic"][i] for i in order], np.int64))
 
 
+def _scorer(machine: Machine):
+    """Arrow batches of texts -> arrays of their scores."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[np.ndarray]:
+        store = TermStore(machine.index())
+        for column in columns:
+            raw, offsets = text_buffers(column)
+            parts = [machine.scores(*store.rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), j - i) for i, j in slices(offsets, SLICE_BYTES)]
+            yield np.concatenate(parts) if parts else np.zeros(0)
+
+    return run
+
+
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    small_batches(docs.sparkSession)
+    of = _scorer(machine)  # at most MOST_TERMS terms
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        store = TermStore(own.index())
-        for batch in batches:
-            at = 0
-            for texts in text_groups(batch.column(2), 4_000_000):
-                values = own.scores([store.terms(t) for t in texts])
-                head = [c.slice(at, len(texts)) for c in batch.columns[:2]]
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([*head, pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in of(texts):
+            yield pa.array(found, pa.float64())
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scores(F.col("text").cast("string")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,18 +217,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        store = TermStore(own.index())
-        for batch in batches:
-            begin = 0
-            for texts in text_groups(batch.column(at), 4_000_000):
-                keep = own.scores([store.terms(t) for t in texts]) < 0.5
-                yield batch.slice(begin, len(texts)).filter(pa.array(keep))
-                begin += len(texts)
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents that aren't predicted toxic, columns unchanged.  Only texts go to Python, only verdicts come back."""
+    of = _scorer(train(docs, labels))
+
+    @F.arrow_udf("boolean")
+    def fine(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in of(texts):
+            yield pa.array(found < 0.5, pa.bool_())
+
+    return docs.filter(fine(F.col("text").cast("string")))
