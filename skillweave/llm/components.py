@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.shared import write_table
+from skillweave.llm.shared import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Ends when a round changes nothing.  Every round is written to the shared folder, so lineage stays short.
     """
-    now = write_table(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.write(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = write_table(_star(_star(now, True), False), "edges")
+        now = scratch.write(_star(_star(now, True), False), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break

@@ -13,7 +13,9 @@ change.
 
 Words are runs of bytes other than ASCII white space, A-Z as a-z; elements are 64-bit hashes of ``SHINGLE`` words.  A text
 of fewer words has one element, all its words.  A null text, or one without words, has no elements and links with
-nothing: its component is its own doc_id.  Repeated rows are equal sets.  An empty table gives an empty result.
+nothing: its component is its own doc_id.  Repeated rows are equal sets.  doc_id is a number (any type that casts to
+bigint).  Very long texts are one set each, found in blocks of whole texts.  Other columns are ignored (``one_of_each``
+keeps them).  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillweave.llm.components import connected_components
-from skillweave.llm.shared import WordHasher, mix, rows_in, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
+from skillweave.llm.shared import Scratch, WordHasher, mix, rows_in, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
 
 SHINGLE = 5
 #: Similarity as a fraction: 4/5.
@@ -240,12 +242,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = write_table(pairs.select("a", "b").distinct(), "pairs")
-    wanted = write_table(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    own = write_table(rows_in(texts, wanted), "texts")
+    scratch = Scratch(texts.sparkSession)
+    pairs = scratch.write(pairs.select("a", "b").distinct(), "pairs")
+    wanted = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    own = scratch.write(rows_in(texts, wanted), "texts")
     first = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = first.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return write_table(both.mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
+    found = write_table(both.mapInArrow(_verify, "a bigint, b bigint").distinct(), "links")
+    scratch.drop("pairs", "wanted", "texts")
+    return found
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -295,7 +300,9 @@ def _too_long(classes: DataFrame, long: np.ndarray, boundary: int) -> DataFrame:
     """doc_id of the classes whose kept hashes don't reach beside the long lists."""
     shared = classes.sparkSession.sparkContext.broadcast(long)
     posts = classes.select("rep", "n", "sk").mapInArrow(_posts(shared, boundary, False), POSTINGS)
-    return write_table(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
+    found = write_table(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
+    shared.destroy()
+    return found
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -305,30 +312,36 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     boundary = choose_boundary(sizes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     long = spark.sparkContext.broadcast(long_lists(classes, texts, boundary))
-    posts = write_table(classes.select("rep", "n", "sk").mapInArrow(_posts(long, boundary, False), POSTINGS), "posts")
-    short = write_table(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
+    scratch = Scratch(spark)
+    posts = scratch.write(classes.select("rep", "n", "sk").mapInArrow(_posts(long, boundary, False), POSTINGS), "posts")
+    short = scratch.write(posts.filter("kind = -1").select(F.col("rep").alias("doc_id")), "short")
     more = rows_in(texts, short).select("doc_id", "text").mapInArrow(_posts(long, boundary, True), POSTINGS)
-    more = write_table(more, "posts").filter("kind = 0")  # their subsets, if light, are there already
+    more = scratch.write(more, "more").filter("kind = 0")  # their subsets, if light, are there already
+    long.destroy()
     posts = posts.filter("kind >= 0").unionByName(more)
     pivot = F.min(F.when((F.col("kind") == 0) | (F.col("n") == F.col("kind")), F.col("rep"))).alias("pivot")
     lists = posts.groupBy("key").agg(F.count("*").alias("m"), pivot).filter("m > 1 and pivot is not null")
-    members = write_table(posts.join(lists.select("key", "pivot"), "key"), "members")
+    members = scratch.write(posts.join(lists.select("key", "pivot"), "key"), "members")
+    scratch.drop("posts", "short", "more")
     stars = members.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.max("kind").alias("kind"), F.count("*").alias("c"), F.max("n").alias("n"))
-    stars = write_table(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "kind", "c", "n"), "stars")
+    stars = scratch.write(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "kind", "c", "n"), "stars")
     likely = stars.filter((F.col("kind") == 0) & (3 * F.col("c") >= _prefix(F.col("n"))))
     star_links = _linked(likely, texts).unionByName(stars.filter("kind > 0").select("a", "b"))
     found = write_table(connected_components(star_links), "found")
+    scratch.drop("stars")
 
     scanned = members.filter("kind = 0").select("key", "rep", "n", "place").join(found, F.col("rep") == F.col("vertex"), "left")
     scanned = scanned.select("key", "rep", "n", "place", F.coalesce("component", "rep").alias("component"))
     mixed = scanned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_lists = write_table(scanned.join(mixed, "key", "left_semi"), "open")
+    open_lists = scratch.write(scanned.join(mixed, "key", "left_semi"), "open")
+    scratch.drop("members")
     p, q = open_lists.alias("p"), open_lists.alias("q")
     # Of two linked sets each has its first common element among its first n - overlap + 1.
     overlap = F.ceil((F.col("p.n") + F.col("q.n")) * NUM / (NUM + DEN))
     early = (F.col("p.place") <= F.col("p.n") - overlap) & (F.col("q.place") <= F.col("q.n") - overlap)
     across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & _sizes_fit(F.col("p.n"), F.col("q.n")) & early)
     later = _linked(across.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")), texts)
+    scratch.drop("open")
     if later.isEmpty():
         return found
     return connected_components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(later))
@@ -338,8 +351,9 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = sketches(docs)
-    classes = write_table(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")
+    rows = write_table(sketches(docs), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.write(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk")), "classes")
     found = write_table(links(docs, classes), "components")
     named = classes.select("n", "s1", "s2", "rep").join(found, F.col("rep") == F.col("vertex"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
