@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.llm.shared import small_batches
+
 
 @dataclass(frozen=True)
 class Template:
@@ -118,6 +120,7 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> Data
                 rows.append((conv_id, "".join([p for p, _ in parts]), [{"text": p, "loss": flag} for p, flag in parts], broken is None, broken))
             yield pd.DataFrame(rows, columns=["conv_id", "formatted", "segments", "valid", "broken_at"]).astype({"broken_at": "Int32", "valid": "bool"})
 
+    small_batches(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     return conversations(turns).mapInPandas(run, f"conv_id {kind}, formatted string, segments {SEGMENTS}, valid boolean, broken_at int")
 
@@ -139,6 +142,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
                 rows.append((conv_id, len(turns), digest(whole), len(loss), digest(loss), len(text), valid))
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
+    small_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     columns = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
     return formatted.mapInPandas(run, columns)

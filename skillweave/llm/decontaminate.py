@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.shared import WordHasher, rows_not_in, slices, text_buffers, words_of, write_table
+from skillweave.llm.shared import WordHasher, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -237,9 +237,12 @@ def test_blocks(benchmark: DataFrame, block_words: int) -> list[list]:
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text) over the terms in ``vocabulary`` (ascending hashes)."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
     shards = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index_shards(known, shard_bytes), INDEX_SCHEMA)
-    return write_table(shards, "postings")
+    index = write_table(shards, "postings")
+    known.destroy()
+    return index
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:

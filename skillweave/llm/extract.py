@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.llm.shared import small_batches
+
 # Element names of HTML by their part in a page, and names that pages give to boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg math canvas object title xmp noframes".split())
@@ -236,5 +238,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in frame.html]
             yield pd.DataFrame({"page_id": frame.page_id, "url": frame.url, "text": texts, "n_chars": [len(t) for t in texts]})
 
+    small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -112,6 +112,30 @@ def test_bpe_equals_library(spark):
         assert list(whole[i].ids) == ids and whole[i].decoded == decoded
 
 
+def test_bpe_decodes_ids_that_no_text_gives():
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(PATH), bpe.codec(PATH), random.Random(2)
+    for n in (0, 1, 7, 300):
+        ids = [rng.randrange(49_408) for _ in range(n)]
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_store_never_changes_results(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from skillweave.llm import chunks
+
+    rng, library = random.Random(3), Tokenizer.from_file(PATH)
+    own = bpe.Codec(PATH)
+    own.store.store.most = 40
+    letters = ["a", "B", "É", "ß", "×", "÷", "é", "e\u0301", "'s", "|", "<|", "1", "²", "!", "?!", "—", "\xa0", "\u2028", "ſ", "K", "İ", "\x1f", " ", "\n", "the", "Word"]
+    for _ in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert chunks.chunk_codes(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0] == []
+
+
 def test_re_pair_round_trip():
     rng = np.random.default_rng(0)
     for trial in range(60):
@@ -206,6 +230,109 @@ def test_pii_spans_and_masks(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def _plants(seed, n):
+    from skillweave.llm.pii_plants import example
+
+    rng = random.Random(seed)
+    words = "the and of to on for with from that this was are under over house tree river stone".split()
+    return [example(rng, words, pii.KINDS) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def field():
+    made = _plants(1, 1_500)
+    return pii.fit([t for t, _ in made], [s for _, s in made])
+
+
+def test_pii_field_finds_held_out_plants(field):
+    held = _plants(2, 600)
+    texts = [t for t, _ in held]
+    base = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(texts, base, field)
+    hit = wrong = missed = 0
+    for (_, gold), known, found in zip(held, base, added, strict=True):
+        want = {g for g in gold if not any(s < g[2] and e > g[0] for s, _, e in known)}
+        hit, wrong, missed = hit + len(want & set(found)), wrong + len(set(found) - set(gold)), missed + len(want - set(found))
+        assert not any(s < q and e > p for s, _, e in known for p, _, q in found)
+    assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.75, (hit, wrong, missed)
+
+
+def test_pii_field_knows_forms_that_the_patterns_miss(field):
+    for text, kind, said in [("call 555 010 2030 now", "phone", "555 010 2030"), ("tel (555) 123-4567 please", "phone", "(555) 123-4567"), ("and token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\" here", "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"), ("mail bob [at] example [dot] org today", "email", "bob [at] example [dot] org")]:
+        assert pii.base_spans(text) == []
+        found = pii.added_spans([text], [[]], field)[0]
+        assert [(pii.KINDS[k], text[s:e]) for s, k, e in found] == [(kind, said)]
+    for text in ("in 1999 and 2004 we had 100 200 300", "12:30:45 on 2024-05-17", "version 1.2.3 of 10 at 12"):
+        assert pii.added_spans([text], [[]], field)[0] == []
+
+
+def test_pii_segmentation_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    n_kinds = len(pii.KINDS)
+    for _ in range(150):
+        own, n = pii.Field(), int(rng.integers(1, 7))
+        own.follow = rng.normal(0, 1, (n_kinds + 1, n_kinds + 1))
+        own.follow[0, 0] = 0
+        segments = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.5]
+        i, j = np.array([s[0] for s in segments], int), np.array([s[1] for s in segments], int)
+        emissions = rng.normal(0, 2, (len(segments), n_kinds))
+
+        def every(at, state):
+            if at == n:
+                yield 0.0, []
+                return
+            for value, path in every(at + 1, 0):
+                yield value + own.follow[state, 0], path
+            for k, (low, high) in enumerate(segments):
+                if low == at:
+                    for kind in range(n_kinds):
+                        for value, path in every(high, kind + 1):
+                            yield value + own.follow[state, kind + 1] + emissions[k, kind], [(k, kind), *path]
+
+        if len(segments) > 6:
+            continue
+        want = max(every(0, 0), key=lambda x: x[0])
+        live = (emissions + own.slack() > 0).any(1)
+        at = np.flatnonzero(live)
+        got = [(int(at[k]), kind) for k, kind, _ in own.best(i[live], j[live], emissions[live], n)]
+        assert got == want[1]
+
+
+def test_pii_gradient_is_that_of_the_likelihood():
+    made = _plants(4, 12)
+    own = pii.Trainer(pii.segments_of([t for t, _ in made]), [s for _, s in made])
+    rng, start = np.random.default_rng(0), pii.Field()
+    start.weights += rng.normal(0, 0.3, start.weights.shape).astype(np.float32)
+    start.follow += rng.normal(0, 0.3, start.follow.shape)
+    start.follow[0, 0] = 0
+    part = own.whole[:6]
+    seg, change, moves = own.gradient(start, part)
+    assert abs(change).max() <= 1 + 1e-6 and np.isfinite(moves).all()
+    # Expected counts of a region: what each token belongs to, plain text or one segment, adds up to one.
+    for r in part:
+        of = own.found.of[seg] == r
+        kinds = np.zeros((of.sum(), len(pii.KINDS)))
+        where = {k: x for x, k in enumerate(seg[of].tolist())}
+        for k, kind in own.gold[r]:
+            kinds[where[k], kind] = 1
+        share = (kinds - change[of]).sum(1)
+        covered = np.zeros(own.found.sizes[r] + 1)
+        for k, x in zip(seg[of].tolist(), share, strict=True):
+            low = int(own.local[k])
+            covered[low : low + int(own.span[k])] += x
+        assert covered.max() <= 1 + 1e-6 and share.min() >= -1e-9
+
+
+def test_pii_long_texts_take_linear_time(field):
+    import time
+
+    for text in ("1" + "a" * 3_000_000, "1a" * 500_000, "1" * 1_000_000, "@ " * 100_000, "1." * 100_000, " ".join(str(n % 99_991) for n in range(60_000))):
+        began = time.time()
+        base = pii.base_spans(text)
+        pii.added_spans([text], [base], field)
+        assert time.time() - began < 20, text[:10]
+
+
 def test_chat_round_trip(spark):
     odd = ["\\", "### x", "</turn>\n</turn>", "a:\nb:", "\\###", "", None, queries.TRICKY, ":\n### y"]
     rows = [(c, t, ("user", "assistant")[t % 2], odd[(c + t) % len(odd)], "x") for c in range(9) for t in range(4)] + [(99, 0, "assistant", "first", "x"), (99, 1, None, "who", "x"), (98, 0, "user", "twice", "x"), (98, 0, "user", "twice", "x")]
