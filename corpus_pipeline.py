@@ -3,12 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept.  All but the last return the columns
 of ``documents``.  No stage can be expressed in SQL as a whole (trained models, tokenizer), so there is no ORACLE_SQL; the
 tests hold the stages against brute force.
+
+Null texts stay through all stages (no terms, no shingles, no windows, no data, no ids), rows without doc_id too; of rows
+that share a doc_id one stays.  Empty tables give empty results.  Other columns stay until the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skillweave.llm import bpe, decontaminate, jaccard, pii, toxicity
 from skillweave.llm.queries import vocabulary_path
@@ -37,8 +39,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded text."""
-    found = bpe.encode_texts(docs, vocabulary_path("word_bpe_49k.json"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode(docs, vocabulary_path("word_bpe_49k.json"), ("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [
