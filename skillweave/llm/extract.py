@@ -2,8 +2,16 @@
 
 A page becomes a tree.  Every paragraph passes points, for its length and its commas, to its parent and half as many to
 its grandparent; a node's points are discounted by its link density.  The best container is kept with those siblings
-that are no boilerplate; if it lies in an article or main element, that whole element is kept.  Parts that a page marks
-as menu, header, footer, sidebar, notice, advert, form or reader comments are left out, as are scripts and styles.
+that are no boilerplate; if it lies in an article or main element, that whole element is kept.  Elements that are menus,
+headers, footers, sidebars or forms by their tag or role are left out, as are scripts and styles.
+
+Class names and ids only make an element suspect, and only if a whole name says nothing but what boilerplate it is
+(``cookie-notice``, ``main-nav``; not ``no-sidebar``, not ``social-history``).  A suspect element goes, unless it holds
+the greater part of the page's text and few links: then the name describes the layout and not the text.  Reader comments
+go at any length, as long as there is other text.
+
+One pass reads a page, counts go from a node to its parent when it closes, and whether a node is kept is passed down once:
+time and memory are in proportion to the page, however deep or broken its markup is.
 
 A null or empty page, and one without text, gives an empty text.  Pages are independent of each other: repeated rows give
 repeated results, other columns are ignored, an empty table gives an empty result.
@@ -23,7 +31,7 @@ from skillweave.llm.shared import small_batches
 
 # Element names of HTML by their part in a page, and names that pages give to boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math canvas object title xmp noframes".split())
+RAW = frozenset("script style noscript template iframe title xmp noframes textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset".split())
 PARAGRAPHS = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -34,42 +42,42 @@ BOILERPLATE = frozenset(
     login search""".split()
 )
 COMMENT_NAMES = frozenset("comment comments reply replies disqus".split())
+#: Words that say where an element stands and nothing about its text.
+PLACES = frozenset("site main page top bottom left right global primary secondary list item items box block wrapper wrap container area section inner outer links buttons button bar post posts article user reader form col column row js the".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-CLOSED_BY_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
+CLOSED_BY_SAME = {
+    "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "option": (("option",), ("select",)),
+}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|</[^>]*+(?:>|\Z)", re.DOTALL
+)
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 LEAST_CHARS = 25
 MOST_LINKS = 0.33
 
 
 class Node:
-    __slots__ = ("chars", "children", "dropped", "in_article", "links", "parent", "points", "tag")
+    __slots__ = ("chars", "comments", "dropped", "in_article", "kept", "links", "parent", "points", "suspect", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, in_article: bool):
         self.tag, self.parent, self.dropped, self.in_article = tag, parent, dropped, in_article
-        self.points, self.chars, self.links, self.children = 0.0, 0, 0, []
-        if parent is not None:
-            parent.children.append(self)
-
-
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if not attributes.strip():
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
-    if found.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    parts = {p.lower() for p in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(parts & COMMENT_NAMES)
-    return bool(parts & BOILERPLATE) or ("header" in parts and not in_article)
+        self.points, self.chars, self.links = 0.0, 0, 0
+        self.kept = self.suspect = self.comments = False
+
+
+def named_boilerplate(names: str) -> tuple[bool, bool]:
+    """Whether one of the names says only what boilerplate an element is, and whether that is reader comments."""
+    suspect = comments = False
+    for name in names.split():
+        parts = [p.lower() for p in NAME_PARTS.findall(name) if not p.isdigit()]
+        said = [p for p in parts if p not in PLACES]
+        if said and BOILERPLATE.issuperset(said):
+            suspect = True
+            comments = comments or not COMMENT_NAMES.isdisjoint(said)
+    return suspect, comments
 
 
 class Page:
@@ -77,24 +85,23 @@ class Page:
 
     def __init__(self, html: str):
         self.root = Node("#root", None, False, False)
-        self.stack, self.blocks = [self.root], []
+        self.stack, self.nodes = [self.root], [self.root]
+        self.blocks: list[tuple[str, Node]] = []
+        #: Depths of the open elements that aren't inline, and by tag of all open ones.
+        self.outer: list[int] = [0]
+        self.opens: dict[str, list[int]] = {}
         self.parts, self.link_chars, self.link_depth = [], 0, 0
         self._parse(html)
         self._flush()
+        self._leave(1)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        node = self.stack[-1]
-        while node.tag in INLINE and node.parent is not None:
-            node = node.parent
         if text:
-            links = min(self.link_chars, len(text))
-            self.blocks.append((text, node, links))
-            up = node
-            while up is not None:
-                up.chars += len(text)
-                up.links += links
-                up = up.parent
+            node = self.stack[self.outer[-1]]
+            self.blocks.append((text, node))
+            node.chars += len(text)
+            node.links += min(self.link_chars, len(text))
         self.parts, self.link_chars = [], 0
 
     def _text(self, raw: str) -> None:
@@ -104,12 +111,22 @@ class Page:
             if self.link_depth:
                 self.link_chars += len(text.strip())
 
+    def _leave(self, depth: int) -> None:
+        """Close all elements from ``depth`` on; their counts go to their parents."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            at = len(self.stack)
+            if self.outer[-1] == at:
+                self.outer.pop()
+            self.opens[node.tag].pop()
+            self.link_depth -= node.tag == "a"
+            node.parent.chars += node.chars
+            node.parent.links += node.links
+
     def _pop_to(self, depth: int) -> None:
-        if any(n.tag not in INLINE for n in self.stack[depth:]):
+        if self.outer[-1] >= depth:
             self._flush()
-        for node in self.stack[depth:]:
-            self.link_depth -= node.tag == "a"
-        del self.stack[depth:]
+        self._leave(depth)
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -123,28 +140,47 @@ class Page:
         if tag == "a" and self.link_depth:  # a link can't hold another
             self._close("a")
         top = self.stack[-1]
-        in_article = top.in_article or tag in ("article", "main")
-        self.stack.append(Node(tag, top, top.dropped or _is_boilerplate(tag, attributes, top.in_article), in_article))
+        node = Node(tag, top, top.dropped or tag in DROPPED or (tag == "header" and not top.in_article), top.in_article or tag in ("article", "main"))
+        if not node.dropped and attributes.strip():
+            self._judge(node, attributes, top.in_article)
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.nodes.append(node)
+        self.opens.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            self.outer.append(depth)
         self.link_depth += tag == "a"
 
+    @staticmethod
+    def _judge(node: Node, attributes: str, in_article: bool) -> None:
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+        names = f"{found.get('class', '')} {found.get('id', '')}"
+        if node.tag in ("html", "body", "main"):
+            return
+        suspect, node.comments = named_boilerplate(names)
+        if node.tag == "article":  # an article of its own, unless it is a reader's
+            node.suspect = node.comments
+            return
+        node.dropped = found.get("role", "").lower() in DROPPED_ROLES
+        node.suspect = suspect or (not in_article and any([p.lower() for p in NAME_PARTS.findall(n)][-1:] == ["header"] for n in names.split()))
+
+    def _nearest(self, tags: tuple[str, ...]) -> int:
+        return max([self.opens[t][-1] for t in tags if self.opens.get(t)], default=-1)
+
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; a list item or cell ends the one before it."""
-        scope = CLOSED_BY_SAME.get(tag)
-        for depth in range(len(self.stack) - 1, 0, -1):
-            here = self.stack[depth].tag
-            if here == "p" or (scope and (here == tag or {here, tag} in ({"dt", "dd"}, {"td", "th"}))):
+        if tag in CLOSED_BY_SAME:
+            same, scope = CLOSED_BY_SAME[tag]
+            depth = self._nearest((*same, "p"))
+            if depth > self._nearest(scope):
                 self._pop_to(depth)
-                return
-            if here not in INLINE and not (scope and here not in scope):
-                return
+        elif self.stack[self.outer[-1]].tag == "p":
+            self._pop_to(self.outer[-1])
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                self._pop_to(depth)
-                return
-            if tag in INLINE and self.stack[depth].tag not in INLINE:
-                return
+        depth = self._nearest((tag,))
+        if depth > 0 and (tag not in INLINE or self.outer[-1] < depth):
+            self._pop_to(depth)
 
     def _parse(self, html: str) -> None:
         at, low = 0, None
@@ -172,9 +208,22 @@ class Page:
                 continue
             self._open(tag, attributes)
 
+    def _drop_suspects(self) -> None:
+        """Suspect elements go unless they are the page; what goes takes everything in it along.
+
+        A node stands in ``nodes`` after its parent, so one pass hands verdicts down.
+        """
+        whole = self.root.chars
+        for node in self.nodes[1:]:
+            if node.parent.dropped:
+                node.dropped = True
+            elif node.suspect:
+                greater = 2 * node.chars > whole and self._link_density(node) < MOST_LINKS
+                node.dropped = whole - node.chars >= LEAST_CHARS if node.comments else not greater
+
     def _score(self) -> list[Node]:
         scored: dict[int, Node] = {}
-        for text, node, _ in self.blocks:
+        for text, node in self.blocks:
             if node.dropped or len(text) < LEAST_CHARS:
                 continue
             points = 1 + text.count(",") + min(len(text) / 100, 3)
@@ -190,6 +239,7 @@ class Page:
         return node.links / node.chars if node.chars else 0.0
 
     def main_text(self) -> str:
+        self._drop_suspects()
         best, most = None, 0.0
         for node in self._score():
             value = node.points * (1 - self._link_density(node))
@@ -197,33 +247,22 @@ class Page:
                 best, most = node, value
         if best is None:
             kept = [b for b in self.blocks if not b[1].dropped and (b[1].in_article or self._link_density(b[1]) < MOST_LINKS)]
-            return " ".join([text for text, _, _ in kept])
+            return " ".join([text for text, _ in kept])
         lifted, node = best, best
         while node is not None:
             if node.tag in ("article", "main"):
                 lifted = node
             node = node.parent
-        if lifted.tag in ("article", "main"):
-            keep = [lifted]
-        else:
-            around = best.parent.children if best.parent is not None else [best]
-            keep = [n for n in around if n is best or (not n.dropped and self._link_density(n) < MOST_LINKS)]
-        chosen = {id(n) for n in keep}
-        direct = best.parent if lifted is best and best.parent is not None else None
-
-        def wanted(node: Node) -> bool:
-            if node.dropped:
-                return False
-            if node is direct:
-                return True
-            up = node
-            while up is not None:
-                if id(up) in chosen:
-                    return True
-                up = up.parent
-            return False
-
-        return " ".join([text for text, node, _ in self.blocks if wanted(node)])
+        whole = lifted.tag in ("article", "main")
+        beside = None if whole else best.parent  # its own text and its good children are kept
+        for node in self.nodes:
+            if node is lifted:
+                node.kept = True
+            elif node.parent is not None and node.parent is beside:
+                node.kept = not node.dropped and self._link_density(node) < MOST_LINKS
+            else:
+                node.kept = node is beside or (node.parent is not None and node.parent is not beside and node.parent.kept)
+        return " ".join([text for text, node in self.blocks if node.kept and not node.dropped])
 
 
 def main_text(html: str | None) -> str:

@@ -360,6 +360,31 @@ def test_extract_pages(spark):
     assert [got[k].text for k in (2, 3, 4, 5)] == ["", "", "plain text", "cut off in a tag"]
 
 
+def test_extract_names_do_not_delete_articles(spark):
+    said = "This is the text, and it is long enough, really."
+    pages = [
+        f'<div class="content no-sidebar"><p>{said}</p></div>',
+        f'<div class="post"><div class="social-history"><p>{said}</p></div></div>',
+        f'<div class="sidebar"><p>{said}</p></div>',
+        f'<div><p>{said}</p><div class="comments"><p>{said} {said} {said}</p></div><div id="cookie-notice">We use cookies, yes.</div></div>',
+        f"<div><p>{said}</p></div>",
+    ]
+    rows = [(n, "u", p, "x") for n, p in enumerate([*pages, pages[0]])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    assert [r.text for r in extract.extract_pages(df).orderBy("page_id").collect()] == [said] * 6
+    assert extract.extract_pages(df.limit(0)).count() == 0
+    assert extract.main_text(f"<p>{said}</p><p hidden>and this</p><svg><text>too</text></svg>") == f"{said} and this too"
+
+
+def test_extract_broken_pages_take_linear_time():
+    import time
+
+    for html in ("<" + "a" * 1_000_000, "<div>" * 100_000 + "text", "<b>" * 50_000 + "<hr>" * 50_000, '<a ">' * 100_001, "<i>" * 50_000 + "</b>" * 50_000, "<div><li>a" * 30_000):
+        began = time.time()
+        extract.main_text(html)
+        assert time.time() - began < 10, html[:10]
+
+
 def test_sharding(spark):
     texts = [f"text {i // 4 if i % 3 else i}" for i in range(203)] + ["hot"] * 90 + [None, ""]
     docs = _docs(spark, texts)
