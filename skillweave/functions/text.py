@@ -35,7 +35,7 @@ TECH_TERMS = {
     "docker": ("TOL", "Docker"), "kubernetes": ("TOL", "Kubernetes"), "k8s": ("TOL", "Kubernetes"), "git": ("TOL", "Git"), "linux": ("TOL", "Linux"),
     "bash": ("TOL", "Bash"), "terraform": ("TOL", "Terraform"), "ansible": ("TOL", "Ansible"), "mysql": ("TOL", "MySQL"), "postgresql": ("TOL", "PostgreSQL"),
     "mongodb": ("TOL", "MongoDB"), "redis": ("TOL", "Redis"), "excel": ("TOL", "Excel"), "pytorch": ("TOL", "PyTorch"), "tensorflow": ("TOL", "TensorFlow"),
-    "machine learning": ("KNW", "machine learning"), "data analysis": ("KNW", "data analysis"), "seo": ("KNW", "SEO"), "ppc": ("KNW", "PPC"),
+    "machine learning": ("KNW", "Machine Learning"), "data analysis": ("KNW", "Data Analysis"), "seo": ("KNW", "SEO"), "ppc": ("KNW", "PPC"),
 }
 
 
@@ -138,10 +138,10 @@ def inferred_title(x: Column) -> Column:
 def clean_title(x: Column) -> Column:
     """A posting's title without numbering, bonus notes and brackets; generic titles get a technology or a default."""
     out = x
-    for pattern in (r"^\s*\d+(?:\s*[/_-]\s*\d+)+\s*", r"^\s*\d+\s*[.)]\s*", r"^\s*\d+\s+", r"(?i)\s*\+\s*(?:welcome bonus|sign-on bonus|bonus|equity).*$", r"\([^)]*\)"):
+    for pattern in (r"^\s*\d+(?:\s*[/_-]\s*\d+)+\s*", r"^\s*\d+\s*[.)]\s*", r"^\s*\d+\s+", r"(?i)\s*\+\s*(?:welcome\s+bonus|sign[- ]?on\s+bonus|bonus|equity).*$", r"\([^)]*\)"):
         out = F.regexp_replace(out, pattern, "")
     out = F.btrim(F.regexp_replace(out, r"\s+", " "), F.lit(" -|/"))
-    poor = (out == "") | F.lower(out).isin(*GENERIC_TITLES) | ~out.rlike("[A-Za-z]")
+    poor = (out == "") | F.lower(out).isin(*GENERIC_TITLES) | ~out.rlike(r"\p{L}")
     tech = tech_label(x)
     named = F.when(generic_software_title(out) & tech.isNotNull() & ~F.contains(F.lower(out), F.lower(tech)), F.concat(out, F.lit(" ("), tech, F.lit(")"))).otherwise(out)
     return F.substring(F.when(poor, F.coalesce(inferred_title(x), F.lit("Software Engineer"))).otherwise(named), 1, 80)

@@ -25,9 +25,12 @@ def exact_index(entries: DataFrame) -> DataFrame:
 
 def exact_align(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """``mentions`` (entity_type, text) with canonical_id, source and score 100 where the key is known, else nulls."""
-    keyed = mentions.withColumn("key", fx.align_key(F.col("text")))
-    joined = keyed.join(exact_index(entries), ["entity_type", "key"], "left")
-    return joined.select(*mentions.columns, F.col("hit.canonical_id").alias("canonical_id"), F.col("hit.source").alias("source"), F.when(F.col("hit").isNotNull(), 100.0).alias("score"))
+    # Names of its own, so that columns of the caller stay as they are.
+    keyed = mentions.withColumn("_align_key", fx.align_key(F.col("text")))
+    index = exact_index(entries).select("entity_type", F.col("key").alias("_align_key"), F.col("hit").alias("_align_hit"))
+    hit = F.col("_align_hit")
+    joined = keyed.join(index, ["entity_type", "_align_key"], "left")
+    return joined.select(*mentions.columns, hit["canonical_id"].alias("canonical_id"), hit["source"].alias("source"), F.when(hit.isNotNull(), 100.0).alias("score"))
 
 
 def fuzzy_candidates(mentions: DataFrame, entries: DataFrame, top_k: int = 5, min_score: float = 0.0) -> DataFrame:

@@ -79,4 +79,6 @@ def with_ids(relations: DataFrame) -> DataFrame:
     for side in ("head", "tail"):
         out = out.withColumn(f"{side}_id", fx.node_id(F.col(f"{side}.canonical_id"), F.col(f"{side}.entity_type"), F.col(f"{side}.text")))
         out = out.withColumn(f"{side}_text", F.col(f"{side}.text")).withColumn(f"{side}_type", F.col(f"{side}.entity_type")).withColumn(f"{side}_source", F.col(f"{side}.source"))
-    return out.withColumn("ord", F.col("doc_ord") * 100_000 + F.col("span_ord")).withColumn("sentence_id", F.col("id"))
+    # Decimal: places in large inputs times spans don't fit 64 bits.
+    place = F.col("doc_ord").cast("decimal(38,0)") * F.lit(100_000) + F.col("span_ord")
+    return out.withColumn("ord", place.cast("decimal(38,0)")).withColumn("sentence_id", F.col("id"))

@@ -171,8 +171,8 @@ def char_match(sentences: DataFrame, entries: DataFrame) -> DataFrame:
 
         return frame.mapInPandas(run, frame.schema)
 
-    for r in rows.orderBy("ord", "variant_ord").toLocalIterator():
-        block.setdefault(_even_lower(r.variant), []).append((r.ord * 1000 + r.variant_ord, r.entity_type, r.canonical_id))
+    for place, r in enumerate(rows.orderBy("ord", "variant_ord").toLocalIterator()):
+        block.setdefault(_even_lower(r.variant), []).append((place, r.entity_type, r.canonical_id))
         if len(block) >= MATCH_BLOCK:
             out, block = search(out, block), {}
     out = search(out, block)

@@ -36,7 +36,7 @@ def weak_label(postings: DataFrame, entries: DataFrame) -> DataFrame:
     """One labelled example per sentence of title and description: id ``posting#sentence``, tokens, labels, mentions."""
     text = F.concat_ws(". ", F.nullif("title", F.lit("")), "description")
     rows = postings.select("ord", F.col("id").alias("posting"), "lang", F.posexplode(fx.sentences(text)).alias("sent_ord", "text"))
-    named = rows.select((F.col("ord") * 10_000 + F.col("sent_ord")).alias("ord"), F.concat_ws("#", "posting", "sent_ord").alias("id"), "lang", "text")
+    named = rows.select((F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("sent_ord")).cast("decimal(38,0)").alias("ord"), F.concat_ws("#", "posting", "sent_ord").alias("id"), "lang", "text")
     return bio.label_examples(gazetteer.char_match(named, _ordered(entries)))
 
 

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it has none (tests, one machine) one is made and set."""
+    """The session's ``spark.checkpoint.dir``; only where a local session has none (tests, one machine) one is made and set."""
     context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skillweave-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="skillweave-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(at)
     return at

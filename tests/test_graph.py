@@ -113,3 +113,21 @@ def test_paths_and_components(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
     got = {r.id: r.component for r in graph.components(nodes, links).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
+
+
+def test_alignment_keeps_columns_of_the_caller(spark):
+    from skillweave.operators import align
+
+    entries = spark.createDataFrame([(0, "c:1", "SKL", "Python", "ESCO", "", ["py"])], "ord bigint, canonical_id string, entity_type string, term string, source string, description string, aliases array<string>")
+    mentions = spark.createDataFrame([("SKL", "PYTHON", "mine", "too"), ("SKL", "rust", "mine", "too")], "entity_type string, text string, key string, hit string")
+    got = {r.text: (r.key, r.hit, r.canonical_id) for r in align.exact_align(mentions, entries).collect()}
+    assert got == {"PYTHON": ("mine", "too", "c:1"), "rust": ("mine", "too", None)}
+
+
+def test_order_of_large_inputs_fits(spark):
+    from skillweave.operators import fusion
+
+    side = "struct<canonical_id:string,entity_type:string,text:string,source:string>"
+    row = [("s", (7 << 33) * 10_000, 3, ("a", "OCC", "x", "ESCO"), ("b", "SKL", "y", "ESCO"))]
+    got = fusion.with_ids(spark.createDataFrame(row, f"id string, doc_ord bigint, span_ord int, head {side}, tail {side}")).first()
+    assert int(got.ord) == (7 << 33) * 10_000 * 100_000 + 3

@@ -51,3 +51,11 @@ def test_schema_and_similarity():
     assert len(schema.bio_labels()) == 15 and len(schema.RELATIONS) == 8 and len(schema.ENTITY_TYPES) == 7
     assert indel_ratio_of("硕士以上学历", "硕士学历") == 80.0
     assert indel_ratio_of("", "") == 100.0 and indel_ratio_of("ab", "cd") == 0.0
+
+
+def test_titles_in_any_alphabet_and_bonus_notes(spark):
+    titles = ["数据工程师", "Разработчик", "Python Dev + sign on bonus", "Python Dev + SignOn  bonus", "Analyst + welcome   bonus, now", "123", "Junior machine learning"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "n int, t string")
+    got = [r.c for r in rows.select("n", fx.clean_title(F.col("t")).alias("c")).orderBy("n").collect()]
+    assert got[:6] == ["数据工程师", "Разработчик", "Python Dev", "Python Dev", "Analyst", "Software Engineer"]
+    assert rows.select(fx.tech_label(F.lit("machine learning lead")).alias("x")).first().x == "Machine Learning"
