@@ -530,9 +530,10 @@ def train(docs: DataFrame, most_docs: int = 1_500, examples: int = EXAMPLES, mos
     """
     text = F.col("text").cast("string")
     hashed = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"), text.alias("text")).filter("text is not null")
+    lowest = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(most_docs).collect()]  # numbers only
     begin = F.pmod("h", F.greatest(F.length("text") - most_chars + 1, F.lit(1))).cast("int") + 1
-    picked = hashed.select("h", F.substring("text", begin, F.lit(most_chars)).alias("text"))
-    rows = picked.orderBy("h", "text").limit(most_docs).collect()
+    picked = hashed.filter(F.col("h") <= (lowest[-1] if lowest else 0)).select("h", F.substring("text", begin, F.lit(most_chars)).alias("text"))
+    rows = picked.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     words = [w for r in rows for w in r.text.split() if not TRIGGER.search(w)] or ["the"]
     rng = random.Random(11)
     made = [example(rng, words, KINDS) for _ in range(examples)]
