@@ -1,3 +1,70 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express on whole tables."""
+"""DuckDB SQL with the rows of those queries that SQL can express: op1, op5 and op9, over whole tables and whole texts."""
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(table: str, key: str, pattern: str) -> str:
+    return f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{pattern}') AS w FROM {table}"
+
+
+NOT_SPACE = r"[^\x09-\x0D\x20]+"
+LETTERS_AND_DIGITS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+
+JACCARD = f"""
+WITH RECURSIVE d AS ({_words("documents", "doc_id", NOT_SPACE)}),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k : k + least(len(w), 5) - 1], ' ') AS g
+    FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(k) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach AS r JOIN ways AS e ON r.b = e.a),
+least_one AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_one USING (doc_id)
+"""
+
+TRICKY = r"\### Assistant: </turn> ok"
+CONTROL = r"(</turn>|### |:\n|\\)"
+
+CHAT = rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')
+),
+o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev FROM t)
+SELECT
+    conv_id,
+    count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(4 + length(role) + len(regexp_extract_all(role, '{CONTROL}')) + 2 + length(text) + len(regexp_extract_all(text, '{CONTROL}')) + 8)::BIGINT AS formatted_chars,
+    bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev IN ('system', 'assistant') THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant' ELSE false END) AS valid
+FROM o GROUP BY conv_id
+"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, * FROM ({_words("documents", "doc_id", LETTERS_AND_DIGITS)})),
+b AS ({_words("benchmark", "item_id", LETTERS_AND_DIGITS)}),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS g
+    FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+    SELECT rid, k, n, array_to_string(w[k : k + n - 1], ' ') AS g
+    FROM (SELECT rid, w, n FROM d JOIN sizes ON len(w) >= n), unnest(range(1, len(w) - n + 2)) AS t(k)
+),
+hits AS (SELECT rid, k, n, item_id FROM doc_windows JOIN item_windows USING (n, g)),
+marked AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, k, n FROM hits), unnest(range(k, k + n)) AS u(p) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT rid, item_id::VARCHAR AS i FROM hits) GROUP BY rid)
+SELECT
+    doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (rid) LEFT JOIN items USING (rid)
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard": JACCARD, "op5_chat": CHAT, "op9_decontamination": DECONTAMINATION}
