@@ -483,3 +483,36 @@ def test_pipeline_stages(spark):
         assert 0.7 * n < out.count() <= n
         docs = out
     assert docs.filter(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_pipeline_keeps_null_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, "a text without a number, seen once in here"), (10**9, None), (10**9 + 1, ""), (10**9 + 2, "twice the same row in here"), (10**9 + 2, "twice the same row in here")]
+    extra = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    now = docs.limit(20).unionByName(extra)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, sf)
+        if k < 4:
+            now = now.cache()
+    got = [r.doc_id for r in now.select("doc_id").collect()]
+    assert got.count(None) == 1 and got.count(10**9) == 1 and got.count(10**9 + 1) == 1 and got.count(10**9 + 2) == 1
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    text = "the same row, twice, with some more words in it to be read again and again"
+    docs = _docs(spark, [text, "other"]).unionByName(_docs(spark, [text]))
+    ids = bpe.encode_digests(docs, PATH).filter("doc_id = 0").collect()
+    assert len(ids) == 2 and ids[0] == ids[1]
+    files = sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokenfiles.read_files(tokenfiles.write_files(docs, PATH)).filter("doc_id = 0").collect())
+    assert len(files) == 2 and files[0][1:] == files[1][1:] and files[1][0] == files[0][1]
+    judged = quality.judge(docs).filter("doc_id = 0").collect()
+    assert len(judged) == 2 and judged[0] == judged[1]
+    labels = spark.createDataFrame([(0, 1, "x"), (0, 1, "x"), (1, 0, "y")], "doc_id bigint, toxic int, text string")
+    scored = toxicity.toxicity(docs, labels).filter("doc_id = 0").collect()
+    assert len(scored) == 2 and scored[0] == scored[1]
+    bench = spark.createDataFrame([(7, "with some more words in it to be read again and", 3, "k")], "item_id bigint, text string, doc_id bigint, n_words string")
+    hit = decontaminate.contamination(docs, bench).filter("contaminated").collect()
+    assert [r.doc_id for r in hit] == [0, 0] and hit[0] == hit[1] and hit[0].n_hit == 11  # the item has eleven words
