@@ -31,7 +31,8 @@ def holdout_ranks(edges: DataFrame, holdout: int = 1) -> DataFrame:
     """case, role, rank: every occupation's first ``holdout`` skills asked for; where does the occupation rank?
 
     An occupation's case needs more skills than are held out.  A role's score is the share of its log-weight that the
-    asked skills cover; ties go to the role whose first edge comes first.  All cases are one join on shared skills.
+    asked skills cover; ties go to the role whose first edge comes first.  All cases are one join on shared skills; a rank
+    is the number of roles ahead of the case's own, so roles are counted and never sorted.
     """
     own = edges.filter(F.col("relation").isin(*NEEDED))
     weight = F.log1p(F.coalesce("evidence_count", F.lit(0)).cast("double"))
@@ -42,8 +43,11 @@ def holdout_ranks(edges: DataFrame, holdout: int = 1) -> DataFrame:
     roles = own.groupBy("source").agg(F.sum(weight).alias("den"), F.min("edge_ord").alias("first_edge")).withColumnRenamed("source", "role")
     hits = asked.join(rows.select(F.col("source").alias("role"), "target", "w"), "target").groupBy("case", "role").agg(F.sum("w").alias("num"))
     scored = hits.join(roles, "role").filter("den > 0").select("case", "role", F.round(F.col("num") / F.col("den"), 6).alias("score"), "first_edge")
-    rank = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("score"), "first_edge", "role"))
-    return scored.withColumn("rank", rank).filter(F.col("case") == F.col("role")).select("case", "role", "rank")
+    own_hits = asked.join(rows.select(F.col("source").alias("case"), "target", "w"), ["case", "target"]).groupBy("case").agg(F.sum("w").alias("num"))
+    mine = own_hits.join(roles.withColumnRenamed("role", "case"), "case").filter("den > 0").select("case", F.round(F.col("num") / F.col("den"), 6).alias("own"), F.col("first_edge").alias("own_edge"))
+    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.struct("first_edge", "role") < F.struct("own_edge", "case")))
+    better = scored.filter(F.col("case") != F.col("role")).join(mine, "case").filter(ahead).groupBy("case").agg(F.count("*").alias("better"))
+    return mine.select("case").join(better, "case", "left").select("case", F.col("case").alias("role"), (F.coalesce("better", F.lit(0)) + 1).cast("int").alias("rank"))
 
 
 def evaluate_recommendations(edges: DataFrame, k: int = 5, holdout: int = 1) -> DataFrame:

@@ -45,29 +45,39 @@ def skill_pairs(edges: DataFrame, relations: tuple[str, ...] = SKILL_RELATIONS)
     return edges.filter(F.col("relation").isin(*relations)).select(F.col("source").alias("occ"), F.col("target").alias("skill")).distinct()
 
 
-def similar_sets(pairs: DataFrame) -> DataFrame:
-    """a < b, jaccard for all occupations that share a skill.
+def similar_sets(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """a < b, jaccard for all occupations that share a skill and are at least ``least`` similar.
 
-    Occupations of one skill set are collapsed to a signature first; only signatures meet in the join on shared skills,
-    and what they share is counted before pairs of occupations are made.
+    Occupations of one skill set are collapsed to a signature first.  Skills (64-bit hashes of them) are ordered by how
+    many sets hold them, rarest first; two sets that are similar enough share one of the first skills of both, so only
+    those are joined, within the sizes that can reach ``least``, and popular skills mostly meet nothing.  What is found
+    is checked on the whole sets.  The sets are computed once, by a checkpoint in the shared folder.
     """
-    sets = pairs.groupBy("occ").agg(F.array_sort(F.collect_list("skill")).alias("skills"))
-    signed = sets.select("occ", "skills", F.sha2(F.array_join("skills", "\x01"), 256).alias("sig"))
-    groups = signed.groupBy("sig").agg(F.first("skills").alias("skills"))
-    members = signed.select("sig", "occ")
-    exploded = groups.select("sig", F.size("skills").alias("n"), F.explode("skills").alias("skill"))
-    p, q = exploded.alias("p"), exploded.alias("q")
-    shared = p.join(q, (F.col("p.skill") == F.col("q.skill")) & (F.col("p.sig") < F.col("q.sig"))).groupBy(F.col("p.sig").alias("x"), F.col("q.sig").alias("y")).agg(F.count("*").alias("c"), F.first("p.n").alias("n"), F.first("q.n").alias("m"))
-    scored = shared.select("x", "y", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("jaccard"))
-    across = scored.join(members.select(F.col("sig").alias("x"), F.col("occ").alias("o")), "x").join(members.select(F.col("sig").alias("y"), F.col("occ").alias("r")), "y").select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b"), "jaccard")
+    sets = pairs.groupBy("occ").agg(F.array_sort(F.collect_set(F.xxhash64("skill"))).alias("skills"))
+    signed = _checkpoint(sets.select("occ", "skills", F.sha2(F.array_join(F.col("skills").cast("array<string>"), ","), 256).alias("sig")))
+    groups = signed.groupBy("sig").agg(F.first("skills").alias("skills"), F.min("occ").alias("rep"))
+    members = signed.select("sig", "occ").join(groups.select("sig", "rep"), "sig").select("rep", "occ")
+    posted = groups.select("rep", F.size("skills").alias("n"), F.explode("skills").alias("skill"))
+    often = posted.groupBy("skill").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "skill"))
+    first = posted.join(often, "skill").select("rep", "n", "skill", place.alias("place")).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    p, q = first.alias("p"), first.alias("q")
+    together = F.ceil((F.col("p.n") + F.col("q.n")) * (least / (1 + least)) - 1e-9)
+    early = (F.col("p.place") <= F.col("p.n") - together + 1) & (F.col("q.place") <= F.col("q.n") - together + 1)
+    sizes = (F.col("p.n") >= F.col("q.n") * least - 1e-9) & (F.col("q.n") >= F.col("p.n") * least - 1e-9)
+    likely = p.join(q, (F.col("p.skill") == F.col("q.skill")) & (F.col("p.rep") < F.col("q.rep")) & sizes & early).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct()
+    held = likely.join(groups.select(F.col("rep").alias("x"), F.col("skills").alias("u")), "x").join(groups.select(F.col("rep").alias("y"), F.col("skills").alias("v")), "y")
+    common = F.size(F.array_intersect("u", "v"))
+    scored = held.select("x", "y", (common / (F.size("u") + F.size("v") - common)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
+    across = scored.join(members.select(F.col("rep").alias("x"), F.col("occ").alias("o")), "x").join(members.select(F.col("rep").alias("y"), F.col("occ").alias("r")), "y").select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b"), "jaccard")
     m1, m2 = members.alias("m1"), members.alias("m2")
-    same = m1.join(m2, (F.col("m1.sig") == F.col("m2.sig")) & (F.col("m1.occ") < F.col("m2.occ"))).select(F.col("m1.occ").alias("a"), F.col("m2.occ").alias("b"), F.lit(1.0).alias("jaccard"))
+    same = m1.join(m2, (F.col("m1.rep") == F.col("m2.rep")) & (F.col("m1.occ") < F.col("m2.occ"))).select(F.col("m1.occ").alias("a"), F.col("m2.occ").alias("b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(same)
 
 
 def similarity_edges(edges: DataFrame, least: float = 0.3) -> DataFrame:
     """SIMILAR_TO in both directions, evidence = whole percent of the Jaccard similarity."""
-    found = similar_sets(skill_pairs(edges)).filter(F.col("jaccard") >= least).withColumn("evidence_count", F.floor(F.col("jaccard") * 100).cast("long"))
+    found = similar_sets(skill_pairs(edges), least).filter(F.col("jaccard") >= least).withColumn("evidence_count", F.floor(F.col("jaccard") * 100).cast("long"))
     one = found.select(F.col("a").alias("source"), F.col("b").alias("target"), "evidence_count")
     return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "evidence_count")).withColumn("relation", F.lit("SIMILAR_TO"))
 
@@ -93,7 +103,7 @@ def prerequisite_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def dense_fallback(edges: DataFrame, most: float = 0.85) -> DataFrame:
     """source, target, weight between occupations at Jaccard distance of at most ``most``, for graphs without SIMILAR_TO."""
-    found = similar_sets(skill_pairs(edges)).withColumn("distance", 1 - F.col("jaccard")).filter(F.col("distance") <= most)
+    found = similar_sets(skill_pairs(edges), max(1 - most, 0.0)).withColumn("distance", 1 - F.col("jaccard")).filter(F.col("distance") <= most)
     one = found.select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("distance") + 1e-4).alias("weight"))
     return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
 
