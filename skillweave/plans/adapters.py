@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_ALL_LINES: ContextVar[bool] = ContextVar("all_lines", default=False)
-
-
-@contextmanager
-def all_lines() -> Iterator[None]:
-    """Inside, ``records`` takes every line of the table."""
-    before = _ALL_LINES.set(True)
-    try:
-        yield
-    finally:
-        _ALL_LINES.reset(before)
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relation records: suppliers are occupations; part names, brands and types are what they need.
-
-    Only lines of a quantity of at least 48 (about 6 %) are taken, as in ``RECORDS_SQL``, unless inside ``all_lines``.
-    """
+    """Relation records: suppliers are occupations; part names, brands and types are what they need.  Every line is taken."""
     lines = table(spark, sf_dir, "lineitem")
-    if not _ALL_LINES.get():
-        lines = lines.filter("l_quantity >= 48")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     base = lines.join(parts, "l_partkey").join(suppliers, "l_suppkey")
@@ -74,7 +52,7 @@ rec AS (
          CASE WHEN l_linenumber % 2 = 0 THEN round(l_discount * 100) END AS experience_years,
          CAST(l_orderkey AS VARCHAR) AS sentence_id, (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 3 + t.k AS ord,
          CASE WHEN l_linenumber % 2 = 0 THEN 'ESCO' ELSE 'O*NET' END AS tail_source
-  FROM (SELECT * FROM lineitem WHERE l_quantity >= 48) l JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey,
+  FROM lineitem l JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey,
   LATERAL (SELECT 0 AS k, 'REQUIRES_SKILL' AS relation, 'p:' || p_name AS id, p_name AS txt, 'SKL' AS kind
            UNION ALL SELECT 1, 'USES_TOOL', 'b:' || p_brand, p_brand, 'TOL'
            UNION ALL SELECT 2, 'REQUIRES_KNOWLEDGE', 't:' || p_type, p_type, 'KNW') t),
@@ -90,8 +68,6 @@ jac AS (
   SELECT a, b, c::DOUBLE / (n1.n + n2.n - c) AS jaccard
   FROM (SELECT x.occ AS a, y.occ AS b, count(*) AS c FROM skl x JOIN skl y ON x.skill = y.skill AND x.occ < y.occ GROUP BY ALL)
   JOIN (SELECT occ, count(*) AS n FROM skl GROUP BY occ) n1 ON n1.occ = a JOIN (SELECT occ, count(*) AS n FROM skl GROUP BY occ) n2 ON n2.occ = b)"""
-#: The same over every line of the table.
-ALL_RECORDS_SQL = RECORDS_SQL.replace(" WHERE l_quantity >= 48", "")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,9 +239,14 @@ def occ_skill_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return a.edges(spark, sf).groupBy("source", "target").agg(F.round(F.sum(F.log1p("evidence_count")), 6).alias("weight"))
 
 
-@query(_rec("SELECT source, target, relation FROM edg WHERE target IN (SELECT id FROM nod WHERE node_ord % 2 = 0) AND source IN (SELECT id FROM nod WHERE node_ord % 2 = 0)"))
+#: Nodes that are renamed, so that their edges miss an endpoint.
+_RENAMED = ("b:Brand#2", "s:3")
+
+
+@query(_rec(f"known AS (SELECT CASE WHEN id IN {_RENAMED} THEN id || '?' ELSE id END AS id FROM nod) SELECT source, target, relation FROM edg WHERE target IN (SELECT id FROM known) AND source IN (SELECT id FROM known)"))
 def edge_endpoint_check(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.check_endpoints(a.edges(spark, sf), a.nodes(spark, sf).filter("node_ord % 2 = 0")).select("source", "target", "relation")
+    renamed = F.when(F.col("id").isin(*_RENAMED), F.concat("id", F.lit("?"))).otherwise(F.col("id"))
+    return graph.check_endpoints(a.edges(spark, sf), a.nodes(spark, sf).withColumn("id", renamed)).select("source", "target", "relation")
 
 
 @query(_rec("SELECT source, target, relation, 'OCC' AS source_type, 'QLF' AS target_type FROM edg WHERE relation = 'USES_TOOL' AND target = 'b:Brand#2'"))
@@ -275,10 +280,11 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, CAST(i AS INTEGER) AS sentence, s[i + 1] AS text FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(
-    regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), '\\r?\\n+', chr(30), 'g'), chr(30)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM documents)) WHERE i < 3"""
+    regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), '\\r?\\n+', chr(30), 'g'), chr(30)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM documents))"""
 )
 def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    s = a.table(spark, sf, "documents").select("doc_id", F.slice(fx.line_sentences(F.col("text")), 1, 3).alias("s"))
+    """Every sentence of every text with its place, from the first on."""
+    s = a.table(spark, sf, "documents").select("doc_id", fx.line_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.posexplode("s").alias("sentence", "text"))
 
 
@@ -287,7 +293,7 @@ def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
     regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), '\\r?\\n+', chr(30), 'g'), chr(30)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0"""
 )
 def line_sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    """All sentences of every text, of which ``first_sentences`` shows three."""
+    """Count and digest of the sentences of every text."""
     s = a.table(spark, sf, "documents").select("doc_id", fx.line_sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
     return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n").cast("binary")).alias("sentences_md5"))
 
@@ -305,7 +311,8 @@ def title_cleaning(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _RULES = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, (['Expert in', 'experienced with', 'familiar:', 'basic', 'Advanced', '精通', 'knows'])[l_partkey % 7 + 1] || ' w' || l_partkey ||
-  (['', ' preferred', ' nice to have', ' surplus', ' 优先'])[l_orderkey % 5 + 1] || CASE WHEN l_suppkey % 3 = 1 THEN ' ' || l_linenumber || '年' ELSE '' END AS text FROM lineitem WHERE l_suppkey % 3 <> 0)"""
+  (['', ' preferred', ' nice to have', ' surplus', ' 优先'])[l_orderkey % 5 + 1] ||
+  CASE l_suppkey % 3 WHEN 0 THEN regexp_replace(' ' || (l_tax * 100 + 1) || ' years', '[.]0 ', ' ') WHEN 1 THEN ' ' || l_linenumber || '年' ELSE '' END AS text FROM lineitem)"""
 
 
 @query(
@@ -314,22 +321,6 @@ _RULES = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, (['Expert in',
     TRY_CAST(nullif(regexp_extract(lower(text), '([0-9]+(?:\\.[0-9]+)?)\\s*(years?|年)', 1), '') AS DOUBLE) AS experience_years FROM r"""
 )
 def attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
-    keep = a.table(spark, sf, "lineitem").filter("l_suppkey % 3 <> 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber")
-    levels = F.array(*[F.lit(x) for x in ("Expert in", "experienced with", "familiar:", "basic", "Advanced", "精通", "knows")])
-    hints = F.array(*[F.lit(x) for x in ("", " preferred", " nice to have", " surplus", " 优先")])
-    years = F.when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit(" "), F.col("l_linenumber"), F.lit("年"))).otherwise(F.lit(""))
-    rows = keep.select("id", F.concat(F.get(levels, (F.col("l_partkey") % 7).cast("int")), F.lit(" w"), F.col("l_partkey"), F.get(hints, (F.col("l_orderkey") % 5).cast("int")), years).alias("text"))
-    return rows.select("id", "text", fx.proficiency(F.col("text")).alias("proficiency_level"), fx.essential(F.col("text")).alias("essential"), fx.experience_years(F.col("text")).alias("experience_years"))
-
-
-_ALL_RULES = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, (['Expert in', 'experienced with', 'familiar:', 'basic', 'Advanced', '精通', 'knows'])[l_partkey % 7 + 1] || ' w' || l_partkey ||
-  (['', ' preferred', ' nice to have', ' surplus', ' 优先'])[l_orderkey % 5 + 1] ||
-  CASE l_suppkey % 3 WHEN 0 THEN regexp_replace(' ' || (l_tax * 100 + 1) || ' years', '[.]0 ', ' ') WHEN 1 THEN ' ' || l_linenumber || '年' ELSE '' END AS text FROM lineitem)"""
-
-
-@query(SQL["attribute_rules"].replace(_RULES, _ALL_RULES))
-def whole_attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """``attribute_rules`` over every line, those with English years too."""
     text = F.col("text")
     return a.rule_texts(spark, sf).select("id", "text", fx.proficiency(text).alias("proficiency_level"), fx.essential(text).alias("essential"), fx.experience_years(text).alias("experience_years"))
 
@@ -488,31 +479,3 @@ def capped_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def relation_proxy_by_group(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events").withColumn("proficiency_level", F.when(F.col("value") >= 50, F.lit("expert")))
     return e.groupBy("event_type").agg(F.count("*").alias("num_relations"), F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4).alias("proficiency_coverage"))
-
-
-def _on_all_lines(f):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        with a.all_lines():
-            return f(spark, sf)
-
-    return run
-
-
-#: Graph queries; ``edge_endpoint_check`` keeps half of the nodes, its counterpart is written out below.
-_GRAPH = {n for n, sql in SQL.items() if a.RECORDS_SQL in sql} - {"edge_endpoint_check"} | {"growth_path_names", "growth_steps"}
-for _name in sorted(_GRAPH):
-    QUERIES[f"whole_{_name}"] = _on_all_lines(QUERIES[_name])
-    if _name in SQL:
-        SQL[f"whole_{_name}"] = SQL[_name].replace(a.RECORDS_SQL, a.ALL_RECORDS_SQL)
-
-
-#: Nodes that are renamed, so that their edges miss an endpoint.
-_RENAMED = ("b:Brand#2", "s:3")
-
-
-@query(f"WITH {a.ALL_RECORDS_SQL}, known AS (SELECT CASE WHEN id IN {_RENAMED} THEN id || '?' ELSE id END AS id FROM nod) SELECT source, target, relation FROM edg WHERE target IN (SELECT id FROM known) AND source IN (SELECT id FROM known)")
-def whole_edge_endpoint_check(spark: SparkSession, sf: str) -> DataFrame:
-    with a.all_lines():
-        nodes, edges = a.nodes(spark, sf), a.edges(spark, sf)
-    renamed = F.when(F.col("id").isin(*_RENAMED), F.concat("id", F.lit("?"))).otherwise(F.col("id"))
-    return graph.check_endpoints(edges, nodes.withColumn("id", renamed)).select("source", "target", "relation")

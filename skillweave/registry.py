@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles ranked by the weight of the skills they share with a profile."""
-    return catalog.QUERIES["whole_role_recommend_service"](spark, sf_dir)
+    return catalog.QUERIES["role_recommend_service"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

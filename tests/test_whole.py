@@ -15,14 +15,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 def test_whole_graph_has_every_line(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    edges = registry.queries()["whole_build_edges"](spark, SF)
+    edges = registry.queries()["build_edges"](spark, SF)
     assert edges.agg(F.sum("evidence_count")).first()[0] == 3 * lines
-    assert registry.queries()["build_edges"](spark, SF).agg(F.sum("evidence_count")).first()[0] < lines
 
 
 def test_line_sentences_are_all_there(spark):
     got = registry.queries()["line_sentence_split"](spark, SF).agg(F.sum("n_sentences")).first()[0]
-    assert got > registry.queries()["first_sentences"](spark, SF).count() * 3
+    assert got == registry.queries()["first_sentences"](spark, SF).count()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: len([x for x in re.split(r"(?<=[.!?])\s+|\r?\n+", r.text, flags=re.ASCII) if x.strip(" \t\n\r\x0b\x0c")]) for r in docs if r.text}
     assert {r.doc_id: r.n_sentences for r in registry.queries()["line_sentence_split"](spark, SF).collect()} == {k: n for k, n in want.items() if n}
@@ -30,7 +29,7 @@ def test_line_sentences_are_all_there(spark):
 
 def test_attribute_rules_take_every_line(spark):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
-    got = registry.queries()["whole_attribute_rules"](spark, SF)
+    got = registry.queries()["attribute_rules"](spark, SF)
     assert got.count() == lines.count()
     english = got.filter("text like '% years'")
     assert english.count() == lines.filter("l_suppkey % 3 = 0").count() > 0
@@ -38,8 +37,8 @@ def test_attribute_rules_take_every_line(spark):
 
 
 def test_endpoint_check_misses_only_renamed_nodes(spark):
-    edges = {(r.source, r.target, r.relation) for r in registry.queries()["whole_build_edges"](spark, SF).collect()}
-    got = {(r.source, r.target, r.relation) for r in registry.queries()["whole_edge_endpoint_check"](spark, SF).collect()}
+    edges = {(r.source, r.target, r.relation) for r in registry.queries()["build_edges"](spark, SF).collect()}
+    got = {(r.source, r.target, r.relation) for r in registry.queries()["edge_endpoint_check"](spark, SF).collect()}
     assert got == {e for e in edges if e[0] != "s:3" and e[1] != "b:Brand#2"} and got < edges
 
 
