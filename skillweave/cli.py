@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     add("build-full-input", "postings", "gazetteer", "max-sentences?")
     add("build-graph", "examples", "gazetteer", "min-score?")
     add("prepare-re-dataset", "examples")
+    add("postings-to-answers", "postings", "gazetteer", "skills", "top-k?", "max-sentences?", "min-score?")
     for name, options in (
         ("summary", ()), ("subgraph", ("limit?",)), ("profile", ("occupation",)), ("recommend", ("skills", "top-k?")), ("recommend-ranked", ("skills", "top-k?")),
         ("skill-gap", ("occupation", "skills")), ("growth-path", ("source", "target")), ("evaluate-graph", ()), ("evaluate-recommendations", ("k?", "holdout?")),
@@ -67,6 +68,12 @@ def run(spark: SparkSession, args) -> None:
         built = pipelines.build_graph(readers.read_examples(spark, args.examples), readers.read_gazetteer(spark, args.gazetteer), float(args.min_score or 85))
         pipelines.write_graph_outputs(built, args.output)
         sinks.write_report(built["report"], f"{args.output}/report.json")
+    elif c == "postings-to-answers":
+        base = readers.read_gazetteer(spark, args.gazetteer)
+        built = pipelines.postings_to_graph(spark, readers.read_postings(spark, args.postings), base, args.output, int(args.max_sentences or 6), float(args.min_score or 85))
+        sinks.write_report(built["report"], f"{args.output}/report.json")
+        nodes, edges = readers.read_nodes(spark, f"{args.output}/nodes"), readers.read_edges(spark, f"{args.output}/edges")
+        _show(queries.recommend_ranked(nodes, edges, [s.strip() for s in args.skills.split(",") if s.strip()], int(args.top_k or 5)), None)
     elif c == "prepare-re-dataset":
         sinks.write_jsonl(pipelines.relation_dataset(readers.read_examples(spark, args.examples)), args.output)
     else:

@@ -27,8 +27,10 @@ def fuse_relations(records: DataFrame) -> DataFrame:
     """One row per (head_id, relation, tail_id): evidence summed, essential if any, highest proficiency, most years.
 
     Records: head_id, head_text, head_type, relation, tail_id, tail_text, tail_type, essential, evidence_count,
-    proficiency_level, experience_years, sentence_id, ord.  Head and tail text come from the first record.
+    proficiency_level, experience_years, sentence_id, ord.  Head and tail text come from the first record, and so do the
+    structs ``head`` and ``tail`` (offsets, score) where the records have them.
     """
+    sides = [c for c in ("head", "tail") if c in records.columns]
     level = F.when(F.col("proficiency_level").isNotNull(), F.struct(proficiency_rank(F.col("proficiency_level")).alias("rank"), (-F.col("ord")).alias("first")))
     return (
         records.groupBy("head_id", "relation", "tail_id")
@@ -38,7 +40,7 @@ def fuse_relations(records: DataFrame) -> DataFrame:
             F.max_by("proficiency_level", level).alias("proficiency_level"),
             F.max("experience_years").alias("experience_years"),
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id"))), lambda x: x["sentence_id"]).alias("sentence_ids"),
-            F.min_by(F.struct("head_text", "head_type", "tail_text", "tail_type"), "ord").alias("first"),
+            F.min_by(F.struct("head_text", "head_type", "tail_text", "tail_type", *sides), "ord").alias("first"),
             F.min("ord").alias("ord"),
         )
         .select("head_id", "relation", "tail_id", "evidence_count", "essential", "proficiency_level", "experience_years", "sentence_ids", "first.*", "ord")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skillweave.functions import text as fx
 from skillweave.operators import align, bio, evaluation, fusion, gazetteer, graph
+from skillweave.session import materialise
 from skillweave.sources import readers, sinks
 
 
@@ -74,15 +75,15 @@ def build_graph(examples: DataFrame, entries: DataFrame, min_score: float = 85.0
     ordered = _ordered(entries)
     spans = bio.extract_spans(examples)
     raw = bio.nearest_occupation(spans).join(examples.select("id", F.col("ord").alias("doc_ord")), "id")
-    aligned = align.align_relations(raw, ordered, min_score)
+    aligned = materialise(align.align_relations(raw, ordered, min_score))  # all that follows reads it
     records = fusion.with_ids(aligned)
-    fused, fused_nodes = fusion.fuse_relations(records), fusion.fuse_nodes(records)
+    fused, fused_nodes = materialise(fusion.fuse_relations(records)), materialise(fusion.fuse_nodes(records))
     nodes = graph.nodes_from(fused_nodes, ordered)
     base = graph.edges_from(fused)
     similar = graph.similarity_edges(base, least_similarity)
     chain = graph.prerequisite_chain(nodes, base)
     edges = base.unionByName(similar, allowMissingColumns=True).unionByName(chain, allowMissingColumns=True)
-    return {"relations": aligned, "fused": fused, "nodes": nodes, "edges": edges, "report": report(aligned, nodes, edges, fused_nodes, fused)}
+    return {"relations": aligned, "fused": fused, "fused_nodes": fused_nodes, "nodes": nodes, "edges": edges, "report": report(aligned, nodes, edges, fused_nodes, fused)}
 
 
 def report(aligned: DataFrame, nodes: DataFrame, edges: DataFrame, fused_nodes: DataFrame, fused: DataFrame) -> DataFrame:
@@ -101,7 +102,20 @@ def report(aligned: DataFrame, nodes: DataFrame, edges: DataFrame, fused_nodes:
 def write_graph_outputs(built: dict[str, DataFrame], path: str) -> None:
     sinks.write_nodes(built["nodes"], f"{path}/nodes")
     sinks.write_edges(built["edges"], f"{path}/edges")
-    sinks.write_jsonl(sinks.fused_json(built["fused"]), f"{path}/fused_relations")
+    sinks.write_jsonl(sinks.fused_json(built["fused"], built["fused_nodes"]), f"{path}/fused_relations")
+
+
+def postings_to_graph(spark: SparkSession, postings: DataFrame, base: DataFrame, path: str, max_sentences: int = 6, min_score: float = 85.0) -> dict[str, DataFrame]:
+    """From postings to a graph: labelled examples, vocabulary and graph tables under ``path``, then ``build_graph``'s tables.
+
+    Examples and vocabulary are written first and read back, so that the graph is built from stored tables.
+    """
+    examples, vocabulary = full_input(postings, base, max_sentences)
+    sinks.write_jsonl(examples.select("id", "lang", "text", "tokens", "labels"), f"{path}/examples")
+    sinks.write_jsonl(vocabulary.select("canonical_id", "entity_type", "term", "source", "description", "aliases"), f"{path}/gazetteer")
+    built = build_graph(readers.read_examples(spark, f"{path}/examples"), readers.read_gazetteer(spark, f"{path}/gazetteer"), min_score)
+    write_graph_outputs(built, path)
+    return built
 
 
 def relation_dataset(examples: DataFrame, ratio: int = 1, seed: int = 42) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillweave.operators.graph import check_endpoints
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -37,11 +39,73 @@ def write_report(row: DataFrame, path: str) -> None:
         json.dump(found.asDict(recursive=True) if found else {}, f, ensure_ascii=False, indent=2)
 
 
-def fused_json(fused: DataFrame) -> DataFrame:
-    """Fused relations with head, tail and attributes nested."""
+def fused_json(fused: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Fused relations with head, tail and attributes nested.
+
+    Where ``fused`` has the first record's structs, a side holds all their fields (offsets, score); with ``nodes`` (of
+    ``fuse_nodes``) its source and names are the fused node's.
+    """
+    out = fused
+    for side in ("head", "tail"):
+        if side in fused.columns:
+            fields = [F.col(f"{side}.{f}").alias("type" if f == "entity_type" else f) for f in fused.schema[side].dataType.names if f != "source" or nodes is None]
+        else:
+            fields = [F.col(f"{side}_text").alias("text"), F.col(f"{side}_type").alias("type"), F.col(f"{side}_id").alias("canonical_id")]
+        if nodes is not None:
+            out = out.join(nodes.select(F.col("id").alias(f"{side}_id"), F.struct("source", "alt_names").alias("_node")), f"{side}_id", "left")
+            fields += [F.col("_node.source").alias("source"), F.col("_node.alt_names").alias("alt_names")]
+        out = out.withColumn(f"_{side}", F.struct(*fields)).drop("_node")
+    attributes = F.struct("essential", "evidence_count", "proficiency_level", "experience_years")
+    return out.select("relation", F.col("_head").alias("head"), F.col("_tail").alias("tail"), attributes.alias("attributes"), "sentence_ids")
+
 
-    def side(name: str):
-        return F.struct(F.col(f"{name}_text").alias("text"), F.col(f"{name}_type").alias("type"), F.col(f"{name}_id").alias("canonical_id"))
+def _last(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("_fresh", "_ord", *values)).alias("x")).select(*keys, "x.*")
 
-    attributes = F.struct("essential", "evidence_count", "proficiency_level", "experience_years")
-    return fused.select("relation", side("head").alias("head"), side("tail").alias("tail"), attributes.alias("attributes"), "sentence_ids")
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, path: str, version: int) -> None:
+    """Upsert into the graph stored as ``path/v{version - 1}``, written as ``path/v{version}``; 0 starts a store.
+
+    A node is known by its id and takes name, entity_type and source of the last row; an edge is known by source, relation
+    and target and takes all attributes of the last row; edges that miss an endpoint are dropped.  A version is written
+    from the one before, so writing it again after a failure gives the same.
+    """
+    spark = nodes.sparkSession
+    node, key, attributes = ["name", "entity_type", "source"], ["source", "relation", "target"], ["essential", "evidence_count", "proficiency_level", "experience_years"]
+
+    def fresh(df: DataFrame, order: str) -> DataFrame:
+        return df.withColumn("_fresh", F.lit(1)).withColumn("_ord", F.col(order).cast("decimal(38,0)") if order in df.columns else F.lit(0).cast("decimal(38,0)"))
+
+    def with_stored(df: DataFrame, name: str) -> DataFrame:
+        if version == 0:
+            return df
+        stored = spark.read.parquet(f"{path}/v{version - 1}/{name}").withColumn("_fresh", F.lit(0)).withColumn("_ord", F.lit(0).cast("decimal(38,0)"))
+        return df.unionByName(stored.select(df.columns))
+
+    every_node = with_stored(fresh(nodes, "node_ord").select("id", *node, "_fresh", "_ord"), "nodes")
+    _last(every_node, ["id"], node).write.mode("overwrite").parquet(f"{path}/v{version}/nodes")
+    known = spark.read.parquet(f"{path}/v{version}/nodes")
+    every_edge = with_stored(fresh(edges, "edge_ord").select(*key, *attributes, "_fresh", "_ord"), "edges")
+    check_endpoints(_last(every_edge, key, attributes), known).write.mode("overwrite").partitionBy("relation").parquet(f"{path}/v{version}/edges")
+
+
+def experiment_markdown(sizes: dict[str, int], coverage: dict, scores: dict[str, dict[str, dict]]) -> str:
+    """The written report of tagger experiments.
+
+    ``sizes``: examples of train, dev and test; ``coverage``: a row of ``evaluation.coverage``; ``scores``: for each
+    experiment its dev and test row ``micro`` of ``evaluation.entity_scores``.  The last experiment is compared with the first.
+    """
+
+    def block(title: str, lines: list[tuple[str, object]], level: int = 2) -> str:
+        return "\n".join([f"{'#' * level} {title}", "", *[f"- {name}: {value}" for name, value in lines]]).rstrip() + "\n"
+
+    names = list(scores)
+    first, last = (scores[n]["test"]["f1"] for n in (names[0], names[-1]))
+    parts = ["# CRF Formal Experiment Report\n", block("Dataset", [(f"{k.capitalize()} examples", n) for k, n in sizes.items()])]
+    parts.append(block("JD Coverage", [("Documents", coverage["docs"]), ("Documents with gazetteer hits", coverage["docs_with_hits"]), ("Coverage ratio", coverage["ratio"])]))
+    parts.append(block("Results", []))
+    for n in names:
+        dev, test = scores[n]["dev"], scores[n]["test"]
+        parts.append(block(n, [("Dev F1", dev["f1"]), ("Test F1", test["f1"]), ("Test Precision", test["precision"]), ("Test Recall", test["recall"])], 3))
+    parts.append(block("Comparison", [(f"{names[0]} test F1", first), (f"{names[-1]} test F1", last), ("Delta F1", round(last - first, 4))]))
+    return "\n".join(parts)
