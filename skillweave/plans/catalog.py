@@ -447,7 +447,16 @@ def gazetteer_token_features(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer.gazetteer_features(docs, a.benchmark_entries(spark, sf)).withColumn("types", F.array_join("types", ","))
 
 
-@query()
+@query(
+    f"""WITH {a.TAGGED_SQL}, pr AS (SELECT t.id, t.entity_type, t.txt AS tail, t.start_token, h.txt AS head, row_number() OVER (PARTITION BY t.id, t.start_token ORDER BY abs(h.start_token - t.start_token), h.start_token) AS k
+      FROM spn t JOIN spn h ON h.id = t.id AND h.entity_type = 'OCC' AND t.entity_type <> 'OCC'),
+    pos AS (SELECT id, head, tail, arg_max(CASE entity_type WHEN 'SKL' THEN 'REQUIRES_SKILL' WHEN 'TOL' THEN 'USES_TOOL' ELSE 'REQUIRES_KNOWLEDGE' END, start_token) AS relation FROM pr WHERE k = 1 GROUP BY id, head, tail),
+    oth AS (SELECT o.id, o.head, e.tail FROM (SELECT DISTINCT id, txt AS head FROM spn WHERE entity_type = 'OCC') o JOIN (SELECT DISTINCT id, txt AS tail FROM spn) e ON e.id = o.id AND o.head <> e.tail
+      WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.id = o.id AND pos.head = o.head AND pos.tail = e.tail)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5(head || '|' || tail || '|42'), head, tail) AS r FROM oth),
+    every AS (SELECT * FROM pos UNION ALL SELECT rk.id, head, tail, 'NO_RELATION' FROM rk LEFT JOIN (SELECT id, count(*) AS n FROM pos GROUP BY id) c ON c.id = rk.id WHERE r <= greatest(coalesce(n, 0), 1))
+    SELECT every.id, text, head, tail, relation FROM every JOIN (SELECT id, string_agg(token, ' ' ORDER BY pos) AS text FROM tok GROUP BY id) x ON x.id = every.id"""
+)
 def relation_examples(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.relation_examples(bio.extract_spans(a.tagged(spark, sf)))
 
