@@ -1,35 +1,43 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is divided by documents: each row of the index table is one shard with the postings of its own documents
-(term -> ascending positions), so that neither building nor searching it shuffles, and a term that stands in a third of
-all documents is spread over all shards.  Only terms of the test set are stored: no other list is ever looked up.
-Global list lengths order each test window's terms from the rarest; a shard starts from the postings of the rarest term
-and keeps the starts at which the lists of the next terms, moved by their offsets, have an entry too.
-
-Words are compared by 64-bit hashes (``shared.WordHasher``).  The test set is handled in blocks of at most
-``BLOCK_WORDS`` words, so what is broadcast has a fixed bound whatever the benchmark's size.
-
-Nulls and texts without words have no words and are never hit.  Repeated rows each get their own result.  An empty
-benchmark contaminates nothing.  Columns of other names are ignored.
+The index holds the postings of all words of the documents and is built once, whatever is searched in it.  It is divided
+by documents: each row of the index table is one shard with the lists of its own documents (term -> ascending
+positions), so that neither building nor searching it shuffles, and a term that stands in a third of all documents is
+spread over all shards.  Global list lengths order each test window's terms from the rarest.  A shard drops the windows
+of which it lacks a term, starts from the postings of the rarest one and intersects them with the lists of the next
+terms, moved by their offsets: exactly for phrases, within ``slop`` words for proximity.
+
+Words are compared by 64-bit hashes (``shared.WordHasher``).  The test set is searched in blocks of at most
+``BLOCK_WORDS`` words, one after the other: only one block at a time is on the driver or broadcast.  Longer items are
+divided into runs of words that share no window and leave none out.
+
+Nulls and texts without words have no words and are never hit.  Repeated rows of documents each get their own result,
+rows of the test set with one item_id are one item.  Very long texts are a shard of their own.  An empty benchmark
+contaminates nothing.  Columns of other names are ignored.  doc_id is a number (any type that casts to bigint).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.llm.shared import WordHasher, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
+from skillweave.llm.shared import Scratch, WordHasher, rows_not_in, slices, small_batches, text_buffers, words_of, write_table
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS, RUN_WORDS = 2_000_000, 20_000
 SHARD_BYTES = 2_000_000
+#: Windows, and postings of their rarest terms, that are looked at together in a shard.
+WINDOWS_AT_ONCE, POSTINGS_AT_ONCE = 200_000, 1_000_000
 INDEX_SCHEMA = "shard string, doc_ids array<bigint>, n_words array<int>, terms array<bigint>, counts array<int>, positions binary"
 HIT_SCHEMA = "shard string, ord int, doc_id bigint, n_words bigint, hits array<int>, items array<string>, near_items array<string>"
+BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @cache
@@ -37,60 +45,65 @@ def _hasher() -> WordHasher:
     return WordHasher.letters_and_digits()
 
 
+def _found(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands, or -1."""
+    if not len(ascending):
+        return np.full(len(wanted), -1, np.int32)
+    at = np.minimum(np.searchsorted(ascending, wanted), len(ascending) - 1).astype(np.int32)
+    return np.where(ascending[at] == wanted, at, np.int32(-1))
+
+
 class Windows:
     """The windows of a block of test items: each is ``n`` consecutive words, or all words of a shorter item."""
 
-    def __init__(self, item_ids: list, texts: list, window: int):
-        raw, offsets = text_buffers(pa.array(texts, pa.string()))
-        words, first = words_of(_hasher(), raw, offsets)
-        self.vocabulary = np.unique(words)
-        ids = np.searchsorted(self.vocabulary, words).astype(np.int32)
+    def __init__(self, names: pa.Array, texts: pa.Array, window: int):
+        words, first = words_of(_hasher(), *text_buffers(texts))
+        self.vocabulary, ids = np.unique(words.view(np.int64), return_inverse=True)
         counts = np.diff(first)
         per_item = np.where(counts == 0, 0, np.maximum(1, counts - window + 1))
-        self.item = np.repeat(np.arange(len(texts)), per_item)
-        start = np.concatenate([first[i] + np.arange(k) for i, k in enumerate(per_item)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.length = np.minimum(counts, window)[self.item].astype(np.int32)
+        self.names = np.unique(np.asarray(names.to_pylist(), object)) if len(names) else np.zeros(0, object)
+        self.item = np.repeat(np.searchsorted(self.names, np.asarray(names.to_pylist(), object)) if len(names) else np.zeros(0, np.int64), per_item).astype(np.int32)
+        owner = np.repeat(np.arange(len(counts)), per_item)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(per_item) - per_item, per_item) + first[owner]
+        self.length = np.minimum(counts, window)[owner].astype(np.int32)
         at = np.minimum(start[:, None] + np.arange(window), max(len(ids) - 1, 0))
-        self.terms = np.where(np.arange(window) < self.length[:, None], ids[at] if len(ids) else 0, -1).astype(np.int32)
-        self.names = [str(x) for x in item_ids]
-        self.probe = np.zeros((len(start), window), np.int8)
+        inside = np.arange(window) < self.length[:, None]
+        self.terms = np.where(inside, ids[at] if len(ids) else 0, -1).astype(np.int32)
+        self.probe = np.zeros((len(start), window), np.int8 if window < 128 else np.int32)
 
     def rarest_first(self, frequency: np.ndarray) -> None:
-        """Order each window's offsets by how often their terms occur in the whole corpus."""
-        f = np.where(self.terms >= 0, frequency[np.maximum(self.terms, 0)], np.iinfo(np.int64).max)
-        self.probe = np.argsort(f, axis=1, kind="stable").astype(np.int8)
+        """Order each window's offsets by how often their terms occur in the whole corpus; places beyond its end are last."""
+        f = np.append(frequency, np.iinfo(np.int64).max)[self.terms]
+        self.probe = np.argsort(f, axis=1, kind="stable").astype(self.probe.dtype)
+
+
+def _lists(kind: pa.DataType, values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def _index_shards(vocabulary, shard_bytes: int):
-    """Arrow batches of documents -> one row per shard: its documents and, for each test term, its positions."""
+def _index_shards(shard_bytes: int):
+    """Arrow batches of documents -> one row per shard: its documents and, for each term, its positions."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        known = vocabulary.value
-        table = np.zeros(1 << 16, bool)
-        table[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             raw, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets, shard_bytes):
                 words, first = words_of(_hasher(), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                maybe = np.flatnonzero(table[(words & np.uint64(0xFFFF)).astype(np.int64)])
-                w = words[maybe]
-                at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-                same = known[at] == w if len(known) else np.zeros(len(w), bool)
-                term, position = at[same], maybe[same]
-                order = np.argsort(term, kind="stable")
-                terms, counts = np.unique(term, return_counts=True)
+                words = words.view(np.int64)
+                order = np.argsort(words, kind="stable")
+                terms, counts = np.unique(words[order], return_counts=True)
+                docs = batch.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f"{part}-{k}"]),
-                        pa.array([ids[i:j]], pa.list_(pa.int64())),
-                        pa.array([np.diff(first)], pa.list_(pa.int32())),
-                        pa.array([terms], pa.list_(pa.int64())),
-                        pa.array([counts], pa.list_(pa.int32())),
-                        pa.array([position[order].astype("<i4").tobytes()], pa.binary()),
+                        pa.array([docs.to_pylist()], pa.list_(pa.int64())),
+                        _lists(pa.int32(), np.diff(first), np.array([0, j - i])),
+                        _lists(pa.int64(), terms, np.array([0, len(terms)])),
+                        _lists(pa.int32(), counts, np.array([0, len(terms)])),
+                        pa.array([order.astype("<i4").tobytes()], pa.binary()),
                     ],
                     names=["shard", "doc_ids", "n_words", "terms", "counts", "positions"],
                 )
@@ -99,150 +112,147 @@ def _index_shards(vocabulary, shard_bytes: int):
     return build
 
 
+def _array(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name))[row].values.to_numpy(zero_copy_only=False)
+
+
 class Shard:
-    """One row of the index: postings as offsets into a position array, and a document's share of the positions."""
-
-    def __init__(self, row: dict):
-        self.name, self.doc_ids = row["shard"], row["doc_ids"]
-        lengths = np.asarray(row["n_words"], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lengths)])
-        self.terms = np.asarray(row["terms"], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(np.asarray(row["counts"], np.int64))])
-        self.positions = np.frombuffer(row["positions"], "<i4")
-
-    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and length of each term's postings."""
-        if not len(self.terms):
-            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        found = self.terms[at] == terms
-        return np.where(found, self.begin[at], 0), np.where(found, self.begin[at + 1] - self.begin[at], 0)
-
-    def term_at(self) -> np.ndarray:
-        """The term at each position (-1: none of the test set): a membership test in all lists at once."""
-        out = np.full(int(self.first[-1]), -1, np.int32)
-        out[self.positions] = np.repeat(self.terms, np.diff(self.begin))
-        return out
-
-
-def phrase_matches(shard: Shard, windows: Windows, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every exact occurrence inside one document."""
-    n = len(windows.terms)
-    rows = np.arange(n)
-    begin, length = shard.lists(windows.terms[rows, windows.probe[:, 0]] if n else np.zeros(0, np.int64))
-    term_at = shard.term_at()
-    total, found = np.cumsum(length), []
-    i = 0
-    while i < n:
-        base = int(total[i - 1]) if i else 0
-        j = max(i + 1, int(np.searchsorted(total, base + chunk, "right")))
-        lens = length[i:j]
-        w = np.repeat(rows[i:j], lens)
-        within = np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)
-        start = shard.positions[np.repeat(begin[i:j], lens) + within].astype(np.int64) - windows.probe[w, 0]
-        doc = np.searchsorted(shard.first, np.maximum(start, 0), "right") - 1
-        ok = (start >= 0) & (start + windows.length[w] <= shard.first[np.minimum(doc + 1, len(shard.first) - 1)])
-        w, start = w[ok], start[ok]
-        for k in range(1, windows.probe.shape[1]):
-            if not len(w):
-                break
-            offset = windows.probe[w, k]
-            term = windows.terms[w, offset]
-            inside = offset < windows.length[w]
-            hit = ~inside | (term_at[np.where(inside, start + offset, 0)] == term)
-            w, start = w[hit], start[hit]
-        found.append((w, start))
-        i = j
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def proximity_matches(shard: Shard, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, document) where each term stands within ``slop`` words of its offset from an entry of the rarest term."""
-    found_w, found_d = [], []
-    for w in range(len(windows.terms)):
-        order = windows.probe[w][: windows.length[w]]
-        begin, length = shard.lists(windows.terms[w, order].astype(np.int64))
-        if not length.all():
-            continue
-        anchor = shard.positions[begin[0] : begin[0] + length[0]].astype(np.int64)
-        doc = np.searchsorted(shard.first, anchor, "right") - 1
-        for k in range(1, len(order)):
-            postings = shard.positions[begin[k] : begin[k] + length[k]]
-            want = anchor + int(order[k]) - int(order[0])
-            low, high = np.maximum(want - slop, shard.first[doc]), np.minimum(want + slop, shard.first[doc + 1] - 1)
-            near = np.searchsorted(postings, low, "left") < np.searchsorted(postings, high, "right")
-            anchor, doc = anchor[near], doc[near]
-            if not len(anchor):
-                break
-        found_w.append(np.full(len(doc), w))
-        found_d.append(doc)
-    if not found_w:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_w), np.concatenate(found_d)
-
-
-def _search(windows_broadcast, slop: int | None):
+    """One row of the index.  A posting's key is the number of its term times the shard's words, plus its position."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.name = batch.column(0)[row].as_py()
+        self.doc_ids = batch.column(1)[row].values
+        self.first = np.concatenate([[0], np.cumsum(_array(batch, "n_words", row), dtype=np.int64)])
+        self.terms, self.counts = _array(batch, "terms", row), _array(batch, "counts", row).astype(np.int64)
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.positions = np.frombuffer(batch.column(5)[row].as_py(), "<i4").astype(np.int64)
+        self.keys = np.repeat(np.arange(len(self.terms)) * self.first[-1], self.counts) + self.positions
+
+    def has_between(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the list of each term has an entry from low to high."""
+        base = term.astype(np.int64) * self.first[-1]
+        at = np.searchsorted(self.keys, base + low)
+        return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= base + high)
+
+
+def matches(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, start, document) of every occurrence inside one document.
+
+    An entry of the rarest term fixes where the window would start; each other term has to stand within ``slop`` words of
+    its place.  With 0 that is an exact phrase.
+    """
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    number = np.append(_found(shard.terms, windows.vocabulary), np.int32(0))  # the last one is for places beyond a window's end
+    for i in range(0, len(windows.terms), WINDOWS_AT_ONCE):
+        known = number[windows.terms[i : i + WINDOWS_AT_ONCE]]
+        live = np.flatnonzero((known >= 0).all(1))
+        rarest = known[live, windows.probe[live + i, 0]]
+        total = np.cumsum(shard.counts[rarest])
+        a = 0
+        while a < len(live):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + POSTINGS_AT_ONCE, "right")))
+            lens = shard.counts[rarest[a:b]]
+            within = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+            anchor = shard.positions[np.repeat(shard.begin[rarest[a:b]], lens) + within]
+            w = np.repeat(live[a:b], lens)
+            doc = np.searchsorted(shard.first, anchor, "right") - 1
+            start = anchor - windows.probe[w + i, 0]
+            for k in range(1, windows.probe.shape[1]):
+                if not len(w):
+                    break
+                offset = windows.probe[w + i, k]
+                place = start + offset
+                low, high = np.maximum(place - slop, shard.first[doc]), np.minimum(place + slop, shard.first[doc + 1] - 1)
+                hit = (offset >= windows.length[w + i]) | shard.has_between(known[w, offset], low, high)
+                w, start, doc = w[hit], start[hit], doc[hit]
+            found.append((w + i, start, doc))
+            a = b
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _items_of(windows: Windows, w: np.ndarray, doc: np.ndarray, docs: int) -> pa.ListArray:
+    """The names of the items whose windows were found in each document."""
+    pairs = np.unique(doc * (len(windows.names) + 1) + windows.item[w])
+    of, item = pairs // (len(windows.names) + 1), pairs % (len(windows.names) + 1)
+    return _lists(pa.string(), windows.names[item], np.searchsorted(of, np.arange(docs + 1)))
+
+
+def _search(windows_broadcast, slop: int | None, all_documents: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = windows_broadcast.value
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
-                w, start = phrase_matches(shard, windows)
+            for row in range(batch.num_rows):
+                shard = Shard(batch, row)
                 docs = len(shard.doc_ids)
+                w, start, doc = matches(shard, windows)
                 covered = np.zeros(int(shard.first[-1]) + 1, np.int32)
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + windows.length[w], -1)
                 hit = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-                doc = np.searchsorted(shard.first, start, "right") - 1
-                pairs = np.unique(np.stack([doc, windows.item[w]], 1), axis=0) if len(w) else np.zeros((0, 2), np.int64)
-                near = np.zeros((0, 2), np.int64)
-                if slop is not None:
-                    nw, nd = proximity_matches(shard, windows, slop)
-                    near = np.unique(np.stack([nd, windows.item[nw]], 1), axis=0) if len(nw) else near
                 cut = np.searchsorted(hit, shard.first)
-
-                def names(found, d):
-                    return [windows.names[x] for x in found[np.searchsorted(found[:, 0], d, "left") : np.searchsorted(found[:, 0], d, "right"), 1]]
-
-                yield pa.RecordBatch.from_arrays(
+                near_w, _, near_doc = matches(shard, windows, slop) if slop is not None else (w[:0], w[:0], w[:0])
+                out = pa.RecordBatch.from_arrays(
                     [
                         pa.array([shard.name] * docs, pa.string()),
                         pa.array(np.arange(docs), pa.int32()),
-                        pa.array(shard.doc_ids, pa.int64()),
+                        shard.doc_ids,
                         pa.array(np.diff(shard.first), pa.int64()),
-                        pa.array([hit[cut[d] : cut[d + 1]] - shard.first[d] if cut[d] < cut[d + 1] else [] for d in range(docs)], pa.list_(pa.int32())),
-                        pa.array([names(pairs, d) if len(pairs) else [] for d in range(docs)], pa.list_(pa.string())),
-                        pa.array([names(near, d) if len(near) else [] for d in range(docs)], pa.list_(pa.string())),
+                        _lists(pa.int32(), hit - np.repeat(shard.first[:-1], np.diff(cut)), cut),
+                        _items_of(windows, w, doc, docs),
+                        _items_of(windows, near_w, near_doc, docs),
                     ],
                     names=["shard", "ord", "doc_id", "n_words", "hits", "items", "near_items"],
                 )
+                yield out if all_documents else out.take(pa.array(np.union1d(doc, near_doc), pa.int64()))
 
     return search
 
 
-def test_blocks(benchmark: DataFrame, block_words: int) -> list[list]:
-    """The test items in blocks of at most about ``block_words`` words (a longer item is a block of its own)."""
-    blocks, room = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row.text or "").split()) + 1
-        if not blocks or room < n:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append(row)
-        room -= n
-    return blocks
+def _lengths(vocabulary_broadcast):
+    """The length of each looked-up list, added up by batch of shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_broadcast.value
+        for batch in batches:
+            n = np.zeros(len(vocabulary), np.int64)
+            for row in range(batch.num_rows):
+                at = _found(vocabulary, _array(batch, "terms", row))
+                n[at[at >= 0]] += _array(batch, "counts", row)[at >= 0]
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["term", "n"])
+
+    return run
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text) over the terms in ``vocabulary`` (ascending hashes)."""
+def item_runs(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS, run_words: int = RUN_WORDS) -> tuple[DataFrame, int]:
+    """The test items as stored rows (name, text, block) of at most ``run_words`` words, and the number of blocks.
+
+    Runs of an item overlap by a window less a word.  Blocks are dealt by hash; they are made more until none has over
+    ``block_words`` words (eight bytes count as a word at least).
+    """
+    longest = max(window, min(run_words, block_words))
+    step = longest - window + 1
+    words = F.filter(F.split(F.translate(F.col("text").cast("string"), UPPER, LOWER), BREAKS), lambda w: w != "")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("name"), words.alias("w")).filter(F.size("w") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - longest) / step)).cast("int")
+    runs = items.select("name", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", k * step + 1, longest), " "))).alias("text")).distinct()
+    size = F.greatest(F.size(F.split("text", " ")), F.ceil(F.octet_length("text") / 8)).cast("long")
+    stored = write_table(runs.select("name", "text", size.alias("size"), F.xxhash64("name", "text").alias("hash")), "runs")
+    total = stored.agg(F.sum("size")).first()[0] or 0
+    blocks = max(1, ceil(total / block_words))
+    while total > block_words:
+        most = stored.groupBy(F.pmod("hash", F.lit(blocks))).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).filter("rows > 1").agg(F.max("n")).first()[0] or 0
+        if most <= block_words:
+            break
+        blocks *= 2
+    return stored.select("name", "text", F.pmod("hash", F.lit(blocks)).alias("block")), blocks
+
+
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The index of all words of ``docs`` (doc_id, text); rows of ``INDEX_SCHEMA``, to be stored."""
     small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shards = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index_shards(known, shard_bytes), INDEX_SCHEMA)
-    index = write_table(shards, "postings")
-    known.destroy()
-    return index
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_index_shards(shard_bytes), INDEX_SCHEMA)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -252,16 +262,23 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     window's rarest term.  With ``slop=None`` near_items is empty.
     """
     spark = docs.sparkSession
-    parts = []
-    for block in test_blocks(benchmark, block_words) or [[]]:
-        windows = Windows([r.item_id for r in block], [r.text for r in block], window)
-        index = build_index(docs, windows.vocabulary)
-        lengths = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-        frequency = np.zeros(max(len(windows.vocabulary), 1), np.int64)
-        for row in lengths.toLocalIterator():  # at most as many rows as the block has terms
-            frequency[row.terms] = row.n
+    scratch = Scratch(spark)
+    index = scratch.write(build_index(docs), "postings")
+    runs, blocks = item_runs(benchmark, window, block_words)
+    parts: list[DataFrame] = []
+    for k in [r.block for r in runs.select("block").distinct().orderBy("block").collect()] or [0]:  # a block has millions of words
+        block = runs.filter(F.col("block") == k).toArrow()
+        windows = Windows(block.column("name").combine_chunks(), block.column("text").combine_chunks(), window)
+        vocabulary = spark.sparkContext.broadcast(windows.vocabulary)
+        lengths = index.select("terms", "counts").mapInArrow(_lengths(vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        vocabulary.destroy()
+        frequency = np.zeros(len(windows.vocabulary), np.int64)
+        frequency[lengths.column("term").to_numpy()] = lengths.column("n").to_numpy()
         windows.rarest_first(frequency)
-        parts.append(index.mapInArrow(_search(spark.sparkContext.broadcast(windows), slop), HIT_SCHEMA))
+        shared = spark.sparkContext.broadcast(windows)
+        parts.append(write_table(index.mapInArrow(_search(shared, slop, not parts), HIT_SCHEMA), "found"))
+        shared.destroy()
+    scratch.drop("postings")
     if len(parts) == 1:
         return parts[0].drop("shard", "ord")
     every = parts[0]

@@ -449,6 +449,48 @@ def test_proximity(spark):
     assert got == {0: ([], ["1"]), 1: ([], []), 2: (["1"], ["1"])}
 
 
+def test_proximity_brute_force(spark):
+    rng = random.Random(5)
+    items = [[f"v{rng.randrange(9)}" for _ in range(n)] for n in (3, 10, 12, 25)]
+    texts = [[f"v{rng.randrange(9)}" for _ in range(rng.randrange(60))] for _ in range(30)]
+    for k in range(12):  # an item with a word more, and two of them changed about
+        words = list(items[k % 4])
+        words.insert(rng.randrange(len(words)), "other")
+        at = rng.randrange(len(words) - 1)
+        words[at], words[at + 1] = words[at + 1], words[at]
+        texts[k] = texts[k] + words
+    texts.append(["v1"] * 5_000 + items[3])  # long, and one term in all its places
+    counts = {}
+    for w in texts:
+        for x in w:
+            counts[x] = counts.get(x, 0) + 1
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {r.doc_id: set(r.near_items) for r in decontaminate.find_matches(_docs(spark, [" ".join(w) for w in texts]), bench, slop=2).collect()}
+
+    def near(window, words):
+        rarest = min(range(len(window)), key=lambda o: counts.get(window[o], 0))
+        ties = [o for o in range(len(window)) if counts.get(window[o], 0) == counts.get(window[rarest], 0)]
+        each = [any(all(x in words[max(0, at - a + o - 2) : max(0, at - a + o + 3)] for o, x in enumerate(window)) for at, y in enumerate(words) if y == window[a]) for a in ties]
+        return all(each), any(each)
+
+    for d, words in enumerate(texts):
+        for i, item in enumerate(items):
+            each = [near(item[k : k + 10], words) for k in range(max(1, len(item) - 9))]
+            assert any(x for x, _ in each) <= (str(i) in got[d]) <= any(x for _, x in each), (d, i)
+
+
+def test_decontamination_divides_long_items(spark):
+    rng = random.Random(6)
+    item = [f"u{rng.randrange(500)}" for _ in range(3_000)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item[:40])), (2, "")], "item_id bigint, text string")
+    texts = [" ".join(item[k : k + 10]) for k in range(0, 2_990, 7)] + [" ".join(item[k : k + 9]) for k in range(5)]
+    rows = decontaminate.find_matches(_docs(spark, texts), bench, block_words=700).collect()
+    assert {r.doc_id: (len(r.hits), list(r.items)) for r in rows} == {d: (10, ["1"]) if d < len(texts) - 5 else (0, []) for d in range(len(texts))}
+    runs, blocks = decontaminate.item_runs(bench, 10, 700)
+    sizes = [r.n for r in runs.groupBy("block").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()]
+    assert blocks > 1 and max(sizes) <= 700
+
+
 def test_quality_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["a", "b", "the", "x#", "Y|"]) + rng.choice(["", "\n", "\n\n"]) for _ in range(rng.randint(0, 120))) for _ in range(40)]
