@@ -31,7 +31,8 @@ from skillweave.llm.shared import Scratch, WordHasher, rows_not_in, slices, smal
 
 WINDOW = 10
 BLOCK_WORDS, RUN_WORDS = 2_000_000, 20_000
-SHARD_BYTES = 2_000_000
+#: Bytes of text in a shard, about, and shards that a task holds at once.
+SHARD_BYTES, GROUP_SHARDS = 1_000_000, 8
 #: Windows, and postings of their rarest terms, that are looked at together in a shard.
 WINDOWS_AT_ONCE, POSTINGS_AT_ONCE = 200_000, 1_000_000
 INDEX_SCHEMA = "shard string, doc_ids array<bigint>, n_words array<int>, terms array<bigint>, counts array<int>, positions binary"
@@ -263,7 +264,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    index = scratch.write(build_index(docs), "postings")
+    index = scratch.write(build_index(docs), "postings", GROUP_SHARDS)
     runs, blocks = item_runs(benchmark, window, block_words)
     parts: list[DataFrame] = []
     for k in [r.block for r in runs.select("block").distinct().orderBy("block").collect()] or [0]:  # a block has millions of words

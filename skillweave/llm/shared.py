@@ -73,10 +73,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read back; an older table of that name goes after the new one is there."""
+    def write(self, df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+        """Write and read back; an older table of that name goes after the new one is there.
+
+        ``group_rows`` bounds the rows of a Parquet row group, which is what a task holds at once, where rows are large.
+        """
         path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**({"parquet.block.row.count.limit": group_rows} if group_rows else {})).parquet(path)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.parquet(path)
