@@ -55,22 +55,31 @@ def _found(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of test items: each is ``n`` consecutive words, or all words of a shorter item."""
+    """The different windows of a block of test items, and the items of each.
+
+    A window is ``n`` consecutive words, or all words of a shorter item.  Equal windows are one, so that at a place of a
+    document at most one window of each length can match.
+    """
 
     def __init__(self, names: pa.Array, texts: pa.Array, window: int):
         words, first = words_of(_hasher(), *text_buffers(texts))
         self.vocabulary, ids = np.unique(words.view(np.int64), return_inverse=True)
         counts = np.diff(first)
         per_item = np.where(counts == 0, 0, np.maximum(1, counts - window + 1))
-        self.names = np.unique(np.asarray(names.to_pylist(), object)) if len(names) else np.zeros(0, object)
-        self.item = np.repeat(np.searchsorted(self.names, np.asarray(names.to_pylist(), object)) if len(names) else np.zeros(0, np.int64), per_item).astype(np.int32)
+        given = np.asarray(names.to_pylist(), object)
+        self.names = np.unique(given) if len(given) else given
+        item = np.repeat(np.searchsorted(self.names, given) if len(given) else np.zeros(0, np.int64), per_item)
         owner = np.repeat(np.arange(len(counts)), per_item)
         start = np.arange(len(owner)) - np.repeat(np.cumsum(per_item) - per_item, per_item) + first[owner]
-        self.length = np.minimum(counts, window)[owner].astype(np.int32)
+        inside = np.arange(window) < np.minimum(counts, window)[owner][:, None]
         at = np.minimum(start[:, None] + np.arange(window), max(len(ids) - 1, 0))
-        inside = np.arange(window) < self.length[:, None]
-        self.terms = np.where(inside, ids[at] if len(ids) else 0, -1).astype(np.int32)
-        self.probe = np.zeros((len(start), window), np.int8 if window < 128 else np.int32)
+        terms = np.where(inside, ids[at] if len(ids) else 0, -1).astype(np.int32)
+        self.terms, which = np.unique(terms, axis=0, return_inverse=True) if len(terms) else (terms, np.zeros(0, np.int64))
+        self.length = (self.terms >= 0).sum(1).astype(np.int32)
+        held = np.unique(which.ravel() * (len(self.names) + 1) + item)
+        self.item = (held % (len(self.names) + 1)).astype(np.int32)
+        self.first_item = np.searchsorted(held // (len(self.names) + 1), np.arange(len(self.terms) + 1))
+        self.probe = np.zeros(self.terms.shape, np.int8 if window < 128 else np.int32)
 
     def rarest_first(self, frequency: np.ndarray) -> None:
         """Order each window's offsets by how often their terms occur in the whole corpus; places beyond its end are last."""
@@ -82,32 +91,36 @@ def _lists(kind: pa.DataType, values: np.ndarray, offsets: np.ndarray) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def _shard_of(doc_ids: pa.Array, texts: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+    """One row of the index: these documents and, for each term, its positions."""
+    words, first = words_of(_hasher(), *text_buffers(texts))
+    words = words.view(np.int64)
+    order = np.argsort(words, kind="stable")
+    terms, counts = np.unique(words[order], return_counts=True)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([name]),
+            pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())),
+            _lists(pa.int32(), np.diff(first), np.array([0, len(doc_ids)])),
+            _lists(pa.int64(), terms, np.array([0, len(terms)])),
+            _lists(pa.int32(), counts, np.array([0, len(terms)])),
+            pa.array([order.astype("<i4").tobytes()], pa.binary()),
+        ],
+        names=["shard", "doc_ids", "n_words", "terms", "counts", "positions"],
+    )
+
+
 def _index_shards(shard_bytes: int):
-    """Arrow batches of documents -> one row per shard: its documents and, for each term, its positions."""
+    """Arrow batches of documents -> one row per shard."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(1))
+            _, offsets = text_buffers(batch.column(1))
             for i, j in slices(offsets, shard_bytes):
-                words, first = words_of(_hasher(), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                words = words.view(np.int64)
-                order = np.argsort(words, kind="stable")
-                terms, counts = np.unique(words[order], return_counts=True)
-                docs = batch.column(0).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f"{part}-{k}"]),
-                        pa.array([docs.to_pylist()], pa.list_(pa.int64())),
-                        _lists(pa.int32(), np.diff(first), np.array([0, j - i])),
-                        _lists(pa.int64(), terms, np.array([0, len(terms)])),
-                        _lists(pa.int32(), counts, np.array([0, len(terms)])),
-                        pa.array([order.astype("<i4").tobytes()], pa.binary()),
-                    ],
-                    names=["shard", "doc_ids", "n_words", "terms", "counts", "positions"],
-                )
+                yield from _shard_of(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), f"{part}-{k}")
                 k += 1
 
     return build
@@ -174,9 +187,19 @@ def matches(shard: Shard, windows: Windows, slop: int = 0) -> tuple[np.ndarray,
 
 def _items_of(windows: Windows, w: np.ndarray, doc: np.ndarray, docs: int) -> pa.ListArray:
     """The names of the items whose windows were found in each document."""
-    pairs = np.unique(doc * (len(windows.names) + 1) + windows.item[w])
-    of, item = pairs // (len(windows.names) + 1), pairs % (len(windows.names) + 1)
-    return _lists(pa.string(), windows.names[item], np.searchsorted(of, np.arange(docs + 1)))
+    many, names = len(windows.terms) + 1, len(windows.names) + 1
+    seen = np.unique(doc * many + w)
+    of, w = seen // many, seen % many
+    counts = windows.first_item[w + 1] - windows.first_item[w]
+    total, pairs, i = np.cumsum(counts), np.zeros(0, np.int64), 0
+    while i < len(w):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + POSTINGS_AT_ONCE, "right")))
+        n = counts[i:j]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        item = windows.item[np.repeat(windows.first_item[w[i:j]], n) + within]
+        pairs = np.union1d(pairs, np.repeat(of[i:j], n) * names + item)
+        i = j
+    return _lists(pa.string(), windows.names[pairs % names], np.searchsorted(pairs // names, np.arange(docs + 1)))
 
 
 def _search(windows_broadcast, slop: int | None, all_documents: bool):

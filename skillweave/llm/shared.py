@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -125,22 +126,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of the words of UTF-8 texts, with numpy only.
 
-    ``word_byte`` says which bytes belong to words.  A-Z count as a-z.  A word's hash is the difference of two prefix
-    sums of byte values times powers of an odd base, divided by the power at its start (all modulo 2**64), then mixed.
+    ``word_byte`` says which bytes belong to words.  A-Z count as a-z.  A word's bytes go in blocks of eight through
+    ``mix``, which no product or sum of bytes can predict; words of up to eight bytes and one length never collide.
+    Words of over ``LONG`` bytes are digested whole.
     """
 
-    CHUNK = 1 << 18
+    LONG = 64
 
     def __init__(self, word_byte: np.ndarray):
         self.word = word_byte.astype(bool)
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[lower]
-        base = 0x5851F42D4C957F2D
-        inverse = pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.full(self.CHUNK, base, np.uint64))
-            self.back = np.cumprod(np.full(self.CHUNK, inverse, np.uint64))
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
 
     @classmethod
     def split_on_spaces(cls) -> WordHasher:
@@ -170,33 +166,27 @@ class WordHasher:
         return at[::2], at[1::2]
 
     def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        i, step = 0, self.CHUNK
+        low = np.zeros(len(raw) + 8, np.uint8)
+        low[: len(raw)] = self.lower[raw]
+        eight = np.ndarray((len(raw) + 1,), "<u8", low, strides=(1,))  # the eight bytes from each place on
+        size = ends - starts
         with np.errstate(over="ignore"):
-            while i < len(starts):
-                low = int(starts[i])
-                j = int(np.searchsorted(ends, low + step, "right"))
-                if j <= i:  # one word longer than a chunk
-                    out[i] = self._long(raw[low : int(ends[i])])
-                    i += 1
-                    continue
-                part = raw[low : int(ends[j - 1])]
-                sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(self.value[part] * self.power[: len(part)], out=sums[1:])
-                s, e = starts[i:j] - low, ends[i:j] - low
-                out[i:j] = (sums[e] - sums[s]) * self.back[s]
-                i = j
-            return mix(out)
-
-    def _long(self, part: np.ndarray) -> np.uint64:
-        total, shift = 0, 1
-        base = int(self.power[-1])
-        for at in range(0, len(part), self.CHUNK):
-            piece = part[at : at + self.CHUNK]
-            here = int((self.value[piece] * self.power[: len(piece)]).sum(dtype=np.uint64))
-            total = (total + here * shift) % (1 << 64)
-            shift = shift * base % (1 << 64)
-        return np.uint64(total * int(self.back[0]) % (1 << 64))
+            out = mix(size.astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+            live, left = np.arange(len(starts)), np.minimum(size, self.LONG)
+            for at in range(0, self.LONG, 8):
+                block = eight[starts[live] + at] & _FIRST_BYTES[np.minimum(left - at, 8)]
+                out[live] = mix(out[live] ^ block)
+                longer = left > at + 8
+                live, left = live[longer], left[longer]
+                if not len(live):
+                    break
+        for k in np.flatnonzero(size > self.LONG).tolist():
+            out[k] = int.from_bytes(blake2b(low[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        return out
+
+
+#: Masks that keep the first 0 to 8 bytes of a block.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def words_of(hasher: WordHasher, raw: np.ndarray, offsets: np.ndarray):

@@ -491,6 +491,39 @@ def test_decontamination_divides_long_items(spark):
     assert blocks > 1 and max(sizes) <= 700
 
 
+def _complementary(n):
+    """Two words of n characters without one equal place, of which any polynomial over 2**64 gives one hash from 1,024 on."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 72, 1_024, 4_096, 65_536])
+def test_different_words_stay_different(spark, n):
+    a, b = _complementary(n)
+    docs = _docs(spark, [f"{a} x", f"{b} x", f"{a.upper()} x"])
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.components(docs).collect()) == [(0, 0), (1, 1), (2, 0)]
+    bench = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontaminate.contamination(docs, bench).collect()) == [(0, 1), (1, 0), (2, 1)]
+
+
+def test_repeated_words_take_linear_time():
+    """100,000 equal words in item and document: one window, one match a place."""
+    import time
+
+    import pyarrow as pa
+
+    text = pa.array(["same " * 100_000])
+    began = time.time()
+    windows = decontaminate.Windows(pa.array(["1"]), text, 10)
+    windows.rarest_first(np.array([100_000]))
+    index = next(decontaminate._shard_of(pa.array([7]), text, "0"))
+    w, start, doc = decontaminate.matches(decontaminate.Shard(index, 0), windows)
+    assert len(windows.terms) == 1 and len(w) == 100_000 - 9 and not w.any() and not doc.any() and len(np.unique(start)) == len(start)
+    assert decontaminate._items_of(windows, w, doc, 1).to_pylist() == [["1"]] and time.time() - began < 20
+
+
 def test_quality_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["a", "b", "the", "x#", "Y|"]) + rng.choice(["", "\n", "\n\n"]) for _ in range(rng.randint(0, 120))) for _ in range(40)]
