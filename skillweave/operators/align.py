@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillweave.functions import sequences
 from skillweave.functions import text as fx
 from skillweave.functions.similarity import indel_ratio
 from skillweave.operators.gazetteer import variants
@@ -33,24 +34,114 @@ def exact_align(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.select(*mentions.columns, hit["canonical_id"].alias("canonical_id"), hit["source"].alias("source"), F.when(hit.isNotNull(), 100.0).alias("score"))
 
 
+#: Characters in a gram, and what stands before and after a string.
+GRAM, OPEN, CLOSE = 2, "\x02", "\x03"
+
+
+def _needed(a: Column, b: Column, share: float) -> Column:
+    """Grams that strings of lengths a and b have in common at least, if twice their LCS is 2 * ``share`` of both lengths.
+
+    A character of one string outside the LCS spoils at most ``GRAM`` of its own grams, one of the other string one less.
+    """
+    common = F.ceil((a + b) * share - 1e-9)
+    one = a + (GRAM - 1) - GRAM * (a - common) - (GRAM - 1) * (b - common)
+    other = b + (GRAM - 1) - GRAM * (b - common) - (GRAM - 1) * (a - common)
+    return F.greatest(one, other)
+
+
+def _band(n: Column, share: float) -> Column:
+    """Lengths that a string of length n can reach the score with, as an array."""
+    low = F.ceil(n * share / (1 - share) - 1e-9)
+    return F.sequence(low, F.greatest(F.floor(n * (1 - share) / share + 1e-9), low))
+
+
+def grams_of(x: Column) -> Column:
+    """array<struct<gram,k,pos>>: the k-th occurrence of each gram of a string with its ends marked, and where it starts."""
+    marked = F.concat(F.lit(OPEN), x, F.lit(CLOSE))
+    plain = F.transform(F.sequence(F.lit(1), F.length(marked) - GRAM + 1), lambda i: F.struct(F.substring(marked, i, F.lit(GRAM)).alias("gram"), i.alias("pos")))
+
+    def number(state: Column, g: Column) -> tuple[Column, Column]:
+        k = F.when(g["gram"] == state["gram"], state["k"] + 1).otherwise(F.lit(0))
+        return F.struct(g["gram"].alias("gram"), k.alias("k")), F.struct(g["gram"].alias("gram"), k.alias("k"), g["pos"].alias("pos"))
+
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("k"))
+    return sequences.scan(F.array_sort(plain), start, number, "struct<gram:string,k:int,pos:int>")["out"]
+
+
+def _strings(df: DataFrame, name: str, share: float) -> DataFrame:
+    """Distinct (entity_type, ``name``) with length, grams, and the grams it needs of whatever it may meet."""
+    n = F.length(name)
+    least = F.array_min(F.transform(_band(n, share), lambda m: _needed(n.cast("bigint"), m, share)))
+    return df.select("entity_type", name).distinct().withColumn("n", n).withColumn("least", least).withColumn("grams", grams_of(F.col(name)))
+
+
+def _prefixes(strings: DataFrame, name: str, often: DataFrame) -> DataFrame:
+    """The rarest grams of each string, one of which any string that is similar enough has among its own: gram, k, pos."""
+    posted = strings.filter("least > 0").select("entity_type", name, "n", "least", F.size("grams").alias("size"), F.explode("grams").alias("g")).select("entity_type", name, "n", "least", "size", "g.*")
+    place = F.row_number().over(Window.partitionBy("entity_type", name).orderBy(F.coalesce("often", F.lit(0)), "gram", "k"))
+    ranked = posted.join(often, ["entity_type", "gram"], "left").withColumn("place", place)
+    return ranked.filter(F.col("place") <= F.col("size") - F.col("least") + 1).select("entity_type", name, "n", "gram", "k", "pos")
+
+
+def similar_pairs(mentions: DataFrame, variants_: DataFrame, min_score: float) -> DataFrame:
+    """entity_type, low, vlow: the distinct pairs of strings that may reach ``min_score``, all that do among them.
+
+    ``mentions`` has (entity_type, low), ``variants_`` (entity_type, vlow).  A pair has to share one of the rarest grams of
+    both, at places that its insertions and deletions allow, fit in length, and have as many grams in common as the score
+    needs.  Strings for which the score needs none (low scores, short strings) meet all of a fitting length.
+    """
+    share = min_score / 200
+    own, pool = _strings(mentions, "low", share), _strings(variants_, "vlow", share)
+    often = pool.select("entity_type", F.explode("grams").alias("g")).groupBy("entity_type", F.col("g.gram").alias("gram")).agg(F.count("*").alias("often"))
+    p, q = _prefixes(own, "low", often).alias("p"), _prefixes(pool, "vlow", often).alias("q")
+    common = F.ceil((F.col("p.n") + F.col("q.n")) * share - 1e-9)
+    moved = F.col("q.pos") - F.col("p.pos")
+    near = (moved >= common - F.col("p.n")) & (moved <= F.col("q.n") - common) & (common <= F.least("p.n", "q.n"))
+    met = p.join(q, (F.col("p.entity_type") == F.col("q.entity_type")) & (F.col("p.gram") == F.col("q.gram")) & (F.col("p.k") == F.col("q.k")) & near)
+    met = met.select("p.entity_type", "low", "vlow").distinct()
+    keys = lambda g: F.transform(g, lambda x: F.struct(x["gram"], x["k"]))
+    held = met.join(own.select("entity_type", "low", F.col("n").alias("a"), keys("grams").alias("u")), ["entity_type", "low"]).join(pool.select("entity_type", "vlow", F.col("n").alias("b"), keys("grams").alias("v")), ["entity_type", "vlow"])
+    likely = held.filter(F.size(F.array_intersect("u", "v")) >= _needed(F.col("a"), F.col("b"), share)).select("entity_type", "low", "vlow")
+    bare = own.select("entity_type", "low", "least", F.explode(_band(F.col("n"), share)).alias("m"))
+    sized = pool.select("entity_type", "vlow", F.col("least").alias("vleast"), F.col("n").cast("bigint").alias("m"))
+    rest = bare.join(sized, ["entity_type", "m"]).filter("least <= 0 or vleast <= 0").select("entity_type", "low", "vlow")
+    return likely.unionByName(rest)
+
+
 def fuzzy_candidates(mentions: DataFrame, entries: DataFrame, top_k: int = 5, min_score: float = 0.0) -> DataFrame:
     """The ``top_k`` most similar variants of each distinct mention (entity_type, text) of its type, ties by entry order.
 
-    With a score to reach, only lengths that can reach it are compared: mention and variant meet in an equi-join on
-    (entity_type, length), the mention standing for every length in its band.
+    Different strings are scored once, however many mentions or entries have them; with a score to reach only those that
+    ``similar_pairs`` lets through.  Of the entries with one string the first ``top_k`` are enough.
     """
     wanted = mentions.select("entity_type", "text").distinct().withColumn("low", F.lower("text"))
-    pool = variants(entries).withColumn("vlow", F.lower("variant")).withColumn("len", F.length("vlow"))
-    share = min_score / 200
-    if share > 0:
-        n = F.length("low")
-        band = F.sequence(F.ceil(n * share / (1 - share)), F.greatest(F.floor(n * (1 - share) / share), F.ceil(n * share / (1 - share))))
-        pairs = wanted.withColumn("len", F.explode(band)).join(pool.withColumn("len", F.col("len").cast("bigint")), ["entity_type", "len"])
+    first = F.row_number().over(Window.partitionBy("entity_type", "vlow").orderBy("ord", "variant_ord"))
+    pool = variants(entries).withColumn("vlow", F.lower("variant")).withColumn("place", first).filter(F.col("place") <= top_k)
+    if min_score > 0:
+        pairs = similar_pairs(wanted, pool, min_score)
     else:
-        pairs = wanted.join(pool, "entity_type")
+        pairs = wanted.select("entity_type", "low").distinct().join(pool.select("entity_type", "vlow").distinct(), "entity_type")
     scored = pairs.withColumn("score", indel_ratio(F.col("low"), F.col("vlow"))).filter(F.col("score") >= min_score)
+    named = wanted.join(scored, ["entity_type", "low"]).join(pool, ["entity_type", "vlow"])
     rank = F.row_number().over(Window.partitionBy("entity_type", "text").orderBy(F.desc("score"), "ord", "variant_ord"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("entity_type", "text", "rank", "canonical_id", "variant", "source", "score")
+    return named.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("entity_type", "text", "rank", "canonical_id", "variant", "source", "score")
+
+
+def fuzzy_work(mentions: DataFrame, entries: DataFrame, min_score: float) -> DataFrame:
+    """One row: mentions, variants (different strings), in_band (pairs whose lengths allow the score), scored, scored_per_mention."""
+    own = mentions.select("entity_type", F.lower("text").alias("low")).distinct()
+    pool = variants(entries).select("entity_type", F.lower("variant").alias("vlow")).distinct()
+    share = min_score / 200
+    banded = own.select("entity_type", F.explode(_band(F.length("low"), share)).alias("m")).groupBy("entity_type", "m").agg(F.count("*").alias("x"))
+    lengths = pool.groupBy("entity_type", F.length("vlow").cast("bigint").alias("m")).agg(F.count("*").alias("y"))
+    parts = [
+        own.agg(F.count("*").alias("mentions")),
+        pool.agg(F.count("*").alias("variants")),
+        banded.join(lengths, ["entity_type", "m"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).cast("long").alias("in_band")),
+        similar_pairs(own, pool, min_score).agg(F.count("*").alias("scored")),
+    ]
+    one = reduce(lambda x, y: x.join(F.broadcast(y), F.lit(True)), parts)  # one row each
+    return one.withColumn("scored_per_mention", F.round(F.col("scored") / F.greatest("mentions", F.lit(1)), 4))
 
 
 def align(mentions: DataFrame, entries: DataFrame, min_score: float = 85.0, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

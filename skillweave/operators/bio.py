@@ -144,36 +144,45 @@ def gold_sample(examples: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return marked.orderBy(F.md5(F.concat_ws("|", F.col("id"), F.lit(str(seed)))), "id").limit(n)
 
 
-def token_features(examples: DataFrame) -> DataFrame:
-    """One row per token with its shape and neighbours: id, pos, token and the features of a sequence tagger."""
-
-    def title(x: Column) -> Column:
-        return x.rlike(r"^[^\p{L}]*\p{Lu}[^\p{Lu}]*$") & x.rlike(r"^(?:[^\p{L}]*\p{Lu}\p{Ll}*)+[^\p{L}]*$")
-
-    def near(step: int) -> Column:
-        at = F.col("pos") + step
-        return F.when(at >= 0, F.get("tokens", at))
-
+def _is_title(x: Column) -> Column:
+    return x.rlike(r"^[^\p{L}]*\p{Lu}[^\p{Lu}]*$") & x.rlike(r"^(?:[^\p{L}]*\p{Lu}\p{Ll}*)+[^\p{L}]*$")
+
+
+def shape_features(x: Column, before: Column, after: Column, bos: Column, eos: Column) -> dict[str, Column]:
+    """What a sequence tagger sees of a token and its neighbours (null where there is none), by name."""
+    return {
+        "lower": F.lower(x),
+        "isupper": (F.upper(x) == x) & (F.lower(x) != x),
+        "istitle": _is_title(x),
+        "isdigit": x.rlike("^[0-9]+$"),
+        "prefix1": F.substring(x, 1, 1),
+        "prefix2": F.substring(x, 1, 2),
+        "suffix1": F.right(x, F.lit(1)),
+        "suffix2": F.right(x, F.lit(2)),
+        "length": F.length(x),
+        "bos": bos,
+        "eos": eos,
+        "prev_lower": F.lower(before),
+        "prev_istitle": _is_title(before),
+        "next_lower": F.lower(after),
+        "next_istitle": _is_title(after),
+    }
+
+
+def token_features(examples: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """One row per token with its shape and neighbours: id, pos, token and the features of a sequence tagger.
+
+    With the matches of a ``gazetteer`` (id, pos, types, span_len, begin, as gazetteer_features gives them) also
+    gaz_hit, gaz_types, gaz_type, gaz_span_len and gaz_begin.
+    """
     rows = examples.select("id", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    x = F.col("token")
-    return rows.select(
-        "id",
-        "pos",
-        "token",
-        F.lower(x).alias("lower"),
-        ((F.upper(x) == x) & (F.lower(x) != x)).alias("isupper"),
-        title(x).alias("istitle"),
-        x.rlike("^[0-9]+$").alias("isdigit"),
-        F.substring(x, 1, 1).alias("prefix1"),
-        F.substring(x, 1, 2).alias("prefix2"),
-        F.right(x, F.lit(1)).alias("suffix1"),
-        F.right(x, F.lit(2)).alias("suffix2"),
-        F.length(x).alias("length"),
-        (F.col("pos") == 0).alias("bos"),
-        (F.col("pos") == F.size("tokens") - 1).alias("eos"),
-        F.lower(near(-1)).alias("prev_lower"),
-        F.lower(near(1)).alias("next_lower"),
-    )
+    before, after = F.when(F.col("pos") > 0, F.get("tokens", F.col("pos") - 1)), F.get("tokens", F.col("pos") + 1)
+    facts = shape_features(F.col("token"), before, after, F.col("pos") == 0, F.col("pos") == F.size("tokens") - 1)
+    out = rows.select("id", "pos", "token", *[value.alias(name) for name, value in facts.items()])
+    if gazetteer is None:
+        return out
+    hits = gazetteer.select("id", "pos", F.col("types").alias("gaz_types"), F.array_min("types").alias("gaz_type"), F.col("span_len").alias("gaz_span_len"), F.col("begin").alias("gaz_begin"))
+    return out.join(hits, ["id", "pos"], "left").withColumn("gaz_hit", F.col("gaz_types").isNotNull())
 
 
 def vocabulary(examples: DataFrame) -> DataFrame:
