@@ -1,12 +1,10 @@
-"""Aligning mentions with gazetteer entries: exact key, string similarity, vectors."""
+"""Aligning mentions with gazetteer entries: exact key, string similarity (vectors: see ``vectors``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from skillweave.functions import text as fx
 from skillweave.functions.similarity import indel_ratio
 from skillweave.operators.gazetteer import variants
 
-VECTOR_BLOCK = 20_000
-
 
 def exact_index(entries: DataFrame) -> DataFrame:
     """entity_type, key -> the first entry that has the key."""
@@ -175,48 +171,3 @@ def align_relations(relations: DataFrame, entries: DataFrame, min_score: float =
         hit = F.struct(F.col(f"{side}.*"), F.col("_hit.canonical_id").alias("canonical_id"), F.col("_hit.source").alias("source"), F.col("_hit.score").alias("score"))
         out = out.withColumn(side, hit).drop("_t", "_x", "_hit")
     return out
-
-
-def nearest_neighbours(queries: DataFrame, index: DataFrame, min_score: float = -1e9) -> DataFrame:
-    """query_id, vec_id, score: the index vector of a query's group with the largest cosine times 100, ties by vec_id.
-
-    Both: (vec_id, grp, embedding).  A vector isn't its own neighbour.  Queries are broadcast in blocks of at most
-    ``VECTOR_BLOCK``; every task of the index keeps the best of its rows for each query, then one row a query is shuffled.
-    """
-    spark, parts, block = index.sparkSession, [], []
-
-    def scan(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(
-            (np.array([r.vec_id for r in rows]), np.array([str(r.grp) for r in rows]), np.array([r.embedding for r in rows], np.float64))
-        )
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, groups, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = q @ v.T * 100
-                score[(groups[:, None] != pdf.grp.astype(str).to_numpy()[None]) | (ids[:, None] == pdf.vec_id.to_numpy()[None])] = -np.inf
-                order = np.lexsort((pdf.vec_id.to_numpy(),))
-                best = order[score[:, order].argmax(1)]
-                value = score[np.arange(len(ids)), best]
-                keep = np.isfinite(value)
-                yield pd.DataFrame({"query_id": ids[keep], "vec_id": pdf.vec_id.to_numpy()[best[keep]], "score": value[keep]})
-
-        return index.select("vec_id", "grp", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, score double")
-
-    for row in queries.select("vec_id", "grp", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) >= VECTOR_BLOCK:
-            parts.append(scan(block))
-            block = []
-    if block or not parts:
-        if not block:
-            return spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
-        parts.append(scan(block))
-    every = reduce(DataFrame.unionByName, parts)
-    best = every.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("low"))).alias("x"))
-    return best.select("query_id", (-F.col("x.low")).alias("vec_id"), F.col("x.score").alias("score")).filter(F.col("score") >= min_score)

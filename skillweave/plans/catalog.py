@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave import schema
+from skillweave.functions import sequences
 from skillweave.functions import text as fx
-from skillweave.operators import align, bio, evaluation, fusion, gazetteer, graph
+from skillweave.operators import align, bio, crf, evaluation, fusion, gazetteer, graph, vectors
 from skillweave.operators import queries as q
 from skillweave.plans import adapters as a
 from skillweave.sources import readers
@@ -408,23 +409,71 @@ def exact_align(spark: SparkSession, sf: str) -> DataFrame:
     return align.exact_align(mentions, a.part_entries(spark, sf))
 
 
-@query()
-def fuzzy_align(spark: SparkSession, sf: str) -> DataFrame:
+#: Mentions, distinct variants, and the LCS of each pair of strings: one row of the table of lengths for each character.
+_FUZZY = f"""{a.PART_ENTRIES_SQL},
+  men AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'SKL' WHEN 1 THEN 'TOL' ELSE 'KNW' END AS entity_type, p_name[1:2] || 'x' || p_name[3:32] AS text FROM part),
+  mrg AS (SELECT entity_type, lower(term) AS k, arg_min(canonical_id, ord) AS canonical_id, min(ord) AS ord, arg_min(source, ord) AS source, arg_min(term, ord) AS term FROM ent GROUP BY ALL),
+  pool AS (SELECT entity_type, ord, canonical_id, source, lower(term) AS v FROM mrg UNION ALL
+    SELECT m.entity_type, m.ord, m.canonical_id, m.source, lower(x) FROM mrg m JOIN (SELECT DISTINCT entity_type, lower(term) AS k, unnest([p_brand, p_type]) AS x FROM ent) al USING (entity_type, k)),
+  duo AS (SELECT DISTINCT lower(text) AS a, v AS b FROM men JOIN pool USING (entity_type)),
+  lcs AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS r FROM duo UNION ALL
+    SELECT a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE 0 END)))) FROM lcs WHERE i < length(a)),
+  scr AS (SELECT a, b, 200.0 * list_max(r) / (length(a) + length(b)) AS score FROM lcs WHERE i = length(a))"""
+
+
+def _fuzzy_mentions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.substring("p_name", 1, 2), F.lit("x"), F.substring("p_name", 3, 30))
     kind = F.get(F.array(*[F.lit(x) for x in ("SKL", "TOL", "KNW")]), (F.col("p_partkey") % 3).cast("int"))
-    mentions = a.table(spark, sf, "part").select(kind.alias("entity_type"), name.alias("text"))
     merged = gazetteer.merge(a.part_entries(spark, sf))
-    entries = merged.withColumn("ord", F.regexp_replace("canonical_id", "p:", "").cast("long"))
-    return align.align(mentions, entries, 80.0)
+    return a.table(spark, sf, "part").select(kind.alias("entity_type"), name.alias("text")), merged.withColumn("ord", F.regexp_replace("canonical_id", "p:", "").cast("long"))
+
+
+@query(
+    f"""WITH RECURSIVE {_FUZZY}, bst AS (SELECT entity_type, text, canonical_id, source, score FROM men JOIN pool USING (entity_type) JOIN scr ON a = lower(text) AND b = v WHERE score >= 80
+      QUALIFY row_number() OVER (PARTITION BY entity_type, text ORDER BY score DESC, ord) = 1)
+    SELECT entity_type, text, canonical_id, source, round(score, 6) AS score FROM men LEFT JOIN bst USING (entity_type, text)"""
+)
+def fuzzy_align(spark: SparkSession, sf: str) -> DataFrame:
+    return align.align(*_fuzzy_mentions(spark, sf), 80.0).withColumn("score", F.round("score", 6))
 
 
 @query(
-    """SELECT query_id, arg_max(vec_id, s) AS vec_id, round(max(s), 3) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) * 100 AS s
-    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) q JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) e ON q.label = e.label AND q.vec_id <> e.vec_id) GROUP BY query_id"""
+    f"""WITH RECURSIVE {_FUZZY}, b5 AS (SELECT entity_type, text, v, min(ord) AS ord, arg_min(canonical_id, ord) AS canonical_id, any_value(score) AS score FROM men JOIN pool USING (entity_type) JOIN scr ON a = lower(text) AND b = v WHERE score >= 60 GROUP BY ALL)
+    SELECT entity_type, text, count(*) AS n_strings, round(max(score), 6) AS best FROM b5 GROUP BY entity_type, text"""
 )
+def fuzzy_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many different strings of its type score 60 or more for each mention, and the best score."""
+    mentions, entries = _fuzzy_mentions(spark, sf)
+    every = align.fuzzy_candidates(mentions, entries, 1 << 30, 60.0)
+    return every.groupBy("entity_type", "text").agg(F.countDistinct(F.lower("variant")).alias("n_strings"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query()
+def fuzzy_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that a score of 80 leaves to be worked out, against all pairs of fitting lengths."""
+    return align.fuzzy_work(*_fuzzy_mentions(spark, sf), 80.0)
+
+
+def _neighbours_sql(which: str) -> str:
+    return f"""SELECT query_id, arg_max(vec_id, s) AS vec_id, round(max(s), 3) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)) * 100 AS s
+    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE {which}) q JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) e ON q.label = e.label AND q.vec_id <> e.vec_id) GROUP BY query_id"""
+
+
+def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+    return a.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("grp"), "embedding")
+
+
+@query(_neighbours_sql("vec_id % 20 = 0"))
 def nn_embed(spark: SparkSession, sf: str) -> DataFrame:
-    e = a.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("grp"), "embedding")
-    return align.nearest_neighbours(e.filter("vec_id % 20 = 0"), e).withColumn("score", F.round("score", 3))
+    e = _grouped(spark, sf)
+    return vectors.nearest_neighbours(e.filter("vec_id % 20 = 0"), e).withColumn("score", F.round("score", 3))
+
+
+@query(_neighbours_sql("true"))
+def nn_embed_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's nearest one."""
+    e = _grouped(spark, sf)
+    return vectors.nearest_neighbours(e, e).withColumn("score", F.round("score", 3))
 
 
 @query()
@@ -488,3 +537,51 @@ def capped_sentences(spark: SparkSession, sf: str) -> DataFrame:
 def relation_proxy_by_group(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events").withColumn("proficiency_level", F.when(F.col("value") >= 50, F.lit("expert")))
     return e.groupBy("event_type").agg(F.count("*").alias("num_relations"), F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4).alias("proficiency_coverage"))
+
+
+#: A chain of three labels in whole numbers: from O, B and I to each, and at both ends.
+CHAIN = ([[2.0, 1.0, -50.0], [0.0, -1.0, 5.0], [1.0, 0.0, 3.0]], [1.0, 0.0, -50.0], [0.0, 0.0, 2.0])
+_EMIT = "((l_partkey * (7 + 4 * {j}) + l_linenumber * 3 + l_suppkey * {j}) % 23)"
+_CHAIN = f"""tok AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_partkey, l_linenumber, l_suppkey FROM lineitem),
+  em AS (SELECT id, pos, j, {_EMIT.format(j="j")}::DOUBLE AS e FROM tok, unnest([0, 1, 2]) AS t(j)),
+  tr AS (SELECT * FROM (VALUES {", ".join(f"({i}, {j}, {s}::DOUBLE)" for i, r in enumerate(CHAIN[0]) for j, s in enumerate(r))}) AS t(i, j, s)),
+  fin AS (SELECT * FROM (VALUES {", ".join(f"({j}, {f}::DOUBLE, {g}::DOUBLE)" for j, (f, g) in enumerate(zip(CHAIN[1], CHAIN[2], strict=True)))}) AS t(j, f, g)),
+  len AS (SELECT id, max(pos) AS n FROM tok GROUP BY id)"""
+
+
+def _emissions(spark: SparkSession, sf: str) -> DataFrame:
+    """id, e: the lines of an order are tokens; each has a score for three labels."""
+    lines = a.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
+
+    def score(x, j: int):
+        return ((x["l_partkey"] * (7 + 4 * j) + x["l_linenumber"] * 3 + x["l_suppkey"] * j) % 23).cast("double")
+
+    return lines.select("id", F.transform("r", lambda x: F.array(*[score(x, j) for j in range(3)])).alias("e"))
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN},
+    v AS (SELECT id, pos, em.j, e + f AS score, [em.j] AS path FROM em JOIN fin ON fin.j = em.j WHERE pos = 1 UNION ALL
+      SELECT em.id, em.pos, em.j, max(v.score + s) + any_value(e), list_append(arg_max(v.path, v.score + s - v.j * 0.001), em.j) FROM v JOIN tr ON tr.i = v.j JOIN em ON em.id = v.id AND em.pos = v.pos + 1 AND em.j = tr.j GROUP BY em.id, em.pos, em.j)
+    SELECT id, max(score + g) AS score, array_to_string(arg_max(path, score + g - v.j * 0.001), ',') AS path FROM v JOIN len USING (id) JOIN fin ON fin.j = v.j WHERE pos = n GROUP BY id"""
+)
+def viterbi_paths(spark: SparkSession, sf: str) -> DataFrame:
+    best = _emissions(spark, sf).select("id", sequences.viterbi(F.col("e"), *CHAIN).alias("v"))
+    return best.select("id", "v.score", F.array_join(F.col("v.path").cast("array<string>"), ",").alias("path"))
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAIN},
+    z AS (SELECT id, pos, em.j, e + f AS z FROM em JOIN fin ON fin.j = em.j WHERE pos = 1 UNION ALL
+      SELECT em.id, em.pos, em.j, ln(sum(exp(z.z + s))) + any_value(e) FROM z JOIN tr ON tr.i = z.j JOIN em ON em.id = z.id AND em.pos = z.pos + 1 AND em.j = tr.j GROUP BY em.id, em.pos, em.j)
+    SELECT id, round(ln(sum(exp(z + g))), 5) AS log_z FROM z JOIN len USING (id) JOIN fin ON fin.j = z.j WHERE pos = n GROUP BY id"""
+)
+def chain_log_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return _emissions(spark, sf).select("id", F.round(sequences.log_partition(F.col("e"), *CHAIN), 5).alias("log_z"))
+
+
+@query()
+def crf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Span scores of a chain trained on all labelled orders, over the same orders."""
+    tagged = a.tagged(spark, sf)
+    return evaluation.entity_scores(tagged.select("id", "labels"), crf.tag(tagged, crf.fit(tagged, l2=0.01, rounds=20)))
