@@ -35,7 +35,7 @@ LONGEST, LEAST, BEST = 5, 100, 2_000
 CELL_BYTES, MOST_CELLS, BLOCK = 40, 1 << 27, 1 << 16
 #: Words whose n-grams are held at once; n-grams that a task of the second pass gathers before it sends them on.
 WORDS_AT_ONCE, MOST_HELD = 400_000, 500_000
-#: A sketch is made by so many tasks for each core: its size doesn't depend on how small the input's partitions are.
+#: Both passes run in so many tasks for each core: what a task sends on, a sketch or its counts, is as large however little it reads.
 TASKS_A_CORE = 2
 #: Language names that are broadcast at most, and groups that a language's phrases are ranked in before all are ranked.
 MOST_LANGS, RANK_GROUPS = 100_000, 32
@@ -160,11 +160,13 @@ def sketch_cells(docs: DataFrame) -> int:
     return min(MOST_CELLS, -(-(size // CELL_BYTES + 1) // BLOCK) * BLOCK)
 
 
+def _few_tasks(docs: DataFrame) -> DataFrame:
+    return docs.coalesce(max(1, TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def frequent_cells(docs: DataFrame, cells: int, longest: int = LONGEST, least: int = LEAST) -> list[np.ndarray]:
     """For each row of the merged sketch, a bit for each of ``cells`` (whole blocks): whether it counts ``least`` n-grams or more."""
-    spark = docs.sparkSession
-    few = docs.coalesce(max(1, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
-    blocks = few.mapInArrow(_sketch(cells, longest, least), "row int, block int, counters binary")
+    blocks = _few_tasks(docs).mapInArrow(_sketch(cells, longest, least), "row int, block int, counters binary")
     merged = blocks.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merge(least), "row int, block int, bits binary")
     out = [np.zeros(cells // 8, np.uint8) for _ in range(2)]
     for row, block, body in zip(*(merged.toArrow().column(k).to_pylist() for k in range(3)), strict=True):  # at most 2 * MOST_CELLS / 8 bytes
@@ -250,7 +252,7 @@ def frequent_ngrams(docs: DataFrame, longest: int = LONGEST, least: int = LEAST,
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cells = -(-(cells or sketch_cells(texts)) // BLOCK) * BLOCK
     bits = spark.sparkContext.broadcast(frequent_cells(texts, cells, longest, least))
-    found = texts.mapInArrow(_survivors(bits, cells, longest), "lang string, words int, phrase string, n bigint")
+    found = _few_tasks(texts).mapInArrow(_survivors(bits, cells, longest), "lang string, words int, phrase string, n bigint")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("words") == 0) | (F.col("n") >= least))
 
 
