@@ -45,19 +45,25 @@ def skill_pairs(edges: DataFrame, relations: tuple[str, ...] = SKILL_RELATIONS)
     return edges.filter(F.col("relation").isin(*relations)).select(F.col("source").alias("occ"), F.col("target").alias("skill")).distinct()
 
 
-def similar_sets(pairs: DataFrame, least: float = 0.0) -> DataFrame:
-    """a < b, jaccard for all occupations that share a skill and are at least ``least`` similar.
+def skill_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, skills) of the different skill sets, each named by its least occupation, and (rep, occ) of their members.
 
-    Occupations of one skill set are collapsed to a signature first.  Skills (64-bit hashes of them) are ordered by how
-    many sets hold them, rarest first; two sets that are similar enough share one of the first skills of both, so only
-    those are joined, within the sizes that can reach ``least``, and popular skills mostly meet nothing.  What is found
-    is checked on the whole sets.  The sets are computed once, by a checkpoint in the shared folder.
+    Skills are 64-bit hashes.  The sets are computed once, by a checkpoint in the shared folder.
     """
     sets = pairs.groupBy("occ").agg(F.array_sort(F.collect_set(F.xxhash64("skill"))).alias("skills"))
     signed = _checkpoint(sets.select("occ", "skills", F.sha2(F.array_join(F.col("skills").cast("array<string>"), ","), 256).alias("sig")))
     groups = signed.groupBy("sig").agg(F.first("skills").alias("skills"), F.min("occ").alias("rep"))
-    members = signed.select("sig", "occ").join(groups.select("sig", "rep"), "sig").select("rep", "occ")
-    posted = groups.select("rep", F.size("skills").alias("n"), F.explode("skills").alias("skill"))
+    return groups.select("rep", "skills"), signed.select("sig", "occ").join(groups.select("sig", "rep"), "sig").select("rep", "occ")
+
+
+def similar_classes(classes: DataFrame, least: float) -> DataFrame:
+    """x, y, jaccard of different sets (rep, skills) that share a skill and are at least ``least`` similar.
+
+    Skills are ordered by how many sets hold them, rarest first; two sets that are similar enough share one of the first
+    skills of both, so only those are joined, within the sizes that can reach ``least``, and popular skills mostly meet
+    nothing.  What is found is checked on the whole sets.
+    """
+    posted = classes.select("rep", F.size("skills").alias("n"), F.explode("skills").alias("skill"))
     often = posted.groupBy("skill").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "skill"))
     first = posted.join(often, "skill").select("rep", "n", "skill", place.alias("place")).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
@@ -66,9 +72,18 @@ def similar_sets(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     early = (F.col("p.place") <= F.col("p.n") - together + 1) & (F.col("q.place") <= F.col("q.n") - together + 1)
     sizes = (F.col("p.n") >= F.col("q.n") * least - 1e-9) & (F.col("q.n") >= F.col("p.n") * least - 1e-9)
     likely = p.join(q, (F.col("p.skill") == F.col("q.skill")) & (F.col("p.rep") < F.col("q.rep")) & sizes & early).select(F.col("p.rep").alias("x"), F.col("q.rep").alias("y")).distinct()
-    held = likely.join(groups.select(F.col("rep").alias("x"), F.col("skills").alias("u")), "x").join(groups.select(F.col("rep").alias("y"), F.col("skills").alias("v")), "y")
+    held = likely.join(classes.select(F.col("rep").alias("x"), F.col("skills").alias("u")), "x").join(classes.select(F.col("rep").alias("y"), F.col("skills").alias("v")), "y")
     common = F.size(F.array_intersect("u", "v"))
-    scored = held.select("x", "y", (common / (F.size("u") + F.size("v") - common)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
+    return held.select("x", "y", (common / (F.size("u") + F.size("v") - common)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
+
+
+def similar_sets(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """a < b, jaccard for all occupations that share a skill and are at least ``least`` similar.
+
+    Every pair is written out, of equal sets too; ``skill_classes`` and ``similar_classes`` have the same without that.
+    """
+    classes, members = skill_classes(pairs)
+    scored = similar_classes(classes, least)
     across = scored.join(members.select(F.col("rep").alias("x"), F.col("occ").alias("o")), "x").join(members.select(F.col("rep").alias("y"), F.col("occ").alias("r")), "y").select(F.least("o", "r").alias("a"), F.greatest("o", "r").alias("b"), "jaccard")
     m1, m2 = members.alias("m1"), members.alias("m2")
     same = m1.join(m2, (F.col("m1.rep") == F.col("m2.rep")) & (F.col("m1.occ") < F.col("m2.occ"))).select(F.col("m1.occ").alias("a"), F.col("m2.occ").alias("b"), F.lit(1.0).alias("jaccard"))
@@ -108,23 +123,51 @@ def dense_fallback(edges: DataFrame, most: float = 0.85) -> DataFrame:
     return one.unionByName(one.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component (least id reachable, directions ignored) over edges with both endpoints known.
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """One half of a contraction: larger neighbours, or a vertex and its smaller ones, link with the least vertex around."""
+    near = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    if large:
+        near = near.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    both = near.join(least, "u")
+    out = both.filter("v > u" if large else "v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    if not large:
+        out = out.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+    return out.filter("a < b").distinct()
+
+
+def contract(links: DataFrame) -> DataFrame:
+    """a, b: each vertex b of ``links`` (a, b) with the least vertex a that it reaches, in rounds of stars.
 
-    Labels fall to the least label around and then to that label's own label, until nothing changes; every round is
-    checkpointed in the shared folder.
+    A round leaves at most one link a vertex beside those of the links it began with, so what is written shrinks to the
+    number of vertices; it ends when a checksum stays.  Each round is a checkpoint in the shared folder.
     """
-    known = check_endpoints(edges.select("source", "target"), nodes)
-    both = _checkpoint(known.unionByName(known.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
-    labels = _checkpoint(nodes.select("id").distinct().withColumn("component", F.col("id")))
+    now = _checkpoint(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    mark = None
     while True:
-        around = both.join(labels.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("near"))
-        nearer = labels.join(around, "id", "left").select("id", F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        now = _checkpoint(nearer.join(jump, "component", "left").select("id", F.least("component", "up").alias("component")))
-        if now.join(labels.withColumnRenamed("component", "old"), "id").filter(F.col("component") != F.col("old")).isEmpty():
+        now = _checkpoint(_star(_star(now, True), False))
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen == mark:
             return now
-        labels = now
+        mark = seen
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (least id reachable, directions ignored) over edges with both endpoints known."""
+    known = check_endpoints(edges.select("source", "target"), nodes)
+    found = contract(known.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return nodes.select("id").distinct().join(found.select(F.col("b").alias("id"), "a"), "id", "left").select("id", F.coalesce("a", "id").alias("component"))
+
+
+def similar_components(pairs: DataFrame, least: float) -> DataFrame:
+    """occ, component of occupations (occ, skill) linked at a Jaccard similarity of at least ``least``, without their pair list.
+
+    Occupations of one skill set are one vertex, linked through their least member.
+    """
+    classes, members = skill_classes(pairs)
+    found = contract(similar_classes(classes, least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # The least member of a component is that of its least class, as classes are named by their least member.
+    return members.join(found.select(F.col("b").alias("rep"), "a"), "rep", "left").select("occ", F.coalesce("a", "rep").alias("component"))
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -133,24 +176,62 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
+#: Decimals of a path's cost: sums of rounded weights don't depend on their order.
+COST_DECIMALS = 12
+
+
+def _cost(x: Column) -> Column:
+    return F.round(x, COST_DECIMALS)
+
+
+def _spread(best: DataFrame, front: DataFrame, links: DataFrame, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """One round from one end: what ``front`` reaches over one link, where it is cheaper (or as cheap by a lesser path)."""
+    here, there = ("source", "target") if forward else ("target", "source")
+    path = F.concat("path", F.array(links[there])) if forward else F.concat(F.array(links[there]), F.col("path"))
+    step = front.join(links, front["id"] == links[here]).select(links[there].alias("id"), F.struct(_cost(F.col("distance") + F.col("weight")).alias("distance"), path.alias("path")).alias("offer"))
+    joined = _checkpoint(best.join(step.groupBy("id").agg(F.min("offer").alias("offer")), "id", "full"))
+    old = F.when(F.col("distance").isNotNull(), F.struct("distance", "path"))
+    better = F.col("offer").isNotNull() & (old.isNull() | (F.col("offer") < old))
+    chosen = F.when(better, F.col("offer")).otherwise(old)
+    return joined.select("id", chosen["distance"].alias("distance"), chosen["path"].alias("path")), joined.filter(better).select("id", "offer.distance", "offer.path")
+
+
 def shortest_paths(links: DataFrame, source: str, target: str, max_rounds: int | None = None) -> DataFrame:
-    """One row: distance and path (array of ids) of the cheapest path over directed ``links`` (source, target, weight).
+    """One row: distance and path (array of ids) of the cheapest path over directed ``links`` (source, target, weight >= 0).
 
-    Rounds of relaxation: each round extends the best known paths by one link and keeps the cheapest per node (ties: the
-    lesser path).  It ends when no node improves, or after ``max_rounds`` links.
+    The search goes from both ends, a round from the end with the smaller front at a time, and keeps the cheapest way of
+    each node it has reached (ties: the lesser path; costs are compared to ``COST_DECIMALS`` decimals).  A path that isn't
+    known yet has to pass both fronts, so it ends when the least of both together exceed the best path, when a front has
+    nothing left, or after ``max_rounds`` links.  Nodes that can't be on a better path are not spread from.
     """
     spark = links.sparkSession
-    best = spark.createDataFrame([(source, 0.0, [source])], "id string, distance double, path array<string>")
-    front, k = best, 0
-    while not front.isEmpty() and (max_rounds is None or k < max_rounds):
+    links = _checkpoint(links.select("source", "target", _cost(F.col("weight").cast("double")).alias("weight")))  # each round reads it
+    start = lambda node: spark.createDataFrame([(node, 0.0, [node])], "id string, distance double, path array<string>")
+    best = {True: start(source), False: start(target)}
+    front, least, size = dict(best), {True: 0.0, False: 0.0}, {True: 1, False: 1}
+    found = (0.0, [source]) if source == target else None
+    k = 0
+
+    def narrow(side: bool, nodes: DataFrame) -> None:
+        bound = least[not side]
+        front[side] = nodes if found is None else nodes.filter(_cost(F.col("distance") + bound) <= found[0])
+        seen = front[side].agg(F.count("*").alias("n"), F.min("distance").alias("least")).first()
+        size[side], least[side] = seen.n, seen.least if seen.n else float("inf")
+
+    while min(size.values()) and (found is None or round(least[True] + least[False], COST_DECIMALS) <= found[0]) and (max_rounds is None or k < max_rounds):
         k += 1
-        step = front.join(links, front["id"] == links["source"]).select(links["target"].alias("id"), (F.col("distance") + F.col("weight")).alias("distance"), F.concat("path", F.array(links["target"])).alias("path"))
-        offer = step.groupBy("id").agg(F.min(F.struct("distance", "path")).alias("x")).select("id", F.col("x.distance").alias("d"), F.col("x.path").alias("p"))
-        joined = _checkpoint(best.join(offer, "id", "full"))
-        better = F.col("d").isNotNull() & (F.col("distance").isNull() | (F.col("d") < F.col("distance") - 1e-12))
-        best = joined.select("id", F.when(better, F.col("d")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("p")).otherwise(F.col("path")).alias("path"))
-        front = joined.filter(better).select("id", F.col("d").alias("distance"), F.col("p").alias("path"))
-    return best.filter(F.col("id") == target).select("distance", "path")
+        side = size[True] <= size[False]
+        best[side], improved = _spread(best[side], front[side], links, side)
+        other = best[not side].select("id", F.col("distance").alias("rest"), F.col("path").alias("other"))
+        head, tail = ("path", "other") if side else ("other", "path")
+        whole = F.concat(head, F.slice(tail, F.lit(2), F.greatest(F.size(tail) - 1, F.lit(0))))
+        met = improved.join(other, "id").agg(F.min(F.struct(_cost(F.col("distance") + F.col("rest")).alias("distance"), whole.alias("path"))).alias("w")).first().w
+        news = met is not None and (found is None or (met.distance, met.path) < found)
+        found = (met.distance, met.path) if news else found
+        narrow(side, improved)
+        if news:
+            narrow(not side, front[not side])
+    return spark.createDataFrame([found] if found else [], "distance double, path array<string>")
 
 
 def similarity_weights(edges: DataFrame) -> DataFrame:

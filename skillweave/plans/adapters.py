@@ -70,6 +70,58 @@ jac AS (
   JOIN (SELECT occ, count(*) AS n FROM skl GROUP BY occ) n1 ON n1.occ = a JOIN (SELECT occ, count(*) AS n FROM skl GROUP BY occ) n2 ON n2.occ = b)"""
 
 
+#: Values at which a role of ``event_records`` ends and the next one begins.
+MAGNITUDES = (1, 3, 7, 15, 31, 63, 127, 255)
+
+
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relation records with few skills a role, so that skill sets differ: every event is taken.
+
+    A role is a user at one magnitude of value, a skill is a type of event with a tenth of the values of ``k``.
+    """
+    e = table(spark, sf_dir, "events")
+    size = sum((F.when(F.col("value") >= m, 1).otherwise(0) for m in MAGNITUDES), F.lit(0))
+    k = F.floor(F.get_json_object("props", "$.k").cast("bigint") / 10).cast("bigint")
+    return e.select(
+        F.concat_ws("-", F.concat(F.lit("u:"), F.col("user_id")), size).alias("head_id"),
+        F.concat_ws(" ", F.lit("User"), "user_id", F.lit("level"), size).alias("head_text"),
+        F.lit("OCC").alias("head_type"),
+        F.lit("REQUIRES_SKILL").alias("relation"),
+        F.concat_ws("-", F.lit("k"), "event_type", k).alias("tail_id"),
+        F.concat_ws(" ", "event_type", k).alias("tail_text"),
+        F.lit("SKL").alias("tail_type"),
+        (F.col("value") >= 50).alias("essential"),
+        F.lit(1).cast("long").alias("evidence_count"),
+        F.when(F.col("value") >= 100, F.lit("expert")).alias("proficiency_level"),
+        F.lit(None).cast("double").alias("experience_years"),
+        F.col("event_id").cast("string").alias("sentence_id"),
+        F.col("event_id").alias("ord"),
+        F.lit("distant").alias("head_source"),
+        F.lit("ESCO").alias("tail_source"),
+    )
+
+
+_SIZE = " + ".join(f"(value >= {m})::INTEGER" for m in MAGNITUDES)
+_RECORD_CTES = RECORDS_SQL[RECORDS_SQL.index("skl AS (") :]
+EVENT_SQL = f"""
+rec AS (
+  SELECT 'u:' || user_id || '-' || ({_SIZE}) AS head_id, 'User ' || user_id || ' level ' || ({_SIZE}) AS head_text, 'OCC' AS head_type, 'k-' || event_type || '-' || k AS tail_id, event_type || ' ' || k AS tail_text, 'SKL' AS tail_type, event_id AS ord
+  FROM (SELECT *, (props ->> '$.k')::BIGINT // 10 AS k FROM events)),
+edg AS (SELECT head_id AS source, tail_id AS target, 'REQUIRES_SKILL' AS relation, count(*) AS evidence_count, min(ord) AS edge_ord FROM rec GROUP BY ALL),
+nod AS (
+  SELECT id, arg_min(kind, ord) AS entity_type, arg_min(txt, ord) AS name, min(ord) AS node_ord
+  FROM (SELECT head_id AS id, head_text AS txt, head_type AS kind, ord * 2 AS ord FROM rec UNION ALL SELECT tail_id, tail_text, tail_type, ord * 2 + 1 FROM rec) GROUP BY id),
+{_RECORD_CTES}"""
+
+
+def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges_from(fusion.fuse_relations(event_records(spark, sf_dir)))
+
+
+def event_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.nodes_from(fusion.fuse_nodes(event_records(spark, sf_dir)))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_from(fusion.fuse_relations(records(spark, sf_dir)))
 

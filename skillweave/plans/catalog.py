@@ -585,3 +585,83 @@ def crf_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Span scores of a chain trained on all labelled orders, over the same orders."""
     tagged = a.tagged(spark, sf)
     return evaluation.entity_scores(tagged.select("id", "labels"), crf.tag(tagged, crf.fit(tagged, l2=0.01, rounds=20)))
+
+
+#: Roles of events are neighbours from this similarity on: many components, paths of many hops.
+EVENT_NEAR, PATH_FROM, PATH_TO = 0.4, "u:1-1", "u:27-2"
+_EVT = f"""sim AS (SELECT a AS source, b AS target, CAST(floor(jaccard * 100) AS BIGINT) AS ev FROM jac WHERE jaccard >= {EVENT_NEAR} UNION ALL SELECT b, a, CAST(floor(jaccard * 100) AS BIGINT) FROM jac WHERE jaccard >= {EVENT_NEAR})"""
+_HOPS = f"""hop AS (SELECT '{PATH_FROM}' AS id, 0 AS hops, ['{PATH_FROM}'] AS path UNION ALL SELECT sim.target, hops + 1, min(list_append(path, sim.target)) FROM hop JOIN sim ON sim.source = hop.id WHERE hops < 24 GROUP BY sim.target, hops)"""
+_COSTS = f"""cst AS (SELECT '{PATH_FROM}' AS id, 0 AS hops, {{'d': 0.0::DOUBLE, 'p': ['{PATH_FROM}']}} AS w UNION ALL
+  SELECT id, hops, min(w) FROM (SELECT sim.target AS id, hops + 1 AS hops, {{'d': round(w.d + round(1.0::DOUBLE / greatest(ev, 1), 12), 12), 'p': list_append(w.p, sim.target)}} AS w FROM cst JOIN sim ON sim.source = cst.id WHERE hops < 24) GROUP BY id, hops)"""
+
+
+def _evt(body: str) -> str:
+    return f"WITH RECURSIVE {a.EVENT_SQL}, {body}"
+
+
+def _event_near(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.similarity_edges(a.event_edges(spark, sf), EVENT_NEAR).withColumn("edge_ord", F.lit(0).cast("long"))
+
+
+@query(f"WITH {a.EVENT_SQL} SELECT a AS source, b AS target, CAST(floor(jaccard * 100) AS BIGINT) AS evidence_count FROM jac WHERE jaccard >= 0.3 UNION ALL SELECT b, a, CAST(floor(jaccard * 100) AS BIGINT) FROM jac WHERE jaccard >= 0.3")
+def event_similar_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.similarity_edges(a.event_edges(spark, sf)).select("source", "target", "evidence_count")
+
+
+@query(f"WITH {a.EVENT_SQL} SELECT a AS source, b AS target, round(1 - jaccard + 0.0001, 6) AS weight FROM jac WHERE 1 - jaccard <= 0.6 UNION ALL SELECT b, a, round(1 - jaccard + 0.0001, 6) FROM jac WHERE 1 - jaccard <= 0.6")
+def event_fallback_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.dense_fallback(a.event_edges(spark, sf), 0.6).withColumn("weight", F.round("weight", 6))
+
+
+_REACH = "occ AS (SELECT id FROM nod WHERE entity_type = 'OCC'), reach AS (SELECT id, id AS other FROM occ UNION SELECT reach.id, sim.target FROM reach JOIN sim ON sim.source = reach.other)"
+
+
+@query(_evt(f"{_EVT}, {_REACH} SELECT id, min(other) AS component FROM reach GROUP BY id"))
+def event_components(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.components(a.event_nodes(spark, sf).filter("entity_type = 'OCC'"), _event_near(spark, sf))
+
+
+@query(_evt(f"{_EVT}, {_REACH} SELECT id AS occ, min(other) AS component FROM reach GROUP BY id"))
+def event_similar_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The same components by classes of equal sets, without the list of similar pairs."""
+    return graph.similar_components(graph.skill_pairs(a.event_edges(spark, sf)), EVENT_NEAR)
+
+
+@query(_evt(f"{_EVT}, {_HOPS} SELECT CAST(hops AS DOUBLE) AS distance, array_to_string(path, ' > ') AS path FROM hop WHERE id = '{PATH_TO}' ORDER BY hops LIMIT 1"))
+def event_path_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    found = graph.shortest_paths(graph.undirected_steps(_event_near(spark, sf)), PATH_FROM, PATH_TO)
+    return found.select("distance", F.array_join("path", " > ").alias("path"))
+
+
+@query(_evt(f"{_EVT}, {_COSTS} SELECT round(w.d, 9) AS distance, array_to_string(w.p, ' > ') AS path FROM cst WHERE id = '{PATH_TO}' ORDER BY w LIMIT 1"))
+def event_path_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    found = graph.shortest_paths(graph.similarity_weights(_event_near(spark, sf)), PATH_FROM, PATH_TO)
+    return found.select(F.round("distance", 9).alias("distance"), F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    _evt(
+        f"""{_EVT}, {_COSTS}, best AS (SELECT w.p AS path FROM cst WHERE id = '{PATH_TO}' ORDER BY w LIMIT 1),
+    hp AS (SELECT i - 1 AS step, path[i] AS source, path[i + 1] AS target FROM best, unnest(range(1, len(path))) AS t(i)),
+    low AS (SELECT id FROM (SELECT id, node_ord, sum(evidence_count) AS degree FROM nod JOIN edg ON target = id WHERE entity_type = 'SKL' GROUP BY ALL) ORDER BY degree, node_ord LIMIT 1),
+    gain AS (SELECT step, n.name, row_number() OVER (PARTITION BY step ORDER BY CASE WHEN s.skill IN (SELECT id FROM low) THEN 0 ELSE 1 END, n.name) AS r
+      FROM hp JOIN skl s ON s.occ = hp.target JOIN nod n ON n.id = s.skill WHERE NOT EXISTS (SELECT 1 FROM skl o WHERE o.occ = hp.source AND o.skill = s.skill))
+    SELECT CAST(hp.step AS INTEGER) AS step, source, target, coalesce(string_agg(name, ',' ORDER BY r) FILTER (r <= 5), '') AS new_skills FROM hp LEFT JOIN gain ON gain.step = hp.step GROUP BY ALL"""
+    )
+)
+def event_growth_steps(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = a.event_nodes(spark, sf), a.event_edges(spark, sf)
+    path = graph.shortest_paths(graph.similarity_weights(_event_near(spark, sf)), PATH_FROM, PATH_TO)
+    every = edges.select("source", "target", "relation").unionByName(graph.prerequisite_chain(nodes, edges))
+    return graph.growth_steps(path, every, nodes).withColumn("new_skills", F.array_join("new_skills", ","))
+
+
+@query(
+    f"""WITH {a.EVENT_SQL}, r AS (SELECT source, target, edge_ord, ln(1 + evidence_count) AS w, row_number() OVER (PARTITION BY source ORDER BY edge_ord) AS place, count(*) OVER (PARTITION BY source) AS n FROM edg),
+    asked AS (SELECT DISTINCT source AS cse, target FROM r WHERE n > 1 AND place > 1), den AS (SELECT source, sum(w) AS den, min(edge_ord) AS fe FROM r GROUP BY source),
+    sc AS (SELECT cse, r.source AS role, round(sum(w) / any_value(den), 6) AS score, any_value(fe) AS fe FROM asked JOIN r ON r.target = asked.target JOIN den ON den.source = r.source GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY cse ORDER BY score DESC, fe) AS rank FROM sc)
+    SELECT cse AS "case", CAST(rank AS INTEGER) AS rank FROM rk WHERE cse = role"""
+)
+def event_holdout_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.holdout_ranks(a.event_edges(spark, sf)).select("case", "rank")
