@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,19 +110,23 @@ def conversations(turns: DataFrame) -> DataFrame:
 def format_conversations(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """conv_id, formatted string, segments with loss flags, valid, broken_at (index of the first turn out of order)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Format(template)
-        for frame in frames:
-            rows = []
-            for conv_id, own in zip(frame.conv_id, frame.turns, strict=True):
+        parts_kind = pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))
+        for batch in batches:
+            texts, parts, broken = [], [], []
+            for own in batch.column(1).to_pylist():
                 pairs = [(r["role"], r["text"]) for r in own]
-                parts, broken = form.segments(pairs), form.broken_at([r for r, _ in pairs])
-                rows.append((conv_id, "".join([p for p, _ in parts]), [{"text": p, "loss": flag} for p, flag in parts], broken is None, broken))
-            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "segments", "valid", "broken_at"]).astype({"broken_at": "Int32", "valid": "bool"})
+                segments = form.segments(pairs)
+                texts.append("".join([p for p, _ in segments]))
+                parts.append([{"text": p, "loss": flag} for p, flag in segments])
+                broken.append(form.broken_at([r for r, _ in pairs]))
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(parts, parts_kind), pa.array([b is None for b in broken], pa.bool_()), pa.array(broken, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "segments", "valid", "broken_at"])
 
     small_batches(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return conversations(turns).mapInPandas(run, f"conv_id {kind}, formatted string, segments {SEGMENTS}, valid boolean, broken_at int")
+    return conversations(turns).mapInArrow(run, f"conv_id {kind}, formatted string, segments {SEGMENTS}, valid boolean, broken_at int")
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
@@ -131,18 +135,26 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Format(template)
-        for frame in frames:
-            rows = []
-            for conv_id, text, parts, valid in zip(frame.conv_id, frame.formatted, frame.segments, frame.valid, strict=True):
-                turns = form.read(text)
-                loss = "".join([form.unescape(p["text"]) for p in parts if p["loss"]])
-                whole = "".join([f"{role}\n{said}\n" for role, said in turns])
-                rows.append((conv_id, len(turns), digest(whole), len(loss), digest(loss), len(text), valid))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
+        for batch in batches:
+            turns = [form.read(text) for text in batch.column(1).to_pylist()]
+            losses = ["".join([form.unescape(p["text"]) for p in parts if p["loss"]]) for parts in batch.column(2).to_pylist()]
+            wholes = ["".join([f"{role}\n{said}\n" for role, said in own]) for own in turns]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(own) for own in turns], pa.int64()),
+                    pa.array([digest(x) for x in wholes], pa.string()),
+                    pa.array([len(x) for x in losses], pa.int64()),
+                    pa.array([digest(x) for x in losses], pa.string()),
+                    pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()),
+                    batch.column(3),
+                ],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"],
+            )
 
     small_batches(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     columns = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
-    return formatted.mapInPandas(run, columns)
+    return formatted.select("conv_id", "formatted", "segments", "valid").mapInArrow(run, columns)

@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,9 @@ from skillweave.llm.shared import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe title xmp noframes textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu".split())
+#: Dropped unless most of the page is inside.
+FORMS = frozenset(("form", "fieldset"))
 PARAGRAPHS = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 BOILERPLATE = frozenset(
     """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation
@@ -57,14 +59,16 @@ NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 LEAST_CHARS = 25
 MOST_LINKS = 0.33
+#: The part of a page's points that its main element has at least, and that an article has beside the best one's.
+MOST_POINTS, OTHER_ARTICLE = 0.75, 0.3
 
 
 class Node:
-    __slots__ = ("chars", "comments", "dropped", "in_article", "kept", "links", "parent", "points", "suspect", "tag")
+    __slots__ = ("chars", "comments", "dropped", "in_article", "kept", "links", "parent", "points", "suspect", "tag", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, in_article: bool):
         self.tag, self.parent, self.dropped, self.in_article = tag, parent, dropped, in_article
-        self.points, self.chars, self.links = 0.0, 0, 0
+        self.points, self.total, self.chars, self.links = 0.0, 0.0, 0, 0
         self.kept = self.suspect = self.comments = False
 
 
@@ -143,6 +147,7 @@ class Page:
         node = Node(tag, top, top.dropped or tag in DROPPED or (tag == "header" and not top.in_article), top.in_article or tag in ("article", "main"))
         if not node.dropped and attributes.strip():
             self._judge(node, attributes, top.in_article)
+        node.suspect = node.suspect or tag in FORMS
         depth = len(self.stack)
         self.stack.append(node)
         self.nodes.append(node)
@@ -227,11 +232,14 @@ class Page:
             if node.dropped or len(text) < LEAST_CHARS:
                 continue
             points = 1 + text.count(",") + min(len(text) / 100, 3)
+            node.total += points * (1 - self._link_density(node))
             first = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
             for target, share in ((first, 1.0), (first.parent, 0.5)):
                 if target is not None:
                     target.points += share * points
                     scored[id(target)] = target
+        for node in reversed(self.nodes[1:]):  # children come after their parents
+            node.parent.total += node.total
         return list(scored.values())
 
     @staticmethod
@@ -248,21 +256,58 @@ class Page:
         if best is None:
             kept = [b for b in self.blocks if not b[1].dropped and (b[1].in_article or self._link_density(b[1]) < MOST_LINKS)]
             return " ".join([text for text, _ in kept])
-        lifted, node = best, best
+        main, node = None, best
         while node is not None:
             if node.tag in ("article", "main"):
-                lifted = node
+                main = node
             node = node.parent
-        whole = lifted.tag in ("article", "main")
-        beside = None if whole else best.parent  # its own text and its good children are kept
+        if main is not None:
+            self._keep(self._articles(main))
+        elif best.total >= MOST_POINTS * self.root.total:
+            self._keep([best], best.parent)  # its own text and its good children are kept
+        else:  # the article stands in several parts: the least element that holds most of it, with all its good parts
+            while best.parent is not None and best.total < MOST_POINTS * self.root.total:
+                best = best.parent
+            self._keep([best], link_lists=False)
+        self._keep_headline()
+        return " ".join([text for text, node in self.blocks if node.kept and not node.dropped])
+
+    def _articles(self, main: Node) -> list[Node]:
+        """``main``, and the articles beside it that have a good part of its points."""
+        inside, out = {id(main)}, [main]
+        for node in self.nodes:
+            if node.parent is not None and id(node.parent) in inside:
+                inside.add(id(node))
+            elif node.tag == "article" and not node.dropped and node is not main and node.total >= OTHER_ARTICLE * main.total:
+                inside.add(id(node))
+                out.append(node)
+        return out
+
+    def _keep(self, chosen: list[Node], beside: Node | None = None, link_lists: bool = True) -> None:
+        """Keep what is in ``chosen``, and the good children of ``beside``; without ``link_lists`` no part that is mostly links."""
+        own = {id(node) for node in chosen}
         for node in self.nodes:
-            if node is lifted:
+            if id(node) in own:
                 node.kept = True
             elif node.parent is not None and node.parent is beside:
                 node.kept = not node.dropped and self._link_density(node) < MOST_LINKS
             else:
-                node.kept = node is beside or (node.parent is not None and node.parent is not beside and node.parent.kept)
-        return " ".join([text for text, node in self.blocks if node.kept and not node.dropped])
+                inherited = node.parent is not None and node.parent is not beside and node.parent.kept
+                node.kept = node is beside or (inherited and (link_lists or node.tag in INLINE or self._link_density(node) < MOST_LINKS))
+
+    def _keep_headline(self) -> None:
+        """The page's only h1, if it stands before all that is kept and nothing kept is a headline of the first order."""
+        heads = [node for node in self.nodes if node.tag == "h1" and not node.dropped and node.chars]
+        if len(heads) != 1 or heads[0].kept:
+            return
+        order = {id(node): k for k, node in enumerate(self.nodes)}
+        first = next((order[id(node)] for _, node in self.blocks if node.kept and not node.dropped), -1)
+        if order[id(heads[0])] < first and self._link_density(heads[0]) < MOST_LINKS:
+            inside = {id(heads[0])}
+            for node in self.nodes:
+                if node.parent is not None and id(node.parent) in inside:
+                    inside.add(id(node))
+                node.kept = node.kept or id(node) in inside
 
 
 def main_text(html: str | None) -> str:
@@ -272,11 +317,11 @@ def main_text(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [main_text(h) for h in frame.html]
-            yield pd.DataFrame({"page_id": frame.page_id, "url": frame.url, "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     small_batches(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

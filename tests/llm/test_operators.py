@@ -385,6 +385,40 @@ def test_extract_broken_pages_take_linear_time():
         assert time.time() - began < 10, html[:10]
 
 
+LARGE = (1 << 53) + 1
+
+
+def test_large_ids_beside_null_ones(spark):
+    """A whole number that no double has, with a null id in the same batch."""
+    pages = spark.createDataFrame([(LARGE, "u", "<p>Some text that is long enough to be kept here.</p>"), (None, None, None)], "page_id bigint, url string, html string").coalesce(1)
+    assert {r.page_id for r in extract.extract_pages(pages).collect()} == {LARGE, None}
+    turns = spark.createDataFrame([(LARGE, 0, "user", "a"), (LARGE, 1, "assistant", "b"), (None, 0, "user", "c")], "conv_id bigint, turn int, role string, text string").coalesce(1)
+    formatted = chat.format_conversations(turns)
+    assert {(r.conv_id, r.broken_at) for r in formatted.collect()} == {(LARGE, None), (None, None)}
+    assert {r.conv_id for r in chat.read_back(formatted).collect()} == {LARGE, None}
+
+
+SAID = ["The first part of the article, which is long, has several commas, and says something.", "The second part of it goes on, with other words, and is no shorter than the first one was.", "A third one, for good measure, stands after both, and ends what was to be told here."]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div id=w><div class=s1><div><p>{SAID[0]}</p></div></div><div class=s2><div><p>{SAID[1]}</p></div></div></div>", SAID[:2]),
+        (f"<nav><a href=1>Home</a></nav><article><p>{SAID[0]}</p></article><article><p>{SAID[1]}</p></article><footer>By us</footer>", SAID[:2]),
+        (f"<form id=aspnetForm action=x><div class=menu><a href=1>Menu</a></div><div><p>{SAID[0]}</p><p>{SAID[1]}</p></div><input name=q></form>", SAID[:2]),
+        (f"<div><p>{SAID[0]}</p><p>{SAID[1]}</p><form><label>Your mail address, please, to read on</label><input></form></div>", SAID[:2]),
+        (f"<div><div><h1>What it is about</h1></div><div><div><p>{SAID[0]}</p><p>{SAID[1]}</p></div></div></div>", ["What it is about", *SAID[:2]]),
+        (f"<header><h1>Site name</h1></header><div><div><p>{SAID[0]}</p><p>{SAID[1]}</p></div></div>", SAID[:2]),
+        (f"<div id=a><section><p>{SAID[0]}</p></section><ul><li><a href=1>{SAID[1]}</a></li></ul><section><div><p>{SAID[2]}</p></div></section></div>", [SAID[0], SAID[2]]),
+        (f"<table><tr><td>{SAID[0]}</td></tr><tr><td>{SAID[1]}</td></tr></table>", SAID[:2]),
+        (f"<article><h2>Head</h2><div><p>{SAID[0]}</p></div><div class=x><p>{SAID[1]}</p></div></article><div class=comments><article><p>{SAID[2]}</p></article></div>", ["Head", *SAID[:2]]),
+    ],
+)
+def test_extract_keeps_all_parts_of_an_article(html, text):
+    assert extract.main_text(html) == " ".join(text)
+
+
 def test_sharding(spark):
     texts = [f"text {i // 4 if i % 3 else i}" for i in range(203)] + ["hot"] * 90 + [None, ""]
     docs = _docs(spark, texts)
