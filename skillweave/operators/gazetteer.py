@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions import text as fx
+from skillweave.session import materialise
 
-MATCH_BLOCK = 200_000
 LONGEST_TERM = 6
 
 
@@ -128,59 +129,119 @@ def _even_lower(text: str) -> str:
     return low if len(low) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
 
 
+#: Bits of the filter of each seed length; longest seed as a power of two.
+FILTER_BITS, LONGEST_SEED = 1 << 22, 5
+SEEDS = "size int, seed bigint"
+MENTIONS = "array<struct<start:int,end:int,entity_type:string,canonical_id:string>>"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _seed_hashes(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Offsets of the lowered texts laid end to end, characters left in each text from each on, and for k = 0, 1, ... up to
+    ``longest`` the hash of the 2**k characters from each on (of no use where fewer are left)."""
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    size = np.array([len(p) for p in points], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    left = np.repeat(offsets[1:], size) - np.arange(offsets[-1])
+    with np.errstate(over="ignore"):
+        now = _mixed(np.concatenate([*points, np.zeros(0, "<u4")]).astype(np.uint64) + np.uint64(0x517CC1B727220A94))
+        out = [now]
+        for k in range(longest):
+            after = np.zeros_like(now)
+            after[: -(1 << k) or None] = now[1 << k :]
+            now = _mixed(now * np.uint64(0xA24BAED4963EE407) + after)
+            out.append(now)
+    return offsets, left, out
+
+
+def _string_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(low, ...) -> the same with the length of its seed as a power of two, and the seed's hash."""
+    for batch in batches:
+        low = batch.column(0).to_pylist()
+        offsets, _, hashes = _seed_hashes(low, LONGEST_SEED)
+        size = np.array([min(len(x).bit_length() - 1, LONGEST_SEED) for x in low], np.int32)
+        seed = np.array([hashes[k][i] for k, i in zip(size.tolist(), offsets[:-1].tolist(), strict=True)], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(seed.view(np.int64))], names=[*batch.schema.names, "size", "seed"])
+
+
+def _seed_filter(strings: DataFrame) -> dict[int, np.ndarray]:
+    """For each seed length a bitmap of the hashes there are: what the driver and the tasks know of a vocabulary, whatever its size."""
+    cell = F.pmod("seed", F.lit(FILTER_BITS))
+    words = strings.select("size", F.floor(cell / 8).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1), (cell % 8).cast("int")).alias("bit")).groupBy("size", "word").agg(F.bit_or("bit").alias("bits"))
+    out: dict[int, np.ndarray] = {}
+    rows = words.toArrow()  # at most FILTER_BITS / 8 for each of LONGEST_SEED + 1 lengths
+    size, word, bits = (rows.column(c).to_numpy() for c in ("size", "word", "bits"))
+    for k in np.unique(size).tolist():
+        out[k] = np.zeros(FILTER_BITS // 8, np.uint8)
+        out[k][word[size == k]] = bits[size == k]
+    return out
+
+
+def _places(shared):
+    """(key, low) -> (key, pos, size, seed) of the places whose characters may begin a string of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            low = [_even_lower(x) for x in batch.column(1).to_pylist()]
+            offsets, left, hashes = _seed_hashes(low, max(known, default=0))
+            for k, bitmap in known.items():
+                cell = (hashes[k].view(np.int64) % FILTER_BITS).astype(np.int64)
+                at = np.flatnonzero((left >= 1 << k) & ((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+                row = np.searchsorted(offsets, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes[k][at].view(np.int64))], names=["key", "pos", "size", "seed"]
+                )
+
+    return run
+
+
+def _resolve(text: str | None, found: list | None) -> list[dict]:
+    """Mentions of one text: candidates that are there, each string's from the left without overlap, then longer ones first."""
+    if not found or text is None:
+        return []
+    low, by_string = _even_lower(text), {}
+    for f in found:
+        if low.startswith(f["low"], f["pos"]):
+            by_string.setdefault(f["low"], []).append(f)
+    candidates = []
+    for string, own in by_string.items():
+        upto = 0
+        for f in sorted(own, key=lambda f: f["pos"]):
+            if f["pos"] >= upto:
+                upto = f["pos"] + len(string)
+                candidates.append((-len(string), f["pos"], upto, f["entity_type"], f["canonical_id"]))
+    taken, out = np.zeros(len(low), bool), []
+    for _, start, end, kind, cid in sorted(candidates, key=lambda c: c[:2]):
+        if not taken[start] and not taken[end - 1] and not taken[start:end].any():
+            taken[start:end] = True
+            out.append({"start": start, "end": end, "entity_type": kind, "canonical_id": cid})
+    return sorted(out, key=lambda m: m["start"])
+
+
 def char_match(sentences: DataFrame, entries: DataFrame) -> DataFrame:
-    """``sentences`` (id, text) with mentions array<struct<start,end,entity_type,canonical_id,text>>.
+    """``sentences`` (id, text) with mentions array<struct<start,end,entity_type,canonical_id>>.
 
-    Every variant is searched in any case and without word borders; longer matches win, then earlier ones, then earlier
-    entries.  The variants are broadcast in blocks of at most ``MATCH_BLOCK``; each block adds its candidates in place.
+    Every variant is searched in any case and without word borders; longer matches win, then earlier ones; of entries with
+    one variant the first counts.  The first 1, 2, 4, ... characters of each variant, as many as fit, are its seed.  Places
+    of the texts that pass a small bitmap of all seeds meet the variants in a join on the seed's hash, and what meets is
+    compared with the text.  The vocabulary itself is never on the driver, and it may be of any size.
     """
-    import ahocorasick
-
     spark = sentences.sparkSession
-    rows = variants(entries).select("ord", "variant_ord", "variant", "entity_type", "canonical_id")
-    found = "array<struct<start:int,end:int,ord:bigint,entity_type:string,canonical_id:string>>"
-    out = sentences.withColumn("_found", F.array().cast(found))
-    block: dict[str, list] = {}
-
-    def search(frame: DataFrame, words: dict[str, list]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(words)
-        at = frame.columns.index("_found")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = ahocorasick.Automaton()
-            for word, owners in shared.value.items():
-                automaton.add_word(word, (len(word), owners))
-            if len(shared.value):
-                automaton.make_automaton()
-            for pdf in frames:
-                gathered = []
-                for text, before in zip(pdf["text"], pdf["_found"], strict=True):
-                    own, last = [dict(x) for x in before], {}
-                    if text and len(shared.value):
-                        for end, (n, owners) in automaton.iter(_even_lower(text)):
-                            start = end + 1 - n
-                            for ord_, kind, cid in owners:
-                                if last.get((ord_, n), -1) <= start:
-                                    own.append({"start": start, "end": end + 1, "ord": ord_, "entity_type": kind, "canonical_id": cid})
-                            for ord_, _, _ in owners:
-                                if last.get((ord_, n), -1) <= start:
-                                    last[(ord_, n)] = end + 1
-                    gathered.append(own)
-                pdf.isetitem(at, gathered)
-                yield pdf
-
-        return frame.mapInPandas(run, frame.schema)
-
-    for place, r in enumerate(rows.orderBy("ord", "variant_ord").toLocalIterator()):
-        block.setdefault(_even_lower(r.variant), []).append((place, r.entity_type, r.canonical_id))
-        if len(block) >= MATCH_BLOCK:
-            out, block = search(out, block), {}
-    out = search(out, block)
-    ranked = F.array_sort(F.transform("_found", lambda m: F.struct((m["start"] - m["end"]).alias("longest"), m["start"].alias("start"), m["ord"].alias("ord"), m["end"].alias("end"), m["entity_type"].alias("entity_type"), m["canonical_id"].alias("canonical_id"))))
-
-    def take(acc: Column, m: Column) -> Column:
-        clash = F.exists(acc, lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"]))
-        return F.when(clash, acc).otherwise(F.array_append(acc, F.struct(m["start"].alias("start"), m["end"].alias("end"), m["entity_type"].alias("entity_type"), m["canonical_id"].alias("canonical_id"))))
-
-    kept = F.aggregate(ranked, F.array().cast("array<struct<start:int,end:int,entity_type:string,canonical_id:string>>"), take)
-    return out.withColumn("mentions", F.array_sort(kept)).drop("_found")
+    lower = F.udf(_even_lower, "string", useArrow=True)
+    rows = variants(entries).filter(F.length("variant") > 0).select(lower("variant").alias("low"), "ord", "variant_ord", "entity_type", "canonical_id")
+    owner = F.min_by(F.struct("entity_type", "canonical_id"), F.struct("ord", "variant_ord")).alias("owner")
+    plain = rows.groupBy("low").agg(owner).select("low", "owner.entity_type", "owner.canonical_id")
+    strings = materialise(plain.mapInArrow(_string_seeds, f"low string, entity_type string, canonical_id string, {SEEDS}"))
+    shared = spark.sparkContext.broadcast(_seed_filter(strings))
+    keyed = sentences.withColumn("_key", F.sha2(F.col("text").cast("string"), 256))
+    places = keyed.filter("text is not null").select(F.col("_key").alias("key"), F.col("text").cast("string")).mapInArrow(_places(shared), f"key string, pos int, {SEEDS}")
+    met = places.join(strings, ["size", "seed"]).groupBy("key").agg(F.collect_set(F.struct("pos", "low", "entity_type", "canonical_id")).alias("_found"))
+    resolve = F.udf(_resolve, MENTIONS, useArrow=True)
+    joined = keyed.join(met.withColumnRenamed("key", "_key"), "_key", "left")
+    return joined.withColumn("mentions", resolve(F.col("text").cast("string"), "_found")).select(*sentences.columns, "mentions")
