@@ -62,7 +62,8 @@ def evaluate_recommendations(edges: DataFrame, k: int = 5, holdout: int = 1) ->
 
 
 def entity_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """entity_type, tp, n_gold, n_predicted, precision, recall, f1 by exact spans, and a row ``micro`` over all.
+    """entity_type, tp, n_gold, n_predicted, precision, recall, f1 by exact spans; rows ``micro`` over all spans, ``macro`` and
+    ``weighted`` (by gold spans) with the means of the types' figures.
 
     Both: (id, labels).
     """
@@ -80,7 +81,14 @@ def entity_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     p, r = F.col("tp") / F.nullif(F.col("n_predicted"), F.lit(0)), F.col("tp") / F.nullif(F.col("n_gold"), F.lit(0))
     out = every.withColumn("precision", F.coalesce(p, F.lit(0.0))).withColumn("recall", F.coalesce(r, F.lit(0.0)))
     f1 = F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0))
-    return out.withColumn("f1", f1).select("entity_type", "tp", "n_gold", "n_predicted", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    figures = ("precision", "recall", "f1")
+    scored = out.withColumn("f1", f1).select("entity_type", "tp", "n_gold", "n_predicted", *figures)
+    types = scored.filter("entity_type <> 'micro'")
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "n_gold", "n_predicted")]
+    weight = F.nullif(F.sum("n_gold"), F.lit(0))
+    macro = types.agg(*totals, *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in figures]).withColumn("entity_type", F.lit("macro"))
+    weighted = types.agg(*totals, *[F.coalesce(F.sum(F.col(c) * F.col("n_gold")) / weight, F.lit(0.0)).alias(c) for c in figures]).withColumn("entity_type", F.lit("weighted"))
+    return scored.unionByName(macro).unionByName(weighted).select("entity_type", "tp", "n_gold", "n_predicted", *[F.round(c, 6).alias(c) for c in figures])
 
 
 def error_sample(gold: DataFrame, predicted: DataFrame, n: int = 10) -> DataFrame:
@@ -89,9 +97,9 @@ def error_sample(gold: DataFrame, predicted: DataFrame, n: int = 10) -> DataFram
     return both.filter(F.col("gold") != F.col("predicted")).orderBy("ord", "id").limit(n).select("id", "gold", "predicted")
 
 
-def relation_proxy(relations: DataFrame) -> DataFrame:
-    """num_relations and the share with a proficiency level."""
-    return relations.agg(F.count("*").alias("num_relations"), F.coalesce(F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4), F.lit(0.0)).alias("proficiency_coverage"))
+def relation_proxy(relations: DataFrame, *by: str) -> DataFrame:
+    """num_relations and the share with a proficiency level, over all or for each value of ``by``."""
+    return relations.groupBy(*by).agg(F.count("*").alias("num_relations"), F.coalesce(F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4), F.lit(0.0)).alias("proficiency_coverage"))
 
 
 def coverage(docs: DataFrame, hits: DataFrame) -> DataFrame:

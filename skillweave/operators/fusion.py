@@ -24,22 +24,24 @@ def source_priority(source: Column) -> Column:
 
 
 def fuse_relations(records: DataFrame) -> DataFrame:
-    """One row per (head_id, relation, tail_id): evidence summed, essential if any, highest proficiency, most years.
+    """One row per (head_id, relation, tail_id): evidence summed (none counts 1), essential if any (unsaid is essential),
+    highest proficiency, most years.
 
     Records: head_id, head_text, head_type, relation, tail_id, tail_text, tail_type, essential, evidence_count,
-    proficiency_level, experience_years, sentence_id, ord.  Head and tail text come from the first record, and so do the
+    proficiency_level, experience_years, ord, and sentence_id or, where they are fused already, sentence_ids.  Head and tail text come from the first record, and so do the
     structs ``head`` and ``tail`` (offsets, score) where the records have them.
     """
     sides = [c for c in ("head", "tail") if c in records.columns]
+    sentences = F.col("sentence_ids") if "sentence_ids" in records.columns else F.array("sentence_id")
     level = F.when(F.col("proficiency_level").isNotNull(), F.struct(proficiency_rank(F.col("proficiency_level")).alias("rank"), (-F.col("ord")).alias("first")))
     return (
         records.groupBy("head_id", "relation", "tail_id")
         .agg(
-            F.sum("evidence_count").cast("long").alias("evidence_count"),
-            F.bool_or("essential").alias("essential"),
+            F.sum(F.coalesce(F.nullif(F.col("evidence_count"), F.lit(0)), F.lit(1))).cast("long").alias("evidence_count"),
+            F.bool_or(F.coalesce("essential", F.lit(True))).alias("essential"),
             F.max_by("proficiency_level", level).alias("proficiency_level"),
             F.max("experience_years").alias("experience_years"),
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "sentence_id"))), lambda x: x["sentence_id"]).alias("sentence_ids"),
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", sentences.alias("ids")))), lambda x: x["ids"])).alias("sentence_ids"),
             F.min_by(F.struct("head_text", "head_type", "tail_text", "tail_type", *sides), "ord").alias("first"),
             F.min("ord").alias("ord"),
         )

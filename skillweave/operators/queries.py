@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,19 @@ def subgraph(nodes: DataFrame, edges: DataFrame, limit: int = 1200, include_simi
     return nodes.join(ends, "id", "left_semi").select("id", "name", "entity_type"), kept
 
 
+def subgraph_totals(nodes: DataFrame, edges: DataFrame, limit: int = 1200, include_similarity: bool = False) -> DataFrame:
+    """One row: nodes and edges shown by ``subgraph``, all nodes and edges there are, and whether edges were left out."""
+    shown_nodes, shown_edges = subgraph(nodes, edges, limit, include_similarity)
+    parts = [
+        shown_nodes.agg(F.count("*").alias("shown_nodes")),
+        shown_edges.agg(F.count("*").alias("shown_edges")),
+        nodes.agg(F.count("*").alias("total_nodes")),
+        edges.agg(F.count("*").alias("total_edges")),
+    ]
+    row = reduce(lambda x, y: x.join(F.broadcast(y), F.lit(True)), parts)  # one row each
+    return row.withColumn("is_limited", F.col("shown_edges") < F.col("total_edges"))
+
+
 def find_occupation(nodes: DataFrame, name: str, loose: bool = True) -> DataFrame:
     """id of the first occupation (node order) of a name: exact, as displayed, or, if ``loose``, inside its other names."""
     needle = "".join(name.lower().split())

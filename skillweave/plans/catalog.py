@@ -346,9 +346,12 @@ _SCORES = f"""WITH {a.TAGGED_SQL}, op2 AS (SELECT id, pos, kind, CASE WHEN st =
   spn2 AS (SELECT id, i, min(kind) AS entity_type, min(pos) AS start_token, max(pos) AS end_token FROM (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS i FROM op3 WHERE mark <> 'O') GROUP BY id, i),
   cnt AS (SELECT coalesce(g.entity_type, p.entity_type) AS entity_type, count(*) FILTER (g.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(g.id) AS n_gold, count(p.id) AS n_predicted
     FROM spn g FULL JOIN spn2 p ON g.id = p.id AND g.entity_type = p.entity_type AND g.start_token = p.start_token AND g.end_token = p.end_token GROUP BY 1),
-  every AS (SELECT * FROM cnt UNION ALL SELECT 'micro', sum(tp), sum(n_gold), sum(n_predicted) FROM cnt)
-  SELECT entity_type, CAST(tp AS BIGINT) AS tp, CAST(n_gold AS BIGINT) AS n_gold, CAST(n_predicted AS BIGINT) AS n_predicted, round(coalesce(tp / nullif(n_predicted, 0), 0), 6) AS precision, round(coalesce(tp / nullif(n_gold, 0), 0), 6) AS recall,
-    round(coalesce(2 * tp / nullif(n_gold + n_predicted, 0), 0), 6) AS f1 FROM every"""
+  every AS (SELECT * FROM cnt UNION ALL SELECT 'micro', sum(tp), sum(n_gold), sum(n_predicted) FROM cnt),
+  fig AS (SELECT entity_type, tp, n_gold, n_predicted, coalesce(tp / nullif(n_predicted, 0), 0) AS p, coalesce(tp / nullif(n_gold, 0), 0) AS r, coalesce(2 * tp / nullif(n_gold + n_predicted, 0), 0) AS f FROM every),
+  typ AS (SELECT * FROM fig WHERE entity_type <> 'micro'),
+  ext AS (SELECT * FROM fig UNION ALL SELECT 'macro', sum(tp), sum(n_gold), sum(n_predicted), avg(p), avg(r), avg(f) FROM typ
+    UNION ALL SELECT 'weighted', sum(tp), sum(n_gold), sum(n_predicted), sum(p * n_gold) / sum(n_gold), sum(r * n_gold) / sum(n_gold), sum(f * n_gold) / sum(n_gold) FROM typ)
+  SELECT entity_type, CAST(tp AS BIGINT) AS tp, CAST(n_gold AS BIGINT) AS n_gold, CAST(n_predicted AS BIGINT) AS n_predicted, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM ext"""
 
 
 @query(_SCORES)
@@ -536,7 +539,34 @@ def capped_sentences(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS num_relations, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 4) AS proficiency_coverage FROM events GROUP BY event_type")
 def relation_proxy_by_group(spark: SparkSession, sf: str) -> DataFrame:
     e = a.table(spark, sf, "events").withColumn("proficiency_level", F.when(F.col("value") >= 50, F.lit("expert")))
-    return e.groupBy("event_type").agg(F.count("*").alias("num_relations"), F.round(F.avg(F.col("proficiency_level").isNotNull().cast("double")), 4).alias("proficiency_coverage"))
+    return evaluation.relation_proxy(e, "event_type")
+
+
+@query(_rec("SELECT count(*) AS num_relations, round(avg(CASE WHEN proficiency_level IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS proficiency_coverage FROM rec"))
+def relation_proxy(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.relation_proxy(a.records(spark, sf))
+
+
+_FEATURE_TOKEN = r"[a-z0-9][a-z0-9+.#/\-]*|[^\p{L}\p{N}_\s\p{Z}\x{b}\x{1c}-\x{1f}\x{85}]"
+
+
+@query(
+    rf"""WITH itm AS (SELECT item_id, string_split_regex(trim(regexp_replace(text, '[^\p{{L}} ]+', ' ', 'g')), ' +') AS w FROM benchmark),
+    trm AS (SELECT DISTINCT array_to_string(w[1 : n], ' ') AS term FROM itm, unnest([1, 2, 3]) AS t(n)),
+    key AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(term), '{_FEATURE_TOKEN}'), ' ') AS k FROM trm WHERE length(term) >= 3),
+    doc AS (SELECT conv_id || '-' || turn AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '{_FEATURE_TOKEN}'), ' ') || ' ' AS t FROM conversations)
+    SELECT count(*) AS docs, count(*) FILTER (hit) AS docs_with_hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 4) AS ratio FROM (SELECT id, EXISTS (SELECT 1 FROM key WHERE k <> '' AND contains(t, ' ' || k || ' ')) AS hit FROM doc)"""
+)
+def dictionary_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts have a term of the vocabulary."""
+    docs = a.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), fx.feature_tokens(F.col("text")).alias("tokens"))
+    return evaluation.coverage(docs, gazetteer.gazetteer_features(docs, a.benchmark_entries(spark, sf)))
+
+
+@query(_rec("SELECT (SELECT count(*) FROM nod WHERE id IN (SELECT unnest([source, target]) FROM (SELECT source, target FROM edg ORDER BY evidence_count DESC, edge_ord LIMIT 200))) AS shown_nodes, 200::BIGINT AS shown_edges, (SELECT count(*) FROM nod) AS total_nodes, (SELECT count(*) FROM edg) AS total_edges, (SELECT count(*) FROM edg) > 200 AS is_limited"))
+def subgraph_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return q.subgraph_totals(a.nodes(spark, sf), a.edges(spark, sf), 200)
+
 
 
 #: A chain of three labels in whole numbers: from O, B and I to each, and at both ends.
@@ -665,3 +695,10 @@ def event_growth_steps(spark: SparkSession, sf: str) -> DataFrame:
 )
 def event_holdout_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.holdout_ranks(a.event_edges(spark, sf)).select("case", "rank")
+
+
+@query(_evt("kinds AS (SELECT count(*) AS n FROM edg), deg AS (SELECT id, count(e) AS degree FROM nod LEFT JOIN (SELECT source AS e FROM edg UNION ALL SELECT target FROM edg) ON e = id GROUP BY id), lnk AS (SELECT source, target FROM edg UNION ALL SELECT target, source FROM edg), reach AS (SELECT id, id AS other FROM nod UNION SELECT reach.id, lnk.target FROM reach JOIN lnk ON lnk.source = reach.other) SELECT (SELECT count(*) FROM nod) AS num_nodes, (SELECT round(avg(degree), 4) FROM deg) AS avg_degree, (SELECT max(degree) FROM deg) AS max_degree, (SELECT min(degree) FROM deg) AS min_degree, (SELECT n FROM kinds) AS num_edges, (SELECT 'REQUIRES_SKILL=' || n FROM kinds) AS relation_counts, (SELECT count(DISTINCT m) FROM (SELECT min(other) AS m FROM reach GROUP BY id)) AS components"))
+def event_graph_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, degrees and components of the graph of events in one row."""
+    row = evaluation.evaluate_graph(a.event_nodes(spark, sf), a.event_edges(spark, sf))
+    return row.withColumn("relation_counts", F.array_join(F.transform(F.map_entries("relation_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))

@@ -38,11 +38,10 @@ def upsert_fused(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = ["head_id", "head_text", "head_type", "relation", "tail_id", "tail_text", "tail_type", "essential", "evidence_count", "proficiency_level", "experience_years", "sentence_id", "ord"]
-        fresh = batch.select(columns)
+        columns = ["head_id", "head_text", "head_type", "relation", "tail_id", "tail_text", "tail_type", "essential", "evidence_count", "proficiency_level", "experience_years", "sentence_ids", "ord"]
+        fresh = batch.withColumn("sentence_ids", F.array("sentence_id")).select(columns)
         if batch_id > 0:
-            before = spark.read.parquet(f"{path}/v{batch_id - 1}")
-            fresh = before.withColumn("sentence_id", F.array_join("sentence_ids", ",")).select(columns).unionByName(fresh)
+            fresh = spark.read.parquet(f"{path}/v{batch_id - 1}").select(columns).unionByName(fresh)
         fusion.fuse_relations(fresh).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return write

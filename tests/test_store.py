@@ -56,3 +56,26 @@ def test_postings_to_answers(spark, tmp_path, capsys):
     answers = json.loads(capsys.readouterr().out)
     assert [(r["occupation"], r["hit_count"]) for r in answers] == [("Data Engineer", 1)]
     assert readers.read_edges(spark, f"{out}/edges").count() >= 2 and json.load(open(f"{out}/report.json"))["num_nodes"] >= 3
+
+
+RECORD = "head_id string, head_text string, head_type string, relation string, tail_id string, tail_text string, tail_type string, essential boolean, evidence_count bigint, proficiency_level string, experience_years double, sentence_id string, ord bigint"
+
+
+def test_upsert_keeps_sentences_apart(spark, tmp_path):
+    from skillweave.streaming import postings
+
+    path = str(tmp_path / "fused")
+    write = postings.upsert_fused(path)
+    for batch, ids in enumerate([["a", "b"], ["c"], ["d"]]):
+        rows = [("h", "H", "OCC", "REQUIRES_SKILL", "t", "T", "SKL", None, None if i == "c" else 2, "basic", None, i, batch * 10 + k) for k, i in enumerate(ids)]
+        for _ in range(2):  # a batch that runs again
+            write(spark.createDataFrame(rows, RECORD), batch)
+    got = spark.read.parquet(f"{path}/v2").first()
+    assert got.sentence_ids == ["a", "b", "c", "d"] and got.evidence_count == 7 and got.essential is True
+
+
+def test_fusion_counts_unsaid_evidence_and_essential(spark):
+    base = ("h", "H", "OCC", "R", "t", "T", "SKL")
+    rows = [(*base, False, 0, None, None, "x", 0), (*base, None, None, "expert", 3.0, None, 1)]
+    got = fusion.fuse_relations(spark.createDataFrame(rows, RECORD)).first()
+    assert got.evidence_count == 2 and got.essential is True and got.proficiency_level == "expert" and got.sentence_ids == ["x", None]
