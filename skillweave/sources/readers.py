@@ -6,7 +6,9 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,29 +92,71 @@ def onet_table(df: DataFrame, entity_type: Column) -> DataFrame:
     return df.filter(label.isNotNull()).select("ord", F.coalesce(_first(df, CODE_COLUMNS), label).alias("canonical_id"), entity_type.alias("entity_type"), label.alias("term"), F.lit("O*NET").alias("source"), F.coalesce(_first(df, DESCRIPTION_COLUMNS), F.lit("")).alias("description"), F.array().cast("array<string>").alias("aliases"))
 
 
-def read_onet_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the tables in zip archives; a member's type is the first one whose name it contains."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = LABEL_COLUMNS + DESCRIPTION_COLUMNS + CODE_COLUMNS
+#: Bytes of a member's lines that one task parses, about; a piece never has more than 2**PIECE_BITS rows.
+PIECE_BYTES, PIECE_BITS = 1 << 20, 20
+
+
+def member_type(member: str) -> str | None:
+    """The entity type of an archive's member: the first one whose name it contains, for text tables only."""
+    low = member.lower()
+    return next((code for word, code in MEMBER_TYPES if word in low), None) if low.endswith(".txt") else None
+
+
+def _pieces_of(stream: io.BufferedIOBase, size: int) -> Iterator[bytes]:
+    """Runs of whole lines of about ``size`` bytes; no run ends inside a quoted field."""
+    held, length, quoted = [], 0, False
+    for line in stream:
+        held.append(line)
+        length += len(line)
+        quoted ^= line.count(b'"') % 2 == 1
+        if length >= size and not quoted:
+            yield b"".join(held)
+            held, length = [], 0
+    if held:
+        yield b"".join(held)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def _archive_pieces(size: int):
+    """Archives -> (entity_type, place, header, lines): one row for each run of lines of each table inside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
                     for k, member in enumerate(archive.namelist()):
-                        kind = next((code for word, code in MEMBER_TYPES if word in member.lower()), None)
-                        if kind is None or not member.lower().endswith(".txt"):
+                        kind = member_type(member)
+                        if kind is None:
                             continue
-                        with archive.open(member) as f:
-                            for n, part in enumerate(pd.read_csv(f, sep="\t", dtype=str, chunksize=50_000, keep_default_na=False)):
-                                part = part.reindex(columns=list(names)).astype(object)
-                                part = part.where(part.notna(), None)
-                                part.insert(0, "entity_type", kind)
-                                part.insert(0, "ord", [k * 10_000_000 + n * 50_000 + i for i in range(len(part))])
-                                yield part
-
-    columns = ", ".join(f"`{n}` string" for n in names)
-    return onet_table(files.mapInPandas(run, f"ord bigint, entity_type string, {columns}"), F.col("entity_type"))
+                        with archive.open(member) as stream:
+                            header = stream.readline()
+                            for n, lines in enumerate(_pieces_of(stream, size)):
+                                row = [pa.array([kind]), pa.array([(k << 20 | n) << PIECE_BITS], pa.int64()), pa.array([header], pa.binary()), pa.array([lines], pa.binary())]
+                                yield pa.RecordBatch.from_arrays(row, names=["entity_type", "place", "header", "lines"])
+
+    return run
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of lines -> the rows of the tables, with the columns that vocabularies are read from."""
+    names = LABEL_COLUMNS + DESCRIPTION_COLUMNS + CODE_COLUMNS
+    for batch in batches:
+        for kind, place, header, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            part = pd.read_csv(io.BytesIO(header + lines), sep="\t", dtype=str, keep_default_na=False).reindex(columns=list(names))
+            columns = [pa.array(part[n].astype(object).where(part[n].notna(), None).tolist(), pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(place + np.arange(len(part), dtype=np.int64)), pa.array([kind] * len(part), pa.string()), *columns], names=["ord", "entity_type", *names])
+
+
+def read_onet_zip(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Entries of the tables in zip archives; a member's type is the first one whose name it contains.
+
+    A task takes an archive apart into runs of lines, which are dealt to all tasks and parsed there; ``ord`` follows the
+    members and their lines.  The archives are read by Spark, from any store it knows.
+    """
+    columns = ", ".join(f"`{n}` string" for n in LABEL_COLUMNS + DESCRIPTION_COLUMNS + CODE_COLUMNS)
+    files = spark.read.format("binaryFile").load(path).select("content")
+    pieces = files.mapInArrow(_archive_pieces(piece_bytes), "entity_type string, place bigint, header binary, lines binary")
+    dealt = pieces.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("lines"))
+    return onet_table(dealt.mapInArrow(_parsed, f"ord bigint, entity_type string, {columns}"), F.col("entity_type"))
 
 
 def read_posting_table(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.operators.graph import check_endpoints
+from skillweave.session import materialise
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -89,6 +90,64 @@ def merge_graph(nodes: DataFrame, edges: DataFrame, path: str, version: int) ->
     check_endpoints(_last(every_edge, key, attributes), known).write.mode("overwrite").partitionBy("relation").parquet(f"{path}/v{version}/edges")
 
 
+BUCKETS = 64
+_STORE = {
+    "nodes": (["id"], ["name", "entity_type", "source"], "node_ord"),
+    "edges": (["source", "relation", "target"], ["essential", "evidence_count", "proficiency_level", "experience_years"], "edge_ord"),
+}
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> dict[str, dict[int, int]]:
+    """For each table, which version last wrote each bucket: at most ``BUCKETS`` entries."""
+    out: dict[str, dict[int, int]] = {"nodes": {}, "edges": {}}
+    if version >= 0:
+        for r in spark.read.parquet(f"{path}/manifest/v{version}").collect():
+            out[r.name][r.bucket] = r.version
+    return out
+
+
+def _buckets(spark: SparkSession, path: str, name: str, where: dict[int, int], only: set[int] | None = None) -> DataFrame | None:
+    paths = [f"{path}/{name}/v{v}/bucket={b}" for b, v in sorted(where.items()) if only is None or b in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def stored_graph(spark: SparkSession, path: str, version: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(nodes, edges) of a version of a bucketed store; None for a table without rows."""
+    where = _manifest(spark, path, version)
+    return tuple(_buckets(spark, path, name, where[name]) for name in _STORE)
+
+
+def upsert_graph(nodes: DataFrame, edges: DataFrame, path: str, version: int) -> None:
+    """``merge_graph`` into a store of buckets by key hash: only the buckets that get a row are written again.
+
+    Every version has a manifest that says which version holds each bucket.  Files are never changed, so a version that is
+    written again after a failure is the same, and a reader of an older one isn't disturbed.
+    """
+    spark = nodes.sparkSession
+    where = _manifest(spark, path, version - 1)
+    for name, fresh in (("nodes", nodes), ("edges", edges)):
+        keys, values, order = _STORE[name]
+        ord_ = (F.col(order) if order in fresh.columns else F.lit(0)).cast("decimal(38,0)").alias("_ord")
+        rows = fresh.select(*keys, *values, ord_, F.lit(1).alias("_fresh"))
+        if name == "edges":
+            known = _buckets(spark, path, "nodes", where["nodes"])
+            rows = check_endpoints(rows, known if known is not None else nodes.limit(0))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        rows = materialise(rows.withColumn("bucket", bucket))
+        touched = {r.bucket for r in rows.select("bucket").distinct().collect()}
+        if not touched:
+            continue
+        before = _buckets(spark, path, name, where[name], touched)
+        if before is not None:
+            old = before.select(*keys, *values, F.lit(0).cast("decimal(38,0)").alias("_ord"), F.lit(0).alias("_fresh")).withColumn("bucket", bucket)
+            rows = rows.unionByName(old)
+        merged = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*values), F.struct("_fresh", "_ord", *values)).alias("x")).select("bucket", *keys, "x.*")
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/v{version}")
+        where[name] |= dict.fromkeys(touched, version)
+    entries = [(name, b, v) for name, held in where.items() for b, v in sorted(held.items())]
+    spark.createDataFrame(entries, "name string, bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v{version}")
+
+
 def experiment_markdown(sizes: dict[str, int], coverage: dict, scores: dict[str, dict[str, dict]]) -> str:
     """The written report of tagger experiments.
 

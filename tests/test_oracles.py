@@ -42,4 +42,6 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, duck, name):
-    assert registry.queries()[name](spark, SF).columns
+    df = registry.queries()[name](spark, SF)
+    rows = df.collect()
+    assert df.columns and (rows or name == "growth_path_names")

@@ -79,3 +79,46 @@ def test_fusion_counts_unsaid_evidence_and_essential(spark):
     rows = [(*base, False, 0, None, None, "x", 0), (*base, None, None, "expert", 3.0, None, 1)]
     got = fusion.fuse_relations(spark.createDataFrame(rows, RECORD)).first()
     assert got.evidence_count == 2 and got.essential is True and got.proficiency_level == "expert" and got.sentence_ids == ["x", None]
+
+
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    """The bucketed store gives what the merged one gives, and a change of a few keys writes few files."""
+    one, other = str(tmp_path / "merged"), str(tmp_path / "bucketed")
+    nodes = [(f"n{i}", f"N{i}", "OCC" if i % 2 else "SKL", "ESCO", i) for i in range(600)]
+    edges = [(f"n{i}", "REQUIRES_SKILL", f"n{(i * 7) % 610}", True, i, None, None, i) for i in range(1, 600, 2)]
+    more = [("n3", "N3 later", "OCC", None, 0), ("new", "New", "SKL", "O*NET", 1)]
+    links = [("n3", "REQUIRES_SKILL", "n21", False, 9, "expert", 2.0, 0), ("n3", "USES_TOOL", "new", None, None, None, None, 1), ("n3", "USES_TOOL", "nowhere", None, None, None, None, 2)]
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "bucketed").rglob("*.parquet") if "manifest" not in str(f)}
+
+    for version, (n, e) in enumerate([(nodes, edges), (more, links), ([], [])]):
+        before = files() if version else {}
+        given = spark.createDataFrame(n, NODE), spark.createDataFrame(e, EDGE)
+        for _ in range(2 if version == 1 else 1):
+            sinks.upsert_graph(*given, other, version)
+        sinks.merge_graph(*given, one, version)
+        held = sinks.stored_graph(spark, other, version)
+        for name, df in zip(("nodes", "edges"), held, strict=True):
+            want = spark.read.parquet(f"{one}/v{version}/{name}")
+            columns = sorted(want.columns)
+            assert sorted(map(repr, df.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+        if version:
+            assert before.items() <= files().items() and len(set(files()) - set(before)) <= (4 if version == 1 else 0)
+    assert sinks.stored_graph(spark, other, 0)[0].filter("id = 'new'").count() == 0
+
+
+def test_archive_is_parsed_in_pieces(spark, tmp_path):
+    import zipfile
+
+    rows = [f"c{i}\tSkill {i}\t\"a {i}\nsecond line\"" for i in range(300)]
+    with zipfile.ZipFile(tmp_path / "db.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("db/Skills.txt", "Element ID\tElement Name\tDescription\n" + "\n".join(rows) + "\n")
+        z.writestr("db/Tools Used.txt", "Commodity Code\tCommodity Title\n7\tHammer\n8\t\n")
+        z.writestr("db/Readme.md", "nothing")
+    whole = readers.read_onet_zip(spark, str(tmp_path / "db.zip")).orderBy("ord")
+    pieces = readers.read_onet_zip(spark, str(tmp_path / "db.zip"), 200)
+    assert pieces.rdd.glom().map(len).filter(lambda n: n > 0).count() > 1
+    for df in (whole, pieces.orderBy("ord")):
+        got = [(r.canonical_id, r.entity_type, r.term, r.description) for r in df.collect()]
+        assert got == [(f"c{i}", "SKL", f"Skill {i}", f"a {i}\nsecond line") for i in range(300)] + [("7", "TOL", "Hammer", "")]
