@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillweave.operators import bio, graph
@@ -27,29 +29,72 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(kinds), F.lit(True)).join(F.broadcast(parts), F.lit(True))  # one row each
 
 
-def holdout_ranks(edges: DataFrame, holdout: int = 1) -> DataFrame:
-    """case, role, rank: every occupation's first ``holdout`` skills asked for; where does the occupation rank?
+#: Shares of a role's weight that a case leaves uncovered, as classes: a skill is posted from the class on that it counts in.
+SLACK = (0.02, 0.05, 0.1, 0.2, 0.4, 1.0)
 
-    An occupation's case needs more skills than are held out.  A role's score is the share of its log-weight that the
-    asked skills cover; ties go to the role whose first edge comes first.  All cases are one join on shared skills; a rank
-    is the number of roles ahead of the case's own, so roles are counted and never sorted.
-    """
+
+def _slack_class(share: Column) -> Column:
+    """The first class of ``SLACK`` that is at least ``share``."""
+    out = F.lit(len(SLACK) - 1)
+    for k in reversed(range(len(SLACK) - 1)):
+        out = F.when(share <= SLACK[k], F.lit(k)).otherwise(out)
+    return out
+
+
+def _cases(edges: DataFrame, holdout: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Weighted skill rows (source, target, w), asked (case, target), roles (role, den, first_edge) and mine (case, own, own_edge)."""
     own = edges.filter(F.col("relation").isin(*NEEDED))
     weight = F.log1p(F.coalesce("evidence_count", F.lit(0)).cast("double"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("edge_ord"))
     size = F.count("*").over(Window.partitionBy("source"))
     rows = own.select("source", "target", "edge_ord", weight.alias("w")).withColumn("place", place).withColumn("n", size)
     asked = rows.filter((F.col("n") > holdout) & (F.col("place") > holdout)).select(F.col("source").alias("case"), "target").distinct()
-    roles = own.groupBy("source").agg(F.sum(weight).alias("den"), F.min("edge_ord").alias("first_edge")).withColumnRenamed("source", "role")
-    hits = asked.join(rows.select(F.col("source").alias("role"), "target", "w"), "target").groupBy("case", "role").agg(F.sum("w").alias("num"))
-    scored = hits.join(roles, "role").filter("den > 0").select("case", "role", F.round(F.col("num") / F.col("den"), 6).alias("score"), "first_edge")
-    own_hits = asked.join(rows.select(F.col("source").alias("case"), "target", "w"), ["case", "target"]).groupBy("case").agg(F.sum("w").alias("num"))
-    mine = own_hits.join(roles.withColumnRenamed("role", "case"), "case").filter("den > 0").select("case", F.round(F.col("num") / F.col("den"), 6).alias("own"), F.col("first_edge").alias("own_edge"))
+    roles = own.groupBy("source").agg(F.sum(weight).alias("den"), F.min("edge_ord").alias("first_edge")).withColumnRenamed("source", "role").filter("den > 0")
+    skills = rows.select("source", "target", "w")
+    own_hits = asked.join(skills.withColumnRenamed("source", "case"), ["case", "target"]).groupBy("case").agg(F.sum("w").alias("num"))
+    mine = own_hits.join(roles.withColumnRenamed("role", "case"), "case").select("case", F.round(F.col("num") / F.col("den"), 6).alias("own"), F.col("first_edge").alias("own_edge"))
+    return skills, asked, roles, mine
+
+
+def _rivals(skills: DataFrame, asked: DataFrame, roles: DataFrame, mine: DataFrame) -> DataFrame:
+    """case, role: all pairs in which the role may score as high as the case's own.
+
+    To score ``own``, a role may have at most 1 - own of its weight outside the asked skills.  Of its skills, rarest first,
+    as many as weigh more than that can't all be outside: one of them is shared.
+    """
+    often = skills.groupBy("target").agg(F.count("*").alias("often"))
+    before = F.sum("w").over(Window.partitionBy("role").orderBy("often", "target").rowsBetween(Window.unboundedPreceding, -1))
+    posted = skills.withColumnRenamed("source", "role").join(often, "target").join(roles.select("role", "den"), "role")
+    posted = posted.withColumn("share", F.coalesce(before, F.lit(0.0)) / F.col("den") - 1e-9).select("role", "target", _slack_class(F.col("share")).alias("from_class"))
+    wanted = asked.join(mine.select("case", _slack_class(1 - F.col("own") + 2e-6).alias("class")), "case")
+    met = wanted.join(posted, "target").filter("from_class <= class and case <> role")
+    return met.select("case", "role").distinct()
+
+
+def holdout_ranks(edges: DataFrame, holdout: int = 1) -> DataFrame:
+    """case, role, rank: every occupation's first ``holdout`` skills asked for; where does the occupation rank?
+
+    An occupation's case needs more skills than are held out.  A role's score is the share of its log-weight that the
+    asked skills cover; ties go to the role whose first edge comes first.  A rank is the number of roles ahead of the
+    case's own, and only roles that may be ahead are scored.
+    """
+    skills, asked, roles, mine = _cases(edges, holdout)
+    rivals = _rivals(skills, asked, roles, mine)
+    hits = rivals.join(skills.withColumnRenamed("source", "role"), "role").join(asked, ["case", "target"], "left_semi").groupBy("case", "role").agg(F.sum("w").alias("num"))
+    scored = hits.join(roles, "role").select("case", "role", F.round(F.col("num") / F.col("den"), 6).alias("score"), "first_edge")
     ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.struct("first_edge", "role") < F.struct("own_edge", "case")))
-    better = scored.filter(F.col("case") != F.col("role")).join(mine, "case").filter(ahead).groupBy("case").agg(F.count("*").alias("better"))
+    better = scored.join(mine, "case").filter(ahead).groupBy("case").agg(F.count("*").alias("better"))
     return mine.select("case").join(better, "case", "left").select("case", F.col("case").alias("role"), (F.coalesce("better", F.lit(0)) + 1).cast("int").alias("rank"))
 
 
+def holdout_work(edges: DataFrame, holdout: int = 1) -> DataFrame:
+    """One row: cases, pairs of a case and another role that share an asked skill, and how many of them are scored."""
+    skills, asked, roles, mine = _cases(edges, holdout)
+    sharing = asked.join(skills.select(F.col("source").alias("role"), "target").distinct(), "target").filter("case <> role").select("case", "role").distinct()
+    parts = [mine.agg(F.count("*").alias("cases")), sharing.agg(F.count("*").alias("sharing")), _rivals(skills, asked, roles, mine).agg(F.count("*").alias("scored"))]
+    return reduce(lambda x, y: x.join(F.broadcast(y), F.lit(True)), parts)  # one row each
+
+
 def evaluate_recommendations(edges: DataFrame, k: int = 5, holdout: int = 1) -> DataFrame:
     """One row: hit_at_k, mrr (within the first k), num_cases, k."""
     ranks = holdout_ranks(edges, holdout)

@@ -479,7 +479,23 @@ def nn_embed_all(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest_neighbours(e, e).withColumn("score", F.round("score", 3))
 
 
-@query()
+_ITEMS = r"""itm AS (SELECT item_id, string_split_regex(trim(regexp_replace(text, '[^\p{L} ]+', ' ', 'g')), ' +') AS w FROM benchmark),
+  ent AS (SELECT item_id * 3 + n - 1 AS ord, 'q:' || item_id || ':' || (n - 1) AS cid, CASE item_id % 3 WHEN 0 THEN 'SKL' WHEN 1 THEN 'TOL' ELSE 'KNW' END AS kind, array_to_string(w[1 : n], ' ') AS term FROM itm, unnest([1, 2, 3]) AS t(n))"""
+_NO_TERMS = ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(fx.GENERIC_TERMS))
+_NO_WORDS = ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(fx.AMBIGUOUS_TERMS))
+
+
+@query(
+    rf"""WITH RECURSIVE {_ITEMS},
+    vrn AS (SELECT ord * 2 + vo AS ord, cid, kind, term, v, regexp_extract_all(v, '{_TOK}') AS t FROM (SELECT *, unnest([0, 1]) AS vo, unnest([term, lower(term)]) AS v FROM ent WHERE length(term) >= 3)),
+    idx AS (SELECT array_to_string(list_transform(t, lambda x: lower(x)), chr(1)) AS key, arg_min({{'cid': cid, 'kind': kind, 'term': term}}, ord) AS e FROM vrn
+      WHERE len(t) BETWEEN 1 AND 6 AND regexp_matches(v, '\p{{L}}') AND lower(v) NOT IN ({_NO_TERMS}) AND NOT (len(t) = 1 AND lower(v) IN ({_NO_WORDS})) GROUP BY 1),
+    doc AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '{_TOK}'), lambda x: lower(x)) AS t FROM documents),
+    hit AS (SELECT id, i - 1 AS start, n, e FROM (SELECT id, i, n, array_to_string(t[i : i + n - 1], chr(1)) AS key FROM doc, unnest(range(1, 7)) AS m(n), unnest(range(1, len(t) - n + 2)) AS u(i)) JOIN idx USING (key)),
+    lng AS (SELECT id, start, max(n) AS n, arg_max(e, n) AS e FROM hit GROUP BY id, start),
+    got AS (SELECT id, min(start) AS start FROM lng GROUP BY id UNION ALL SELECT l.id, min(l.start) FROM got JOIN lng AS g ON g.id = got.id AND g.start = got.start JOIN lng AS l ON l.id = g.id AND l.start >= g.start + g.n GROUP BY l.id)
+    SELECT id, CAST(start AS INTEGER) AS start_token, CAST(n AS INTEGER) AS n_tokens, e.cid AS canonical_id, e.kind AS entity_type, e.term AS term FROM got JOIN lng USING (id, start)"""
+)
 def ngram_match(spark: SparkSession, sf: str) -> DataFrame:
     docs = a.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return gazetteer.ngram_match(docs, gazetteer.term_index(a.benchmark_entries(spark, sf)))
@@ -493,7 +509,18 @@ def char_match(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select("id", F.size("mentions").alias("n_mentions"), F.array_join("labels", " ").alias("labels"))
 
 
-@query()
+_FEATURE_TOKEN = r"[a-z0-9][a-z0-9+.#/\-]*|[^\p{L}\p{N}_\s\p{Z}\x{b}\x{1c}-\x{1f}\x{85}]"
+
+
+@query(
+    rf"""WITH {_ITEMS},
+    trm AS (SELECT DISTINCT kind, regexp_extract_all(lower(term), '{_FEATURE_TOKEN}') AS t FROM ent WHERE length(term) >= 3),
+    sz AS (SELECT DISTINCT len(t) AS n FROM trm WHERE len(t) > 0),
+    doc AS (SELECT conv_id || '-' || turn AS id, regexp_extract_all(lower(text), '{_FEATURE_TOKEN}') AS t FROM conversations),
+    hit AS (SELECT id, i - 1 AS start, g.n, kind FROM (SELECT id, i, n, t[i : i + n - 1] AS t FROM (SELECT id, n, t FROM doc, sz), unnest(range(1, len(t) - n + 2)) AS u(i)) AS g JOIN trm ON trm.t = g.t),
+    cov AS (SELECT id, n, kind, start, unnest(range(start, start + n)) AS pos FROM hit)
+    SELECT id, CAST(pos AS INTEGER) AS pos, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types, min(kind) AS type, CAST(max(n) AS INTEGER) AS span_len, bool_or(pos = start) AS begin FROM cov GROUP BY id, pos"""
+)
 def gazetteer_token_features(spark: SparkSession, sf: str) -> DataFrame:
     docs = a.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), fx.feature_tokens(F.col("text")).alias("tokens"))
     return gazetteer.gazetteer_features(docs, a.benchmark_entries(spark, sf)).withColumn("types", F.array_join("types", ","))
@@ -547,9 +574,6 @@ def relation_proxy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.relation_proxy(a.records(spark, sf))
 
 
-_FEATURE_TOKEN = r"[a-z0-9][a-z0-9+.#/\-]*|[^\p{L}\p{N}_\s\p{Z}\x{b}\x{1c}-\x{1f}\x{85}]"
-
-
 @query(
     rf"""WITH itm AS (SELECT item_id, string_split_regex(trim(regexp_replace(text, '[^\p{{L}} ]+', ' ', 'g')), ' +') AS w FROM benchmark),
     trm AS (SELECT DISTINCT array_to_string(w[1 : n], ' ') AS term FROM itm, unnest([1, 2, 3]) AS t(n)),
@@ -702,3 +726,21 @@ def event_graph_report(spark: SparkSession, sf: str) -> DataFrame:
     """Counts, degrees and components of the graph of events in one row."""
     row = evaluation.evaluate_graph(a.event_nodes(spark, sf), a.event_edges(spark, sf))
     return row.withColumn("relation_counts", F.array_join(F.transform(F.map_entries("relation_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
+@query()
+def event_holdout_work(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of a case and a role are scored, of those that share a skill."""
+    return evaluation.holdout_work(a.event_edges(spark, sf))
+
+
+@query(
+    f"""WITH {a.EVENT_SQL}, r AS (SELECT source, target, edge_ord, ln(1 + evidence_count) AS w, row_number() OVER (PARTITION BY source ORDER BY edge_ord) AS place, count(*) OVER (PARTITION BY source) AS n FROM edg),
+    asked AS (SELECT DISTINCT source AS cse, target FROM r WHERE n > 2 AND place > 2), den AS (SELECT source, sum(w) AS den, min(edge_ord) AS fe FROM r GROUP BY source),
+    sc AS (SELECT cse, r.source AS role, round(sum(w) / any_value(den), 6) AS score, any_value(fe) AS fe FROM asked JOIN r ON r.target = asked.target JOIN den ON den.source = r.source GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY cse ORDER BY score DESC, fe) AS rank FROM sc)
+    SELECT round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_k, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0.0 END), 4) AS mrr, count(*) AS num_cases, 10 AS k FROM rk WHERE cse = role"""
+)
+def event_rec_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Two skills held out of each role, the first ten roles looked at."""
+    return evaluation.evaluate_recommendations(a.event_edges(spark, sf), 10, 2)
