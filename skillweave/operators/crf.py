@@ -5,7 +5,7 @@ forward and backward over its sentences, many side by side, and returns one grad
 are added up by Spark in blocks, and the driver takes one quasi-Newton step.  What the driver holds is as large as the
 model (``size`` times labels), never as the data.
 
-A null token counts as '', a sentence without tokens is left out of training and gets no labels.  Of tokens and labels of
+A null token counts as '' and a null label as O; a sentence without tokens is left out of training and gets no labels.  Of tokens and labels of
 unequal number the shorter ones count.  A sentence of any length is run through whole; its pairs of labels are summed in
 parts.  Labels that the model doesn't know are an error in training.
 """
@@ -74,7 +74,7 @@ def encode(examples: DataFrame, labels: list[str], size: int = SIZE, hints: str
     has_gold = "labels" in examples.columns
     n = F.least(F.size("tokens"), F.size("labels")) if has_gold else F.size("tokens")
     toks = F.slice("tokens", F.lit(1), n)
-    gold = F.transform(F.slice("labels", F.lit(1), n), lambda x: F.array_position(F.array(*[F.lit(y) for y in labels]), x).cast("int") - 1) if has_gold else F.array().cast("array<int>")
+    gold = F.transform(F.slice("labels", F.lit(1), n), lambda x: F.array_position(F.array(*[F.lit(y) for y in labels]), F.coalesce(x, F.lit("O"))).cast("int") - 1) if has_gold else F.array().cast("array<int>")
     rows = examples.filter(F.coalesce(n, F.lit(0)) > 0)
     return rows.select(F.col("id").cast("string").alias("id"), feature_ids(toks, size, F.col(hints) if hints else None).alias("feats"), gold.alias("gold"))
 
