@@ -60,8 +60,12 @@ def _sides(records: DataFrame) -> DataFrame:
 
 
 def fuse_nodes(records: DataFrame) -> DataFrame:
-    """One row per node id: the source of highest priority (the first on ties), sorted distinct names, first type and order."""
-    return _sides(records).groupBy("id").agg(
+    """One row per node id: the source of highest priority (the first on ties), sorted distinct names, first type and order.
+
+    Equal mentions are counted down to their first one before anything else, as there are many of a node.
+    """
+    mentions = _sides(records).groupBy("id", "text", "entity_type", "source").agg(F.min("ord").alias("ord"))
+    return mentions.groupBy("id").agg(
         F.min_by("entity_type", "ord").alias("entity_type"),
         F.max_by("source", F.struct(source_priority(F.col("source")).alias("p"), (-F.col("ord")).alias("first"))).alias("source"),
         F.array_sort(F.collect_set("text")).alias("alt_names"),
