@@ -9,7 +9,7 @@ from skillweave.functions import text as fx
 from skillweave.schema import RELATION_OF_TYPE
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -28,12 +28,12 @@ def labels_of(offsets: Column, mentions: Column) -> Column:
                 goes_on = F.coalesce((m["start"] < before["end"]) & (m["end"] > before["start"]), F.lit(False))
                 return F.when(m.isNull(), F.lit("O")).otherwise(F.concat(F.when(goes_on, F.lit("I-")).otherwise(F.lit("B-")), m["entity_type"]))
 
-            return _let(F.get(over, F.size(over) - 1), name)
+            return let(F.get(over, F.size(over) - 1), name)
 
         return F.transform(offsets, one)
 
     ordered = F.array_sort(F.transform(mentions, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), i.alias("ord"), m["entity_type"].alias("entity_type"))))
-    return _let(ordered, all_labels)
+    return let(ordered, all_labels)
 
 
 def label_examples(df: DataFrame) -> DataFrame:
@@ -75,15 +75,15 @@ def spans_of(labels: Column, offsets: Column, text: Column) -> Column:
                         b.alias("end_char"),
                     )
 
-                return _let(stop, cut)
+                return let(stop, cut)
 
             return F.transform(F.filter(at, opens), one)
 
         positions = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & (opens(i) | (F.get(ls, i) == "O")))
-        return _let(positions, spans)
+        return let(positions, spans)
 
     size = F.least(F.size(labels), F.size(offsets))
-    return _let(F.slice(labels, F.lit(1), size), build)
+    return let(F.slice(labels, F.lit(1), size), build)
 
 
 def extract_spans(examples: DataFrame) -> DataFrame:
@@ -103,6 +103,21 @@ def merge_tags(skill: Column, knowledge: Column) -> Column:
     return F.transform(F.arrays_zip(F.slice(skill, F.lit(1), n).alias("s"), F.slice(knowledge, F.lit(1), n).alias("k")), one)
 
 
+def nearest_pairs(spans: Column, relation: Column) -> Column:
+    """array<struct<ord,relation,head,tail>> of one sentence's spans: each tail of a known ``relation`` with the nearest occupation."""
+    numbered = F.transform(spans, lambda s, i: F.struct(s.alias("span"), i.alias("ord")))
+
+    def pairs(occ: Column) -> Column:
+        def one(x: Column) -> Column:
+            near = F.array_min(F.transform(occ, lambda o: F.struct(F.abs(o["span"]["start_token"] - x["span"]["start_token"]).alias("gap"), o["ord"].alias("ord"), o["span"].alias("span"))))
+            return F.struct(x["ord"].alias("ord"), relation[x["span"]["entity_type"]].alias("relation"), near["span"].alias("head"), x["span"].alias("tail"))
+
+        tails = F.filter(numbered, lambda x: (F.size(occ) > 0) & (x["span"]["entity_type"] != "OCC") & relation[x["span"]["entity_type"]].isNotNull())
+        return F.transform(tails, one)
+
+    return let(F.filter(numbered, lambda s: s["span"]["entity_type"] == "OCC"), pairs)
+
+
 def nearest_occupation(spans: DataFrame, kind_of_relation: dict[str, str] | None = None) -> DataFrame:
     """Each tail span with the occupation span of its sentence that starts nearest, the earlier one on ties.
 
@@ -110,19 +125,16 @@ def nearest_occupation(spans: DataFrame, kind_of_relation: dict[str, str] | None
     essential, proficiency_level, experience_years from the 30 characters around the tail.
     """
     relation = F.create_map(*[F.lit(x) for pair in (kind_of_relation or RELATION_OF_TYPE).items() for x in pair])
-    numbered = F.transform("spans", lambda s, i: F.struct(s.alias("span"), i.alias("ord")))
-    base = spans.select("id", "text", numbered.alias("numbered"))
-    occupations = F.filter("numbered", lambda s: s["span"]["entity_type"] == "OCC")
-    tails = base.withColumn("occ", occupations).filter(F.size("occ") > 0).select("id", "text", "occ", F.explode("numbered").alias("x")).filter(F.col("x.span.entity_type") != "OCC")
-    nearest = F.array_min(F.transform("occ", lambda o: F.struct(F.abs(o["span"]["start_token"] - F.col("x.span.start_token")).alias("gap"), o["ord"].alias("ord"), o["span"].alias("span"))))
-    out = tails.withColumn("head", nearest["span"]).withColumn("relation", relation[F.col("x.span.entity_type")]).filter(F.col("relation").isNotNull())
-    context = fx.context_window(F.col("text"), F.col("x.span.start_char"), F.col("x.span.end_char"))
+    found = let(F.col("spans"), lambda spans: nearest_pairs(spans, relation))
+    # The array is made inside explode: as a column of its own it would be made again for each filter on it.
+    out = spans.select("id", "text", F.explode(found).alias("x"))
+    context = fx.context_window(F.col("text"), F.col("x.tail.start_char"), F.col("x.tail.end_char"))
     return out.withColumn("context", context).select(
         "id",
         F.col("x.ord").alias("span_ord"),
-        "relation",
-        "head",
-        F.col("x.span").alias("tail"),
+        "x.relation",
+        "x.head",
+        "x.tail",
         fx.essential(F.col("context")).alias("essential"),
         F.lit(1).cast("long").alias("evidence_count"),
         fx.proficiency(F.col("context")).alias("proficiency_level"),
