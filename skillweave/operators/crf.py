@@ -1,4 +1,4 @@
-"""A linear-chain conditional random field for BIO tags: hashed token features, distributed training, native decoding.
+"""A linear-chain conditional random field for BIO tags: hashed token features, distributed training and decoding.
 
 Examples are encoded once, by expressions alone, and stored.  A training round broadcasts the weights; each task runs
 forward and backward over its sentences, many side by side, and returns one gradient, whatever its number of rows; those
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skillweave.functions import sequences
 from skillweave.operators import bio
 from skillweave.session import materialise
 
@@ -84,16 +83,19 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + np.squeeze(top, axis)
 
 
-def loss_and_gradient(model: Model, feats: np.ndarray, gold: np.ndarray, lengths: np.ndarray) -> tuple[float, Model]:
-    """Negative log-likelihood of sentences laid end to end (feats: tokens x features), and its gradient as a model."""
-    order = np.argsort(-lengths, kind="stable")
-    start, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    end = start + lengths - 1
-    emission = model.features[feats].sum(1)
+def emissions(model: Model, feats: np.ndarray) -> np.ndarray:
+    """The score of each label at each token, a feature at a time."""
+    out = model.features[feats[:, 0]]
+    for k in range(1, feats.shape[1]):
+        out += model.features[feats[:, k]]
+    return out
+
+
+def _in_logs(model: Model, emission: np.ndarray, start: np.ndarray, end: np.ndarray, steps: list[int], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward in logarithms, for weights of any size: log-partitions, chances of labels, summed chances of moves."""
     alpha, beta = np.empty_like(emission), np.empty_like(emission)
     alpha[start] = emission[start] + model.first
     beta[end] = model.last
-    steps = [int((lengths > t).sum()) for t in range(int(lengths.max()))]  # sentences that are still going on
     for t in range(1, len(steps)):
         now = start[: steps[t]] + t
         alpha[now] = emission[now] + _log_sum(alpha[now - 1][:, :, None] + model.transitions[None], 1)
@@ -102,16 +104,57 @@ def loss_and_gradient(model: Model, feats: np.ndarray, gold: np.ndarray, lengths
         beta[now] = _log_sum(model.transitions[None] + (emission[now + 1] + beta[now + 1])[:, None, :], 2)
     log_z = _log_sum(alpha[end] + model.last, 1)
     sentence_z = np.empty(len(emission))
-    for s, n, z in zip(start.tolist(), lengths.tolist(), log_z.tolist(), strict=True):
-        sentence_z[s : s + n] = z
-    chance = np.exp(alpha + beta - sentence_z[:, None])
+    for s, e, z in zip(start.tolist(), end.tolist(), log_z.tolist(), strict=True):
+        sentence_z[s : e + 1] = z
     moves = np.zeros_like(model.transitions)
-    later = np.ones(len(emission), bool)
-    later[start] = False
-    places = np.flatnonzero(later)
     for i in range(0, len(places), TOKENS_AT_ONCE):
         now = places[i : i + TOKENS_AT_ONCE]
         moves += np.exp(alpha[now - 1][:, :, None] + model.transitions[None] + (emission[now] + beta[now])[:, None, :] - sentence_z[now][:, None, None]).sum(0)
+    return log_z, np.exp(alpha + beta - sentence_z[:, None]), moves
+
+
+#: A step of ``_scaled`` below this share may have lost what fell out of a double.
+LEAST_SHARE = 1e-200
+
+
+def _scaled(model: Model, emission: np.ndarray, start: np.ndarray, end: np.ndarray, steps: list[int], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The same by products of matrices, each token's sums scaled to one; None where a double doesn't hold them."""
+    highest = emission.max(1, keepdims=True)
+    seen, move, closing = np.exp(emission - highest), np.exp(model.transitions - model.transitions.max()), np.exp(model.last - model.last.max())
+    alpha, beta, share = np.empty_like(emission), np.empty_like(emission), np.empty((len(emission), 1))
+    with np.errstate(all="ignore"):
+        for t in range(len(steps)):
+            now = start[: steps[t]] + t
+            reach = seen[now] * (alpha[now - 1] @ move if t else np.exp(model.first - model.first.max()))
+            share[now] = reach.sum(1, keepdims=True)
+            alpha[now] = reach / share[now]
+        at_end = alpha[end] @ closing
+        beta[end] = closing / at_end[:, None]
+        for t in range(len(steps) - 1, 0, -1):
+            now = start[: steps[t]] + t
+            beta[now - 1] = (seen[now] * beta[now] / share[now]) @ move.T
+        chance = alpha * beta
+        moves = move * (alpha[places - 1].T @ (seen[places] * beta[places] / share[places]))
+        per_token = np.log(share)[:, 0] + highest[:, 0] + model.transitions.max()
+        log_z = np.log(at_end) + model.last.max() + model.first.max() - model.transitions.max()
+        by_place = np.argsort(start)
+        log_z[by_place] += np.add.reduceat(per_token, start[by_place])
+    sound = min(share.min(), at_end.min()) >= LEAST_SHARE and np.isfinite(log_z).all() and np.isfinite(moves).all() and np.abs(chance.sum(1) - 1).max() < 1e-9
+    return (log_z, chance, moves) if sound else None
+
+
+def loss_and_gradient(model: Model, feats: np.ndarray, gold: np.ndarray, lengths: np.ndarray) -> tuple[float, Model]:
+    """Negative log-likelihood of sentences laid end to end (feats: tokens x features), and its gradient as a model."""
+    order = np.argsort(-lengths, kind="stable")
+    start, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    end = start + lengths - 1
+    emission = emissions(model, feats)
+    steps = np.searchsorted(-lengths, -np.arange(int(lengths.max())), "left").tolist()  # sentences that are still going on
+    later = np.ones(len(emission), bool)
+    later[start] = False
+    places = np.flatnonzero(later)
+    where = (emission, start, end, steps, places)
+    log_z, chance, moves = _scaled(model, *where) or _in_logs(model, *where)
     np.subtract.at(moves, (gold[places - 1], gold[places]), 1.0)
     score = emission[np.arange(len(gold)), gold].sum() + model.transitions[gold[places - 1], gold[places]].sum() + model.first[gold[start]].sum() + model.last[gold[end]].sum()
     opening, closing = chance[start].sum(0), chance[end].sum(0)
@@ -259,32 +302,54 @@ def fit(examples: DataFrame, l2: float = 0.1, l1: float = 0.0, rounds: int = 60,
     return Model.of(labels, best, size)
 
 
-def _emit(shared):
+def best_paths(model: Model, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The best label of each token of sentences laid end to end (scores: tokens x labels), many sentences side by side.
+
+    Ties go to the lesser label, from the end on, as in ``sequences.viterbi``.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    start, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    into = np.ascontiguousarray(model.transitions.T)  # scores of coming to a label from every label
+    reach, back = scores.copy(), np.zeros(scores.shape, np.min_scalar_type(scores.shape[1]))
+    reach[start] = model.first + scores[start]
+    going = np.searchsorted(-lengths, -np.arange(int(lengths.max(initial=0))), "left")  # sentences that are still going on
+    for t in range(1, len(going)):
+        now = start[: going[t]] + t
+        for i in range(0, len(now), TOKENS_AT_ONCE):
+            part = now[i : i + TOKENS_AT_ONCE]
+            ways = reach[part - 1][:, None, :] + into[None]
+            best = ways.argmax(2)
+            back[part] = best
+            reach[part] += np.take_along_axis(ways, best[:, :, None], 2)[:, :, 0]
+    path = np.zeros(len(scores), np.int64)
+    path[start + lengths - 1] = (reach[start + lengths - 1] + model.last).argmax(1)
+    for t in range(len(going) - 1, 0, -1):
+        now = start[: going[t]] + t
+        path[now - 1] = back[now, path[now]]
+    return path
+
+
+def _decode(shared, labels: list[str]):
+    """Encoded examples -> (id, labels)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        kind = pa.list_(pa.list_(pa.float64()))
+        model, names = shared.value, pa.array(labels, pa.string())
         for batch in batches:
             ids, done = batch.column(0), 0
             for feats, _, lengths in _sentences(batch.select([1, 2])):
-                scores = weights[feats].sum(1)
-                inner = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * scores.shape[1], pa.int32()), pa.array(scores.ravel()))
-                outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), inner).cast(kind)
-                yield pa.RecordBatch.from_arrays([ids.slice(done, len(lengths)), outer], names=["id", "emissions"])
+                path = best_paths(model, emissions(model, feats), lengths)
+                tags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), names.take(pa.array(path)))
+                yield pa.RecordBatch.from_arrays([ids.slice(done, len(lengths)), tags], names=["id", "labels"])
                 done += len(lengths)
 
     return run
 
 
-def emissions(examples: DataFrame, model: Model, hints: str | None = None) -> DataFrame:
-    """id, emissions: the score of each label at each token."""
-    encoded = encode(examples.drop("labels"), model.labels, len(model.features), hints)
-    shared = examples.sparkSession.sparkContext.broadcast(model.features)
-    return encoded.mapInArrow(_emit(shared), "id string, emissions array<array<double>>")
-
-
 def tag(examples: DataFrame, model: Model, hints: str | None = None) -> DataFrame:
-    """id, labels: the best labels of each example's tokens; none for an example without tokens."""
-    scored = emissions(examples, model, hints)
-    path = sequences.viterbi(F.col("emissions"), model.transitions.tolist(), model.first.tolist(), model.last.tolist())["path"]
-    names = F.array(*[F.lit(x) for x in model.labels])
-    return scored.select("id", path.alias("path")).select("id", F.transform("path", lambda y: F.get(names, y)).alias("labels"))
+    """id, labels: the best labels of each example's tokens; none for an example without tokens.
+
+    A batch's sentences are decoded side by side where their scores are made, so the scores never leave the task.
+    """
+    encoded = encode(examples.drop("labels"), model.labels, len(model.features), hints)
+    shared = examples.sparkSession.sparkContext.broadcast(model)
+    return encoded.mapInArrow(_decode(shared, model.labels), "id string, labels array<string>")

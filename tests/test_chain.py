@@ -158,3 +158,38 @@ def test_chain_on_tagged_orders(spark):
     encoded = crf.encode(tagged, model.labels, crf.SIZE)
     before, after = (crf.total_gradient(encoded, model.labels, x, crf.SIZE)[0] for x in (np.zeros_like(weights), weights))
     assert sizes == tagged.count() and after + 0.01 * float(weights @ weights) < before  # what training lowers; the labels have no pattern beyond
+
+
+def test_batches_are_decoded_as_the_expression_does(spark):
+    rng = np.random.default_rng(8)
+    n = 4
+    lengths = np.array([1, 7, 3, 3, 1, 12, 2])
+    scores = rng.integers(-2, 3, (lengths.sum(), n)).astype(float)  # many ties
+    model = crf.Model([str(i) for i in range(n)], np.zeros((2, n)), rng.integers(-2, 3, (n, n)).astype(float), rng.integers(-2, 3, n).astype(float), rng.integers(-2, 3, n).astype(float))
+    upto = np.cumsum(lengths)
+    rows = [(k, scores[b - m : b].tolist()) for k, (b, m) in enumerate(zip(upto, lengths))]
+    v = sequences.viterbi(F.col("e"), model.transitions.tolist(), model.first.tolist(), model.last.tolist())
+    own = [y for r in spark.createDataFrame(rows, "id int, e array<array<double>>").select("id", v["path"].alias("p")).orderBy("id").collect() for y in r.p]
+    assert crf.best_paths(model, scores, lengths).tolist() == own
+
+
+def test_decoding_makes_no_paths_of_expressions(spark):
+    model = crf.Model(["O", "B-X"], np.zeros((16, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
+    df = spark.createDataFrame([("a", ["x", "y"]), ("b", [])], "id string, tokens array<string>")
+    plan = crf.tag(df, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and crf.tag(df, model).collect() == [("a", ["O", "O"])]
+
+
+@pytest.mark.parametrize("scale", [0.5, 30.0, 2_000.0])
+def test_products_give_what_logarithms_give(monkeypatch, scale):
+    rng = np.random.default_rng(9)
+    lengths = np.array([3, 1, 9, 9, 2])
+    feats, gold = rng.integers(0, 13, (24, 5)), rng.integers(0, 4, 24)
+    model = crf.Model.of(list("OABC"), rng.normal(size=crf.n_weights(4, 13)) * scale, 13)
+    loss, g = crf.loss_and_gradient(model, feats, gold, lengths)
+    tried = []
+    monkeypatch.setattr(crf, "_scaled", lambda *_: tried.append(1))
+    plain, h = crf.loss_and_gradient(model, feats, gold, lengths)
+    assert tried and loss == pytest.approx(plain, rel=1e-12)
+    for name in ("features", "transitions", "first", "last"):
+        np.testing.assert_allclose(getattr(g, name), getattr(h, name), atol=1e-8)
