@@ -92,6 +92,15 @@ def extract_spans(examples: DataFrame) -> DataFrame:
     return examples.withColumn("offsets", offsets).withColumn("spans", spans_of(F.col("labels"), F.col("offsets"), F.col("text"))).drop("offsets")
 
 
+def span_rows(examples: DataFrame) -> DataFrame:
+    """id and a row ``s`` for each span of ``examples`` (id, text, tokens, labels).
+
+    The spans are made inside explode: as a column of their own they would be made again for each filter on it.
+    """
+    found = let(fx.token_offsets(F.col("text"), F.col("tokens")), lambda offsets: spans_of(F.col("labels"), offsets, F.col("text")))
+    return examples.select("id", F.explode(found).alias("s"))
+
+
 def merge_tags(skill: Column, knowledge: Column) -> Column:
     """One label array from skill and knowledge tags (B, I, O); a skill tag wins; the shorter array counts."""
 

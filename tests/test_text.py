@@ -2,9 +2,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from skillweave import schema
+from skillweave import registry, schema
 from skillweave.functions import text as fx
 from skillweave.functions.similarity import indel_ratio_of
+from skillweave.operators import bio
 
 TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+.#/\-]*|[一-鿿]|[^\w\s]")
 TEXTS = ["Uses C++, C# and Node.js. 熟悉Python。", "été: déjà vu?! end.", "", "  ", "a_b 3.5 years (plus) 加分"]
@@ -59,3 +60,12 @@ def test_titles_in_any_alphabet_and_bonus_notes(spark):
     got = [r.c for r in rows.select("n", fx.clean_title(F.col("t")).alias("c")).orderBy("n").collect()]
     assert got[:6] == ["数据工程师", "Разработчик", "Python Dev", "Python Dev", "Analyst", "Software Engineer"]
     assert rows.select(fx.tech_label(F.lit("machine learning lead")).alias("x")).first().x == "Machine Learning"
+
+
+def test_spans_are_made_once_for_their_rows(spark):
+    rows = [(1, "we use C++ and Python", ["we", "use", "C++", "and", "Python"], ["O", "O", "B-SKL", "O", "I-TOL"]), (2, "", [], []), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, tokens array<string>, labels array<string>")
+    found = bio.span_rows(df)
+    assert [(r.id, r.s.text, r.s.entity_type, r.s.start_char) for r in found.collect()] == [(1, "C++", "SKL", 7), (1, "Python", "TOL", 15)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("locate(") == 1
+    assert registry.queries()["bio_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("locate(") == 1
