@@ -100,24 +100,54 @@ def blocks_of(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(q, ids and points of a query block, ids and points of an index block) -> the best row of each query."""
+    """Rows of tiles in order, index blocks (no mates) before query blocks -> the best row of each query among its block's mates."""
+    tile, held = None, {}
     for batch in batches:
-        for k in range(batch.num_rows):
-            ids, others = batch.column(1)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy()
-            x, y = (np.frombuffer(batch.column(c)[k].as_py(), "<f8").reshape(len(i), -1) for c, i in ((2, ids), (4, others)))
-            score = x @ y.T * 100
-            score[ids[:, None] == others[None]] = -np.inf
-            best = score.argmax(1)  # the first of equal ones, ids being in order
-            value = score[np.arange(len(ids)), best]
+        tiles, blocks, mates = (batch.column(c).to_pylist() for c in (0, 2, 5))
+        for k, (own_tile, block) in enumerate(zip(tiles, blocks, strict=True)):
+            if own_tile != tile:
+                tile, held = own_tile, {}
+            ids = batch.column(3)[k].values.to_numpy()
+            x = np.frombuffer(batch.column(4)[k].as_buffer(), "<f8").reshape(len(ids), -1)
+            if mates[k] is None:
+                held[block] = (ids.copy(), x.copy())
+                continue
+            value, near = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+            for mate in mates[k]:
+                others, y = held[mate]
+                score = x @ y.T * 100
+                score[ids[:, None] == others[None]] = -np.inf
+                best = score.argmax(1)  # the first of equal ones, ids being in order
+                here, who = score[np.arange(len(ids)), best], others[best]
+                better = (here > value) | ((here == value) & (who < near) & np.isfinite(here))
+                value, near = np.where(better, here, value), np.where(better, who, near)
             some = np.isfinite(value)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * int(some.sum()), pa.string()), pa.array(ids[some]), pa.array(others[best[some]]), pa.array(value[some])], names=["q", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * int(some.sum()), pa.string()), pa.array(ids[some]), pa.array(near[some]), pa.array(value[some])], names=["q", "query_id", "vec_id", "score"])
+
+
+#: Blocks of each side that meet in one tile: a block is sent once for so many blocks that it meets.
+RUN = 16
+
+
+def _runs(blocks: DataFrame) -> DataFrame:
+    """block, run: the blocks of a group in runs of ``RUN`` (one row for each block, no points)."""
+    return blocks.select("block", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("block")) - 1) / RUN).alias("run"))
 
 
 def _met(pairs: DataFrame, queries: DataFrame, index: DataFrame) -> DataFrame:
-    own = queries.select(F.col("block").alias("q"), F.col("ids").alias("qi"), F.col("points").alias("qp"))
-    other = index.select(F.col("block").alias("x"), F.col("ids").alias("xi"), F.col("points").alias("xp"))
-    both = pairs.join(own, "q").join(other, "x").select("q", "qi", "qp", "xi", "xp")
-    return both.mapInArrow(_compare, "q string, query_id bigint, vec_id bigint, score double")
+    """The best row of each query among the pairs of blocks (q, x), by tiles: a run of query blocks and one of index blocks.
+
+    A task holds the index blocks of one tile, and each query block passes them.
+    """
+    groups = queries.select(F.col("block").alias("q"), "grp")
+    runs = [_runs(side).select(F.col("block").alias(name), F.col("run").alias(f"{name}_run")) for side, name in ((queries, "q"), (index, "x"))]
+    tiled = pairs.select("q", "x").join(groups, "q").join(runs[0], "q").join(runs[1], "x").select(F.concat_ws("/", "q_run", "x_run", "grp").alias("tile"), "q", "x")
+    asking = tiled.groupBy("tile", "q").agg(F.collect_list("x").alias("mates")).join(queries.select(F.col("block").alias("q"), "ids", "points"), "q")
+    asked = tiled.select("tile", "x").distinct().join(index.select(F.col("block").alias("x"), "ids", "points"), "x")
+    rows = asked.select("tile", F.lit(0).alias("side"), F.col("x").alias("block"), "ids", "points", F.lit(None).cast("array<string>").alias("mates")).unionByName(
+        asking.select("tile", F.lit(1).alias("side"), F.col("q").alias("block"), "ids", "points", "mates")
+    )
+    return rows.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_compare, "q string, query_id bigint, vec_id bigint, score double")
 
 
 def _bound(cosine: Column, widths: Column) -> Column:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skillweave.operators import blocks, evaluation, graph
+from skillweave.operators import blocks, evaluation, graph, vectors
 
 EDGE = "source string, target string, relation string, evidence_count long, edge_ord long"
 
@@ -92,3 +93,24 @@ def test_ranks_in_blocks(edges, monkeypatch, holdout):
     monkeypatch.setattr(blocks, "MOST_ITEMS", 0)
     if holdout == 2:
         assert evaluation.holdout_work(every, holdout).first() == work
+
+
+def test_nearest_vectors_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(vectors, "RUN", 3)
+    rng = np.random.default_rng(4)
+    points = rng.integers(-2, 3, (150, 5)).astype(float)  # ties and zero vectors among them
+    rows = [(i, str(i % 2), p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, grp string, embedding array<double>").repartition(3)
+    length = np.linalg.norm(points, axis=1, keepdims=True)
+    unit = np.divide(points, length, out=np.zeros_like(points), where=length > 0)
+    score = unit @ unit.T * 100
+    got = {r.query_id: r for r in vectors.nearest_neighbours(df, df).collect()}
+    for i in range(150):
+        others = [j for j in range(150) if j != i and j % 2 == i % 2]
+        assert got[i].score == pytest.approx(max(score[i, j] for j in others), abs=1e-9) and score[i, got[i].vec_id] == pytest.approx(got[i].score, abs=1e-9)
+    ends = spark.createDataFrame([(f"b{k:02d}", "g", [k], bytearray(8)) for k in range(9)], "block string, grp string, ids array<bigint>, points binary")
+    every = ends.selectExpr("block AS q").crossJoin(ends.selectExpr("block AS x"))
+    met = vectors._met(every, ends, ends)
+    sent = met._jdf.queryExecution().optimizedPlan()
+    assert met.count() == 9 * 3 and "Sort [tile" in sent.toString()  # 81 pairs, but a row for each query and tile
