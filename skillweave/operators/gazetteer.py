@@ -77,17 +77,16 @@ def term_index(entries: DataFrame) -> DataFrame:
 def ngram_match(sentences: DataFrame, index: DataFrame) -> DataFrame:
     """Leftmost-longest term matches: id, start_token, n_tokens, canonical_id, entity_type, term.
 
-    Every n-gram of at most 6 tokens is looked up by an equi-join, which Spark broadcasts if the index is small enough;
-    only what matches is gathered by sentence for the choice from the left.
+    Each token is looked up once among the first tokens of terms, with the (at most 6) tokens from it on; only where a term
+    begins so, n-grams are made, of the lengths that such terms have, and looked up.  Both are equi-joins, which Spark
+    broadcasts if the index is small enough; only what matches is gathered by sentence for the choice from the left.
     """
     low = sentences.select("id", F.transform(fx.tokens(F.col("text")), lambda t: F.lower(t)).alias("toks"))
-
-    def grams_at(i: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_TERM), F.size("toks") - i))
-        return F.transform(lengths, lambda n: F.struct(i.alias("start_token"), n.alias("n_tokens"), F.array_join(F.slice("toks", i + 1, n), "\x01").alias("key")))
-
-    grams = F.flatten(F.transform("toks", lambda t, i: grams_at(i)))
-    keyed = low.select("id", F.explode(grams).alias("g")).select("id", "g.start_token", "g.n_tokens", "g.key")
+    ahead = F.transform("toks", lambda t, i: F.struct(i.alias("start_token"), F.substring_index(t, "\x01", 1).alias("head"), F.slice("toks", i + 1, F.lit(LONGEST_TERM)).alias("ahead")))
+    placed = low.select("id", F.explode(ahead).alias("p")).select("id", "p.*")
+    heads = index.groupBy(F.substring_index("key", "\x01", 1).alias("head")).agg(F.collect_set("n_tokens").alias("lengths"))  # at most LONGEST_TERM of them
+    likely = placed.join(heads, "head").select("id", "start_token", "ahead", F.explode("lengths").alias("n_tokens")).filter(F.col("n_tokens") <= F.size("ahead"))
+    keyed = likely.select("id", "start_token", "n_tokens", F.array_join(F.slice("ahead", F.lit(1), F.col("n_tokens")), "\x01").alias("key"))
     hits = keyed.join(index.select("key", "entry"), "key")
     longest = hits.groupBy("id", "start_token").agg(F.max(F.struct("n_tokens", "entry")).alias("x"))
     rows = longest.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_token", "x.n_tokens", "x.entry"))).alias("rows"))
