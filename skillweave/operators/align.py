@@ -12,6 +12,7 @@ from skillweave.functions import sequences
 from skillweave.functions import text as fx
 from skillweave.functions.similarity import indel_ratio
 from skillweave.operators.gazetteer import variants
+from skillweave.session import materialise
 
 
 def exact_index(entries: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def similar_pairs(mentions: DataFrame, variants_: DataFrame, min_score: float) -
     needs.  Strings for which the score needs none (low scores, short strings) meet all of a fitting length.
     """
     share = min_score / 200
-    own, pool = _strings(mentions, "low", share), _strings(variants_, "vlow", share)
+    own, pool = materialise(_strings(mentions, "low", share)), materialise(_strings(variants_, "vlow", share))  # both are read four times
     often = pool.select("entity_type", F.explode("grams").alias("g")).groupBy("entity_type", F.col("g.gram").alias("gram")).agg(F.count("*").alias("often"))
     p, q = _prefixes(own, "low", often).alias("p"), _prefixes(pool, "vlow", often).alias("q")
     common = F.ceil((F.col("p.n") + F.col("q.n")) * share - 1e-9)
@@ -110,9 +111,9 @@ def fuzzy_candidates(mentions: DataFrame, entries: DataFrame, top_k: int = 5, mi
     Different strings are scored once, however many mentions or entries have them; with a score to reach only those that
     ``similar_pairs`` lets through.  Of the entries with one string the first ``top_k`` are enough.
     """
-    wanted = mentions.select("entity_type", "text").distinct().withColumn("low", F.lower("text"))
+    wanted = materialise(mentions.select("entity_type", "text").distinct().withColumn("low", F.lower("text")))
     first = F.row_number().over(Window.partitionBy("entity_type", "vlow").orderBy("ord", "variant_ord"))
-    pool = variants(entries).withColumn("vlow", F.lower("variant")).withColumn("place", first).filter(F.col("place") <= top_k)
+    pool = materialise(variants(entries).withColumn("vlow", F.lower("variant")).withColumn("place", first).filter(F.col("place") <= top_k))
     if min_score > 0:
         pairs = similar_pairs(wanted, pool, min_score)
     else:
@@ -146,7 +147,8 @@ def align(mentions: DataFrame, entries: DataFrame, min_score: float = 85.0, choo
     ``choose`` may re-rank the candidates of what is still open (down to ``min_score`` - 10) and return
     (entity_type, text, canonical_id, source, score).
     """
-    exact = exact_align(mentions.select("entity_type", "text").distinct(), entries)
+    entries = materialise(entries)
+    exact = materialise(exact_align(mentions.select("entity_type", "text").distinct(), entries))
     known, rest = exact.filter(F.col("canonical_id").isNotNull()), exact.filter(F.col("canonical_id").isNull()).select("entity_type", "text")
     best = fuzzy_candidates(rest, entries, 1, min_score).select("entity_type", "text", "canonical_id", "source", "score")
     parts = [known, best]
@@ -154,7 +156,7 @@ def align(mentions: DataFrame, entries: DataFrame, min_score: float = 85.0, choo
         still = rest.join(best, ["entity_type", "text"], "left_anti")
         parts.append(choose(fuzzy_candidates(still, entries, 5, min_score - 10)).select("entity_type", "text", "canonical_id", "source", "score"))
     found = reduce(DataFrame.unionByName, parts)
-    return mentions.select("entity_type", "text").distinct().join(found, ["entity_type", "text"], "left")
+    return exact.select("entity_type", "text").join(found, ["entity_type", "text"], "left")
 
 
 def align_relations(relations: DataFrame, entries: DataFrame, min_score: float = 85.0) -> DataFrame:

@@ -23,13 +23,17 @@ def variants(entries: DataFrame) -> DataFrame:
 
 def merge(entries: DataFrame) -> DataFrame:
     """Entries (with ``ord``) merged by (entity_type, lower term): first id, term and source, first non-empty description, aliases in order."""
-    key = F.lower("term")
     described = F.when(F.col("description") != "", F.col("ord"))
-    alias_rows = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))))
-    merged = entries.groupBy("entity_type", key.alias("term_key")).agg(
-        F.min_by(F.struct("canonical_id", "term", "source"), "ord").alias("first"),
-        F.coalesce(F.min_by("description", described), F.lit("")).alias("description"),
-        F.array_distinct(F.flatten(F.transform(alias_rows, lambda x: x["aliases"]))).alias("aliases"),
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    # Each alias of a key shrinks to its first place before a key's aliases are gathered, however many entries have the key.
+    rows = entries.select("entity_type", F.lower("term").alias("term_key"), "ord", F.struct("canonical_id", "term", "source").alias("own"), "description", described.alias("described"), aliases.alias("aliases"))
+    rows = rows.select("*", F.posexplode_outer("aliases").alias("pos", "alias"))
+    firsts = rows.groupBy("entity_type", "term_key", "alias", F.isnull("pos").alias("none")).agg(
+        F.min(F.struct("ord", "aliases", "pos")).alias("at"), F.min("ord").alias("ord"), F.min_by("own", "ord").alias("own"), F.min("described").alias("described"), F.min_by("description", "described").alias("description")
+    )
+    kept = F.array_sort(F.collect_list(F.when(~F.col("none"), F.struct("at", "alias"))))
+    merged = firsts.groupBy("entity_type", "term_key").agg(
+        F.min_by("own", "ord").alias("first"), F.coalesce(F.min_by("description", "described"), F.lit("")).alias("description"), F.transform(kept, lambda x: x["alias"]).alias("aliases")
     )
     return merged.select("first.canonical_id", "entity_type", "first.term", "first.source", "description", "aliases")
 
