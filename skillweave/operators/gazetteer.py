@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.functions import text as fx
-from skillweave.session import materialise
+from skillweave.session import materialise, small_batches
 
 LONGEST_TERM = 6
 
@@ -132,8 +132,8 @@ def _even_lower(text: str) -> str:
     return low if len(low) == len(text) else "".join([c.lower() if len(c.lower()) == 1 else c for c in text])
 
 
-#: Bits of the filter of each seed length; longest seed as a power of two.
-FILTER_BITS, LONGEST_SEED = 1 << 22, 5
+#: Bits of the filter of each seed length; longest seed as a power of two; characters that are hashed together.
+FILTER_BITS, LONGEST_SEED, CHARS_AT_ONCE = 1 << 22, 5, 250_000
 SEEDS = "size int, seed bigint"
 MENTIONS = "array<struct<start:int,end:int,entity_type:string,canonical_id:string>>"
 
@@ -162,11 +162,23 @@ def _seed_hashes(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray
     return offsets, left, out
 
 
+def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of whole texts with about ``CHARS_AT_ONCE`` characters."""
+    begin = held = 0
+    for i, x in enumerate(texts):
+        if held and held + len(x) > CHARS_AT_ONCE:
+            yield begin, i
+            begin, held = i, 0
+        held += len(x)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def _string_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(low, ...) -> the same with the length of its seed as a power of two, and the seed's hash."""
     for batch in batches:
         low = batch.column(0).to_pylist()
-        offsets, _, hashes = _seed_hashes(low, LONGEST_SEED)
+        offsets, _, hashes = _seed_hashes([x[: 1 << LONGEST_SEED] for x in low], LONGEST_SEED)
         size = np.array([min(len(x).bit_length() - 1, LONGEST_SEED) for x in low], np.int32)
         seed = np.array([hashes[k][i] for k, i in zip(size.tolist(), offsets[:-1].tolist(), strict=True)], np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(seed.view(np.int64))], names=[*batch.schema.names, "size", "seed"])
@@ -191,15 +203,17 @@ def _places(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            low = [_even_lower(x) for x in batch.column(1).to_pylist()]
-            offsets, left, hashes = _seed_hashes(low, max(known, default=0))
-            for k, bitmap in known.items():
-                cell = (hashes[k].view(np.int64) % FILTER_BITS).astype(np.int64)
-                at = np.flatnonzero((left >= 1 << k) & ((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
-                row = np.searchsorted(offsets, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes[k][at].view(np.int64))], names=["key", "pos", "size", "seed"]
-                )
+            every = batch.column(1).to_pylist()
+            for begin, end in _runs(every):
+                low = [_even_lower(x) for x in every[begin:end]]
+                offsets, left, hashes = _seed_hashes(low, max(known, default=0))
+                for k, bitmap in known.items():
+                    cell = (hashes[k].view(np.int64) % FILTER_BITS).astype(np.int64)
+                    at = np.flatnonzero((left >= 1 << k) & ((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+                    row = np.searchsorted(offsets, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(begin + row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(hashes[k][at].view(np.int64))], names=["key", "pos", "size", "seed"]
+                    )
 
     return run
 
@@ -236,6 +250,7 @@ def char_match(sentences: DataFrame, entries: DataFrame) -> DataFrame:
     compared with the text.  The vocabulary itself is never on the driver, and it may be of any size.
     """
     spark = sentences.sparkSession
+    small_batches(spark)
     lower = F.udf(_even_lower, "string", useArrow=True)
     rows = variants(entries).filter(F.length("variant") > 0).select(lower("variant").alias("low"), "ord", "variant_ord", "entity_type", "canonical_id")
     owner = F.min_by(F.struct("entity_type", "canonical_id"), F.struct("ord", "variant_ord")).alias("owner")
