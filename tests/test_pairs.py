@@ -25,14 +25,20 @@ def _brute(own, least):
 def test_every_pair_once_in_both_directions(spark, monkeypatch, chunk):
     monkeypatch.setattr(graph, "CHUNK", chunk, raising=False)
     own, edges = _edges(spark)
+    want = _brute(own, 0.3)
+    got = [(r.source, r.target, r.evidence_count, r.relation) for r in graph.similarity_edges(edges, 0.3).collect()]
+    assert sorted(got) == sorted((a, b, int(s * 100 + 1e-9), "SIMILAR_TO") for (a, b), s in want.items())
     got = [(r.source, r.target, round(r.weight, 6)) for r in graph.dense_fallback(edges, 0.85).collect()]
     assert sorted(got) == sorted((a, b, round(1 - s + 1e-4, 6)) for (a, b), s in _brute(own, 0.15).items())
+    ends = {"s:00", "t:00", "u:00", "s:07", "t:09"}
+    got = sorted((r.source, r.target) for r in graph.similarity_edges(edges, 0.3, ["s:07", "t:09"]).collect())
+    assert got == sorted(ab for ab in want if set(ab) <= ends)
 
 
 def test_pairs_of_one_set_are_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(graph, "CHUNK", 4, raising=False)
     _, edges = _edges(spark)
     large = edges.filter("source LIKE 's:%'")
-    for written in (graph.dense_fallback(large),):
+    for written in (graph.similarity_edges(large), graph.dense_fallback(large)):
         by_task = [r["count"] for r in written.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(by_task) == 40 * 39 and max(by_task) < 40 * 39 / 4
