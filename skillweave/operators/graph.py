@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillweave.functions import text as fx
@@ -57,83 +59,112 @@ def skill_classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     sets = pairs.groupBy("occ").agg(F.array_sort(F.collect_set(F.xxhash64("skill"))).alias("skills"))
     signed = _checkpoint(sets.select("occ", "skills", F.sha2(F.array_join(F.col("skills").cast("array<string>"), ","), 256).alias("sig")))
-    groups = signed.groupBy("sig").agg(F.first("skills").alias("skills"), F.min("occ").alias("rep"), F.count("occ").alias("n"))
+    groups = _checkpoint(signed.groupBy("sig").agg(F.first("skills").alias("skills"), F.min("occ").alias("rep"), F.count("occ").alias("n")))
     return groups.select("rep", "skills", "n"), signed.select("sig", "occ").join(groups.select("sig", "rep", "n"), "sig").select("rep", "occ", "n")
 
 
-def _block_pairs(classes: DataFrame, least: float, forest: bool) -> DataFrame | None:
-    """x, y, jaccard of similar sets by products of blocks, or None if there are too many different skills for that.
+def _near(p: blocks.Block, q: blocks.Block, least: float, once: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """i, j, size of what is shared, size of the union: rows of two blocks of sets at least ``least`` similar.  With ``once`` both
+    are of one table, and a block with itself has each pair once.
 
-    Blocks hold sets of about one size, so most pairs of blocks whose sizes can't reach ``least`` never meet.  With
-    ``forest`` the pairs (x, y) of a pair of blocks are only as many as connect what its similar sets connect.
+    One product tells similar pairs: shared * (1 + least) - least * (sum of sizes) is not negative.  Those near nought are
+    decided by whole numbers.
     """
-    words = blocks.vocabulary(classes.select(F.explode("skills")))
-    if words is None:
-        return None
-    rows = classes.select("rep", F.size("skills").alias("n"), F.col("skills").alias("items"), F.transform("skills", lambda x: F.lit(1.0)).alias("weights"))
-    held = blocks.pack(rows, words, ["n", "rep"])
-    reach = (F.array_max("p_n") >= F.array_min("q_n") * least - 1e-9) & (F.array_max("q_n") >= F.array_min("p_n") * least - 1e-9)
-
-    def work(p: dict, q: dict) -> Iterator[list]:
-        u, v = p["matrix"].astype("<f4"), q["matrix"].astype("<f4")
-        nu, nv = p["n"].to_numpy().astype("<f4"), q["n"].to_numpy().astype("<f4")
-        same = p["block"] == q["block"]
-        near = np.zeros((len(u), len(v)), bool) if forest else None
-        for at in range(0, len(u), blocks.SLICE):
-            common = u[at : at + blocks.SLICE] @ v.T
-            union = nu[at : at + blocks.SLICE, None] + nv - common
-            close = (common > 0) & (common >= np.float32(least - 1e-5) * union)
-            i, j = np.nonzero(close)
-            if same:
-                i, j = i[i + at < j], j[i + at < j]
-            c = common[i, j].astype("<f8")
-            jaccard = c / union[i, j]
-            kept = jaccard >= least - 1e-9
-            i, j, jaccard = i[kept] + at, j[kept], jaccard[kept]
-            if forest:
-                near[i, j] = True
-            elif len(i):
-                yield [p["rep"].take(pa.array(i)), q["rep"].take(pa.array(j)), pa.array(jaccard)]
-        if forest:
-            x, y = _forest(near, same)
-            every = p["rep"] if same else pa.concat_arrays([p["rep"], q["rep"]])
-            if len(x):
-                yield [every.take(pa.array(x)), every.take(pa.array(y)), pa.nulls(len(x), pa.float64())]
+    u, v = p.matrix("<f4"), q.matrix("<f4", keep=True)
+    nu, nv = p.lengths.astype("<f8"), q.lengths.astype("<f8")
+    if not (len(nu) and len(nv)):
+        return
+    left = np.hstack([u * np.float32(1 + least), (-least * nu)[:, None].astype("<f4"), np.ones((len(u), 1), "<f4")])
+    right = np.ascontiguousarray(np.hstack([v, np.ones((len(v), 1), "<f4"), (-least * nv)[:, None].astype("<f4")]).T)
+    bar = -3e-4 * max(nu.max(), nv.max()) if least > 0 else 0.5
+    for at in range(0, len(u), blocks.SLICE):
+        score = left[at : at + blocks.SLICE] @ right
+        place = np.flatnonzero(score.ravel() >= bar)
+        i, j = np.divmod(place, len(v))
+        value = score.ravel()[place]
+        i += at
+        if once and p.number == q.number:
+            rising = i < j
+            i, j, value = i[rising], j[rising], value[rising]
+        sizes = nu[i] + nv[j]
+        common = np.rint((value + least * sizes) / (1 + least))
+        union = sizes - common
+        kept = (common > 0) & (common / np.maximum(union, 1) >= least - 1e-9)
+        if kept.any():
+            yield i[kept], j[kept], common[kept], union[kept]
+
+
+def _reach(least: float) -> Callable[..., bool]:
+    """Whether sets of sizes from low to high on both sides can be ``least`` similar."""
+    return lambda p_low, p_high, q_low, q_high: p_high >= q_low * least - 1e-9 and q_high >= p_low * least - 1e-9
+
+
+def _rows(sets: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and skills of ``sets`` as rows to pack."""
+    return sets.select(*columns, F.size("skills").alias("n"), F.col("skills").alias("items"), F.transform("skills", lambda x: F.lit(1.0)).alias("weights"))
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Link a[k] with b[k] in ``label``, where every vertex has the least one that it is linked with so far."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            short = label[label]
+            if (short == label).all():
+                break
+            label[:] = short
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    found = blocks.pairs(held, held, (F.col("p_block") <= F.col("q_block")) & reach, work, f"x {kind}, y {kind}, jaccard double")
-    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")
 
+def _block_links(left: DataFrame, right: DataFrame, words: np.ndarray, least: float, kind: str, once: bool) -> DataFrame:
+    """x, y: links between vertices (column ``part``) of which a pair of blocks has similar sets; only as many as connect them."""
 
-def _forest(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what ``near`` connects: rows are numbered first, then columns, unless both are the ``same``."""
-    rows, columns = near.shape
-    if same:
-        near = near | near.T
-    n = rows if same else rows + columns
-    right = slice(0, n) if same else slice(rows, n)
-    label = np.arange(n)
-    while True:
-        old = label.copy()
-        for at in range(0, rows, blocks.SLICE):
-            part = near[at : at + blocks.SLICE]
-            label[at : at + len(part)] = np.minimum(label[at : at + len(part)], np.where(part, label[right], n).min(axis=1, initial=n))
-        if not same:
-            for at in range(0, columns, blocks.SLICE):
-                part = near.T[at : at + blocks.SLICE]
-                here = slice(rows + at, rows + at + len(part))
-                label[here] = np.minimum(label[here], np.where(part, label[:rows], n).min(axis=1, initial=n))
-        label = np.minimum(label, label[label])
-        if (label == old).all():
-            moved = np.flatnonzero(label != np.arange(n))
-            return label[moved], moved
+    def work(p: blocks.Block, q: blocks.Block) -> Iterator[list]:
+        both = p["part"] if p.number == q.number and once else pa.concat_arrays([p["part"], q["part"]])
+        coded = both.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        u, v = codes[: len(p)], codes[-len(q) :]
+        label = np.arange(len(coded.dictionary))
+        for i, j, _, _ in _near(p, q, least, once):
+            _join(label, u[i], v[j])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        if len(moved):
+            yield [coded.dictionary.take(pa.array(label[moved])), coded.dictionary.take(pa.array(moved))]
+
+    return blocks.pairs(left, right, words, work, f"x {kind}, y {kind}", _reach(least), once=once)
+
+
+#: Sets, about, that all sets meet first, where there are over four times as many.
+HUB = 8_192
 
 
 def linked_classes(classes: DataFrame, least: float) -> DataFrame:
-    """a, b: links between sets (rep, skills) that connect those at least ``least`` similar, not always all of them."""
-    found = _block_pairs(classes, least, True)
-    found = similar_classes(classes, least) if found is None else found
-    return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    """a, b: links between sets (rep, skills) that connect those at least ``least`` similar, not always all of them.
+
+    Many sets meet a part of them first, chosen by hash; that mostly leaves one large component.  Then only what is outside of
+    the largest one meets all sets: every link between two components has an end there.
+    """
+    words = blocks.vocabulary(classes.select(F.explode("skills")))
+    if words is None:
+        return similar_classes(classes, least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    classes = classes.filter("rep is not null")
+    kind = classes.schema["rep"].dataType.simpleString()
+    own = classes.withColumn("part", F.col("rep"))
+    pack = lambda df: blocks.pack(_rows(df, "part"), words, ["n", "part"])
+    held, n = pack(own), classes.count()
+    if n <= 4 * HUB:
+        return _block_links(held, held, words, least, kind, True).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    hub = own.filter(F.pmod(F.xxhash64("rep", F.lit("hub")), F.lit(-(-n // HUB))) == 0)
+    first = contract(_block_links(held, pack(hub), words, least, kind, False).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    largest = first.groupBy("a").count().orderBy(F.desc("count"), "a").limit(1).select(F.col("a").alias("part"))  # one row
+    parts = _checkpoint(classes.join(first.select(F.col("b").alias("rep"), F.col("a").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    outside = parts.join(F.broadcast(largest), "part", "left_anti")
+    rest = _block_links(pack(outside), pack(parts), words, least, kind, False)
+    return first.unionByName(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
@@ -141,8 +172,18 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
 
     Of few different skills (``blocks.MOST_ITEMS``) each is held by many sets: there, sets are compared in blocks.
     """
-    found = _block_pairs(classes, least, False)
-    return _prefix_pairs(classes, least) if found is None else found
+    words = blocks.vocabulary(classes.select(F.explode("skills")))
+    if words is None:
+        return _prefix_pairs(classes, least)
+    held = blocks.pack(_rows(classes, "rep"), words, ["n", "rep"])
+
+    def work(p: blocks.Block, q: blocks.Block) -> Iterator[list]:
+        for i, j, common, union in _near(p, q, least, True):
+            yield [p["rep"].take(pa.array(i)), q["rep"].take(pa.array(j)), pa.array(common / union)]
+
+    kind = classes.schema["rep"].dataType.simpleString()
+    found = blocks.pairs(held, held, words, work, f"x {kind}, y {kind}, jaccard double", _reach(least), once=True)
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")
 
 
 def _prefix_pairs(classes: DataFrame, least: float) -> DataFrame:
@@ -207,13 +248,75 @@ def _write_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
     return heads.select("a", F.explode(F.when(F.col("itself"), F.array_remove("q", F.col("a"))).otherwise(F.col("q"))).alias("b"), *values)
 
 
+#: Pairs in a batch of rows, at most.
+BATCH = 1 << 17
+
+
+def _occupation_sets(pairs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """occ, skills (64-bit hashes), stored.  With ``keep``, only the least occupation of each skill set and those in ``keep``."""
+    if keep is None:
+        return _checkpoint(pairs.filter(F.col("occ").isNotNull()).groupBy("occ").agg(F.array_sort(F.collect_set(F.xxhash64("skill"))).alias("skills")))
+    classes, members = skill_classes(pairs.filter(F.col("occ").isNotNull()))
+    kept = members.filter((F.col("occ") == F.col("rep")) | F.col("occ").isin(*keep))
+    return _checkpoint(kept.select("rep", "occ").join(classes.select("rep", "skills"), "rep").select("occ", "skills"))
+
+
+def _table(score: Callable[[float], float], words: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """``score`` of Jaccard similarities (shared, size of the union), worked out once for each two numbers."""
+    held = {}
+
+    def look_up(common: np.ndarray, union: np.ndarray) -> np.ndarray:
+        known = held.setdefault("known", np.full((len(words) + 1) * (2 * len(words) + 1), np.nan))
+        code = (common * (2 * len(words) + 1) + union).astype("<i8")
+        value = known[code]
+        new = np.unique(code[np.isnan(value)])
+        if len(new):
+            c, u = np.divmod(new, 2 * len(words) + 1)
+            known[new] = [score(x) for x in (c / u).tolist()]
+            value = known[code]
+        return value
+
+    return look_up
+
+
+def _pairs_in_blocks(sets: DataFrame, least: float, score: Callable[[float], float], kind: str) -> DataFrame | None:
+    """a, b, value: the ``score`` of all pairs of occupations (occ, skills) at least ``least`` similar, in both directions, those
+    scored below 0 left out.  None if there are too many different skills for blocks.
+
+    A pair is written by the task that finds it: neither found nor written pairs are shuffled or stored.
+    """
+    words = blocks.vocabulary(sets.select(F.explode("skills")))
+    if words is None:
+        return None
+    held = blocks.pack(_rows(sets, "occ"), words, ["n", "occ"], CHUNK)
+    look_up = _table(score, words)
+    number = "<f8" if kind == "double" else "<i8"
+
+    def work(p: blocks.Block, q: blocks.Block) -> Iterator[list]:
+        for i, j, common, union in _near(p, q, least, True):
+            value = look_up(common, union)
+            kept = value >= 0
+            i, j, value = i[kept], j[kept], value[kept].astype(number)
+            for at in range(0, len(i), BATCH):
+                part = slice(at, at + BATCH)
+                a, b, v = p["occ"].take(pa.array(i[part])), q["occ"].take(pa.array(j[part])), pa.array(value[part])
+                yield [a, b, v]
+                yield [b, a, v]
+
+    name = sets.schema["occ"].dataType.simpleString()
+    return blocks.pairs(held, held, words, work, f"a {name}, b {name}, value {kind}", _reach(least), once=True)
+
+
 def similar_sets(pairs: DataFrame, least: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """a < b, jaccard for all occupations that share a skill and are at least ``least`` similar.
 
     Every pair is written out, of equal sets too; ``skill_classes`` and ``similar_classes`` have the same without that.
     With ``keep``, only the pairs among the least occupation of each skill set and those in ``keep``.
     """
-    return _write_pairs(*_set_pairs(pairs, least, keep)).filter("a < b")
+    found = _pairs_in_blocks(_occupation_sets(pairs, keep), least, lambda x: x, "double")
+    if found is None:
+        return _write_pairs(*_set_pairs(pairs, least, keep)).filter("a < b")
+    return found.filter("a < b").withColumnRenamed("value", "jaccard")
 
 
 def similarity_edges(edges: DataFrame, least: float = 0.3, keep: list[str] | None = None) -> DataFrame:
@@ -223,9 +326,13 @@ def similarity_edges(edges: DataFrame, least: float = 0.3, keep: list[str] | Non
     has one skill set has the same neighbours at the same cost, so a path takes one of a set, the least on ties, and leaves
     its ends' sets at once.
     """
-    found, members = _set_pairs(skill_pairs(edges), least, keep)
-    scored = found.filter(F.col("jaccard") >= least).select("x", "y", F.floor(F.col("jaccard") * 100).cast("long").alias("evidence_count"))
-    return _write_pairs(scored, members).select(F.col("a").alias("source"), F.col("b").alias("target"), "evidence_count", F.lit("SIMILAR_TO").alias("relation"))
+    pairs = skill_pairs(edges)
+    found = _pairs_in_blocks(_occupation_sets(pairs, keep), least, lambda x: floor(x * 100) if x >= least else -1, "long")
+    if found is None:
+        classes, members = _set_pairs(pairs, least, keep)
+        scored = classes.filter(F.col("jaccard") >= least).select("x", "y", F.floor(F.col("jaccard") * 100).cast("long").alias("value"))
+        found = _write_pairs(scored, members)
+    return found.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("value").alias("evidence_count"), F.lit("SIMILAR_TO").alias("relation"))
 
 
 def skill_degree(edges: DataFrame) -> DataFrame:
@@ -252,10 +359,24 @@ def dense_fallback(edges: DataFrame, most: float = 0.85, decimals: int | None =
 
     Weights are rounded to ``decimals``, if given: once for two skill sets, not for each pair of their occupations.
     """
-    found, members = _set_pairs(skill_pairs(edges), max(1 - most, 0.0))
-    weight = 1 - F.col("jaccard") + 1e-4
-    near = found.filter(1 - F.col("jaccard") <= most).select("x", "y", (weight if decimals is None else F.round(weight, decimals)).alias("weight"))
-    return _write_pairs(near, members).select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
+    pairs, least = skill_pairs(edges), max(1 - most, 0.0)
+
+    def score(x: float) -> float:
+        weight = 1 - x + 1e-4
+        return -1 if 1 - x > most else weight if decimals is None else _rounded(weight, decimals)
+
+    found = _pairs_in_blocks(_occupation_sets(pairs), least, score, "double")
+    if found is None:
+        classes, members = _set_pairs(pairs, least)
+        weight = 1 - F.col("jaccard") + 1e-4
+        near = classes.filter(1 - F.col("jaccard") <= most).select("x", "y", (weight if decimals is None else F.round(weight, decimals)).alias("value"))
+        found = _write_pairs(near, members)
+    return found.select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("value").alias("weight"))
+
+
+def _rounded(x: float, decimals: int) -> float:
+    """As Spark rounds a double: half up, by its shortest digits."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP))
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -326,11 +447,21 @@ def _cost(x: Column) -> Column:
     return F.round(x, COST_DECIMALS)
 
 
-def _spread(best: DataFrame, front: DataFrame, links: DataFrame, forward: bool) -> tuple[DataFrame, DataFrame]:
-    """One round from one end: what ``front`` reaches over one link, where it is cheaper (or as cheap by a lesser path)."""
-    here, there = ("source", "target") if forward else ("target", "source")
-    path = F.concat("path", F.array(links[there])) if forward else F.concat(F.array(links[there]), F.col("path"))
-    step = front.join(links, front["id"] == links[here]).select(links[there].alias("id"), F.struct(_cost(F.col("distance") + F.col("weight")).alias("distance"), path.alias("path")).alias("offer"))
+def _over(links: DataFrame) -> Callable[[DataFrame, bool], DataFrame]:
+    """(front, forward) -> id, distance, path: what a front reaches over one of ``links``, path being the front's."""
+    links = _checkpoint(links.select("source", "target", _cost(F.col("weight").cast("double")).alias("weight")))  # each round reads it
+
+    def step(front: DataFrame, forward: bool) -> DataFrame:
+        here, there = ("source", "target") if forward else ("target", "source")
+        return front.join(links, front["id"] == links[here]).select(links[there].alias("id"), _cost(F.col("distance") + F.col("weight")).alias("distance"), "path")
+
+    return step
+
+
+def _spread(best: DataFrame, reached: DataFrame, forward: bool) -> tuple[DataFrame, DataFrame]:
+    """One round from one end: what the front has ``reached`` over one link, where it is cheaper (or as cheap by a lesser path)."""
+    path = F.concat("path", F.array("id")) if forward else F.concat(F.array("id"), F.col("path"))
+    step = reached.select("id", F.struct("distance", path.alias("path")).alias("offer"))
     joined = _checkpoint(best.join(step.groupBy("id").agg(F.min("offer").alias("offer")), "id", "full"))
     old = F.when(F.col("distance").isNotNull(), F.struct("distance", "path"))
     better = F.col("offer").isNotNull() & (old.isNull() | (F.col("offer") < old))
@@ -346,8 +477,11 @@ def shortest_paths(links: DataFrame, source: str, target: str, max_rounds: int |
     known yet has to pass both fronts, so it ends when the least of both together exceed the best path, when a front has
     nothing left, or after ``max_rounds`` links.  Nodes that can't be on a better path are not spread from.
     """
-    spark = links.sparkSession
-    links = _checkpoint(links.select("source", "target", _cost(F.col("weight").cast("double")).alias("weight")))  # each round reads it
+    return _search(links.sparkSession, _over(links), source, target, max_rounds)
+
+
+def _search(spark: SparkSession, step: Callable[[DataFrame, bool], DataFrame], source: str, target: str, max_rounds: int | None) -> DataFrame:
+    """The rounds of ``shortest_paths``, where ``step`` says what a front reaches over one link."""
     start = lambda node: spark.createDataFrame([(node, 0.0, [node])], "id string, distance double, path array<string>")
     best = {True: start(source), False: start(target)}
     front, least, size = dict(best), {True: 0.0, False: 0.0}, {True: 1, False: 1}
@@ -363,7 +497,7 @@ def shortest_paths(links: DataFrame, source: str, target: str, max_rounds: int |
     while min(size.values()) and (found is None or round(least[True] + least[False], COST_DECIMALS) <= found[0]) and (max_rounds is None or k < max_rounds):
         k += 1
         side = size[True] <= size[False]
-        best[side], improved = _spread(best[side], front[side], links, side)
+        best[side], improved = _spread(best[side], step(front[side], side), side)
         other = best[not side].select("id", F.col("distance").alias("rest"), F.col("path").alias("other"))
         head, tail = ("path", "other") if side else ("other", "path")
         whole = F.concat(head, F.slice(tail, F.lit(2), F.greatest(F.size(tail) - 1, F.lit(0))))
@@ -376,6 +510,65 @@ def shortest_paths(links: DataFrame, source: str, target: str, max_rounds: int |
     return spark.createDataFrame([found] if found else [], "distance double, path array<string>")
 
 
+def similar_paths(edges: DataFrame, least: float, source: str, target: str, weighted: bool, max_rounds: int | None = None) -> DataFrame:
+    """``shortest_paths`` over the SIMILAR_TO edges of ``similarity_edges(edges, least)``, ``weighted`` by ``similarity_weights`` or
+    in ``undirected_steps``, without those edges.
+
+    One occupation of each skill set and both ends are the nodes.  In a round the front meets them in blocks, and of what it
+    offers a node only the best leaves a task: what is shuffled grows with the nodes, not with their similar pairs.
+    """
+    sets = _occupation_sets(skill_pairs(edges), [source, target])
+    words = blocks.vocabulary(sets.select(F.explode("skills")))
+    if words is None:
+        near = similarity_edges(edges, least, [source, target])
+        return shortest_paths(similarity_weights(near) if weighted else undirected_steps(near), source, target, max_rounds)
+    held = blocks.pack(_rows(sets, "occ"), words, ["n", "occ"])
+    unit = 10**COST_DECIMALS
+
+    def cost(x: float) -> float:
+        return -1 if x < least else round(_rounded(1 / max(floor(x * 100), 1), COST_DECIMALS) * unit) if weighted else unit
+
+    look_up = _table(cost, words)
+
+    def work(p: blocks.Block, q: blocks.Block) -> Iterator[list]:
+        if "rank" not in q.found:
+            paths = q["path"].to_pylist()
+            order = sorted(range(len(q)), key=paths.__getitem__)
+            rank = np.empty(len(q), "<i8")
+            rank[order] = np.arange(len(q))
+            distance = np.rint(q["distance"].to_numpy() * unit).astype("<i8")
+            q.found.update(rank=rank, sorted=[paths[k] for k in order], least=distance.min(), more=distance - distance.min())
+        best = np.full(len(p), np.iinfo("<i8").max)
+        for i, j, common, union in _near(p, q, least):
+            price = look_up(common, union)
+            i, j, price = i[price >= 0], j[price >= 0], price[price >= 0].astype("<i8")
+            if len(i):
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                best[i[first]] = np.minimum.reduceat((q.found["more"][j] + price) * blocks.MOST_ROWS + q.found["rank"][j], first)
+        if "cost" not in p.found:
+            p.found.update(cost=np.full(len(p), np.iinfo("<i8").max), path=[None] * len(p))
+        old, path = p.found["cost"], p.found["path"]
+        reached = np.flatnonzero(best < np.iinfo("<i8").max)
+        price, rank = best // blocks.MOST_ROWS + q.found["least"], best % blocks.MOST_ROWS
+        for k in reached[price[reached] <= old[reached]].tolist():
+            own = q.found["sorted"][rank[k]]
+            if price[k] < old[k] or own < path[k]:
+                old[k], path[k] = price[k], own
+        return iter(())
+
+    def finish(p: blocks.Block) -> Iterator[list]:
+        some = [k for k, x in enumerate(p.found.get("path", [])) if x is not None]
+        for at in range(0, len(some), 1_024):
+            part = some[at : at + 1_024]
+            yield [p["occ"].take(pa.array(part)), pa.array(p.found["cost"][part] / unit), pa.array([p.found["path"][k] for k in part], pa.list_(pa.string()))]
+
+    def step(front: DataFrame, forward: bool) -> DataFrame:
+        rows = _rows(front.join(sets.withColumnRenamed("occ", "id"), "id"), "distance", "path")
+        return blocks.pairs(held, blocks.pack(rows, words, ["n", "path"]), words, work, "id string, distance double, path array<string>", _reach(least), finish)
+
+    return _search(edges.sparkSession, step, source, target, max_rounds)
+
+
 def similarity_weights(edges: DataFrame) -> DataFrame:
     """Directed links of SIMILAR_TO edges, weight 1 / max(evidence, 1); of repeated edges the last counts."""
     own = edges.filter(F.col("relation") == "SIMILAR_TO")
