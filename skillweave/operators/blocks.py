@@ -158,7 +158,7 @@ def pairs(
         return blocks.select(*names, *own).join(where.filter(F.col("side") == k), "block")
 
     both = side(left, 0).unionByName(side(right, 1), allowMissingColumns=True)
-    labels = [c.split()[0].strip("`") for c in schema.split(", ")]
+    labels = spark.createDataFrame([], schema).columns
     n_words = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

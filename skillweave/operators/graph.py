@@ -283,7 +283,8 @@ def _pairs_in_blocks(sets: DataFrame, least: float, score: Callable[[float], flo
     """a, b, value: the ``score`` of all pairs of occupations (occ, skills) at least ``least`` similar, in both directions, those
     scored below 0 left out.  None if there are too many different skills for blocks.
 
-    A pair is written by the task that finds it: neither found nor written pairs are shuffled or stored.
+    A pair is written by the task that finds it: neither found nor written pairs are shuffled or stored.  Python hands over what
+    is near to an occupation as an array, and rows are made of it in both directions by Spark.
     """
     words = blocks.vocabulary(sets.select(F.explode("skills")))
     if words is None:
@@ -299,12 +300,15 @@ def _pairs_in_blocks(sets: DataFrame, least: float, score: Callable[[float], flo
             i, j, value = i[kept], j[kept], value[kept].astype(number)
             for at in range(0, len(i), BATCH):
                 part = slice(at, at + BATCH)
-                a, b, v = p["occ"].take(pa.array(i[part])), q["occ"].take(pa.array(j[part])), pa.array(value[part])
-                yield [a, b, v]
-                yield [b, a, v]
+                first = np.flatnonzero(np.r_[True, np.diff(i[part]) != 0]).astype("<i4")
+                ends = pa.array(np.r_[first, len(i[part])].astype("<i4"))
+                near = pa.StructArray.from_arrays([q["occ"].take(pa.array(j[part])), pa.array(value[part])], ["b", "value"])
+                yield [p["occ"].take(pa.array(i[part][first])), pa.ListArray.from_arrays(ends, near)]
 
     name = sets.schema["occ"].dataType.simpleString()
-    return blocks.pairs(held, held, words, work, f"a {name}, b {name}, value {kind}", _reach(least), once=True)
+    found = blocks.pairs(held, held, words, work, f"a {name}, near array<struct<b: {name}, value: {kind}>>", _reach(least), once=True)
+    one = found.select("a", F.inline("near"))
+    return one.select(F.stack(F.lit(2), "a", "b", "value", "b", "a", "value").alias("a", "b", "value"))
 
 
 def similar_sets(pairs: DataFrame, least: float = 0.0, keep: list[str] | None = None) -> DataFrame:
